@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridlake.functions.text import (chunk_windows, clean_text, record_id, record_name,
-                                       with_passage_prefix)
+from hybridlake.functions.text import (chunk_windows, clean_again, clean_text, record_id, record_name,
+                                       tokens, with_passage_prefix)
 from hybridlake.params import ChunkParams
 
 
 def chunk_text(df: DataFrame, text_col: str = "text", params: ChunkParams = ChunkParams(),
                keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per chunk: ``*keep, chunk_index, chunk`` (the chunker cleans its input)."""
-    return df.select(*keep, F.posexplode(chunk_windows(text_col, params)).alias("chunk_index", "chunk"))
+    toks = df.select(*keep, tokens(clean_text(text_col)).alias("_toks"))
+    return toks.select(*keep, F.posexplode(chunk_windows("_toks", params)).alias("chunk_index", "chunk"))
 
 
 def chunk_records(docs: DataFrame, *, path_col: str = "path", text_col: str = "text",
@@ -26,11 +27,13 @@ def chunk_records(docs: DataFrame, *, path_col: str = "path", text_col: str = "t
     become spaces, as in the reference pipeline). Rows with a NULL text produce
     no chunks; ``chunk_rejects`` lists them.
     """
-    text = clean_text(text_col) if extracted else F.col(text_col)
-    out = docs.select(
+    once = docs.select(*keep, record_name(path_col).alias("document_name"), clean_text(text_col).alias("_c1"))
+    cleaned = clean_again("_c1") if extracted else F.col("_c1")
+    toks = once.select(*keep, "document_name", tokens(cleaned).alias("_toks"))
+    out = toks.select(
         *keep,
-        record_name(path_col).alias("document_name"),
-        F.posexplode(chunk_windows(text, params)).alias("chunk_index", "text"),
+        "document_name",
+        F.posexplode(chunk_windows("_toks", params)).alias("chunk_index", "text"),
     ).select(
         *keep,
         record_id("document_name", "chunk_index").alias("chunk_id"),
