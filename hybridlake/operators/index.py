@@ -21,7 +21,7 @@ from hybridlake.params import EmbedParams
 
 @dataclass(frozen=True)
 class SearchIndex:
-    records: DataFrame      # chunk_id, document_name, chunk_index, text, metadata, embedding
+    records: DataFrame      # chunk_id, document_name, chunk_index, text, metadata, embedding, terms
     postings: DataFrame     # term, chunk_id, tf, dl
     term_stats: DataFrame   # term, df
     corpus_stats: DataFrame  # n_docs, avgdl (one row)
@@ -31,13 +31,16 @@ class SearchIndex:
 
 def embed_records(records: DataFrame, params: EmbedParams, text_col: str = "text",
                   out_col: str = "embedding") -> DataFrame:
-    """Attach the built-in hashed embedding (optionally of the prefixed text)."""
-    src = with_passage_prefix(text_col, params.passage_prefix)
-    return records.withColumn(out_col, hash_embedding(analyze(src), params.dim))
+    """Attach ``terms`` (the analysed text, kept for keyword scoring) and the
+    built-in hashed embedding (of the prefixed text when the flag is on)."""
+    with_terms = records.withColumn("terms", analyze(text_col))
+    src = analyze(with_passage_prefix(text_col, True)) if params.passage_prefix else F.col("terms")
+    return with_terms.withColumn(out_col, hash_embedding(src, params.dim))
 
 
 def build_postings(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    terms = records.select(id_col, analyze(text_col).alias("terms"))
+    terms_col = F.col("terms") if "terms" in records.columns else analyze(text_col)
+    terms = records.select(id_col, terms_col.alias("terms"))
     exploded = terms.select(id_col, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     return (exploded.groupBy("term", id_col, "dl")
             .agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -49,25 +52,28 @@ def build_term_stats(postings: DataFrame) -> DataFrame:
 
 
 def build_corpus_stats(records: DataFrame, text_col: str = "text") -> DataFrame:
-    dl = F.size(analyze(text_col))
+    dl = F.size(F.col("terms") if "terms" in records.columns else analyze(text_col))
     return records.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(dl).cast("double").alias("avgdl"))
 
 
 def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_col: str = "text",
                 materialize_to: str | None = None) -> SearchIndex:
-    postings = build_postings(records, id_col, text_col)
-    term_stats = build_term_stats(postings)
-    stats = build_corpus_stats(records, text_col)
+    if "terms" not in records.columns:
+        records = records.withColumn("terms", analyze(text_col))
     if materialize_to is None:
-        return SearchIndex(records, postings, term_stats, stats, dim, id_col)
+        postings = build_postings(records, id_col, text_col)
+        return SearchIndex(records, postings, build_term_stats(postings),
+                           build_corpus_stats(records, text_col), dim, id_col)
     spark = records.sparkSession
     root = materialize_to.rstrip("/")
+    # One pass over the documents: clean, chunk, analyse, embed, write.
     records.write.mode("overwrite").parquet(f"{root}/records")
+    r = spark.read.parquet(f"{root}/records")
+    postings = build_postings(r, id_col, text_col)
     # Sorted by term inside each file: row-group min/max let a scan skip terms.
     postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
     p = spark.read.parquet(f"{root}/postings")
     build_term_stats(p).write.mode("overwrite").parquet(f"{root}/term_stats")
-    r = spark.read.parquet(f"{root}/records")
     # sum(tf) over all postings = sum(dl) over all chunks; the record count
     # comes from Parquet footers, so the corpus is not tokenised again.
     n_docs = r.count()

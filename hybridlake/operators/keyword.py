@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze
 from hybridlake.operators.index import SearchIndex
+from hybridlake.operators.knn import _local_top_k
 from hybridlake.operators.topk import split_passes, top_k
 from hybridlake.params import SearchParams
 
@@ -46,10 +47,125 @@ def bm25_scores(index: SearchIndex, qterms: DataFrame, params: SearchParams) ->
 
 
 def keyword_search(index: SearchIndex, queries: DataFrame, params: SearchParams = SearchParams(),
-                   text_col: str = "query_text") -> DataFrame:
-    """Top-k BM25 hits: ``qid, <id>, score, rank``. No shared term, no hit."""
+                   text_col: str = "query_text", method: str = "auto") -> DataFrame:
+    """Top-k BM25 hits: ``qid, <id>, score, rank``. No shared term, no hit.
+
+    ``method``: ``"join"`` (broadcast query terms joined to the postings: reads
+    only the postings of the query terms; best for a few queries), ``"scan"``
+    (partition-local scoring over the records' terms: best for large batches),
+    or ``"auto"`` (by the number of query-term rows).
+    """
     qterms = query_terms(queries, text_col)
     n_rows = qterms.count()
+    if method == "scan" or (method == "auto" and n_rows > JOIN_MAX_QUERY_TERMS
+                            and "terms" in index.records.columns):
+        return keyword_search_batch(index, queries, params, text_col, qterms, n_rows)
     passes = split_passes(qterms, n_rows, QUERY_TERM_BYTES, params.max_broadcast_bytes)
     scored = reduce(DataFrame.unionByName, [bm25_scores(index, p, params) for p in passes])
     return top_k(scored, params.top_k, tiebreak=index.id_col)
+
+
+# -- batch path: partition-local exact scoring --------------------------------
+#
+# With many or long queries almost every (query, chunk) pair shares a term, and
+# the join above materialises all of them. For such batches the query-term
+# weights (size-checked) are broadcast instead, and every records partition
+# computes the exact BM25 of its chunks against all queries with one sparse
+# product per block of rows (a ragged expansion + bincount), emitting only its
+# local top-k per query. Nothing but top-k rows leaves a task.
+
+# Query-term rows above which the batch path is used (a few dozen queries).
+JOIN_MAX_QUERY_TERMS = 4096
+# Score cells (queries x chunks) materialised per block inside a task.
+BLOCK_CELLS = 1 << 23
+
+
+def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def fn(batches):
+        vocab, indptr, qidx, w, qids = bw.value
+        nq = len(qids)
+        rows_per_block = max(1, BLOCK_CELLS // max(nq, 1))
+        for big in batches:
+            for off in range(0, big.num_rows, rows_per_block):
+                rb = big.slice(off, rows_per_block)
+                nb = rb.num_rows
+                terms = rb.column("terms")
+                dl = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+                parents = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+                j = pc.index_in(pc.list_flatten(terms), value_set=vocab)
+                hit = j.is_valid().to_numpy(zero_copy_only=False)
+                if not hit.any():
+                    continue
+                jj = j.filter(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64)
+                key, tf = np.unique(parents[hit] * len(vocab) + jj, return_counts=True)
+                r, t = key // len(vocab), key % len(vocab)
+                tf = tf.astype(np.float64)
+                den = tf + k1 * ((1.0 - b) + b * dl[r] / avgdl)
+                cnt = indptr[t + 1] - indptr[t]
+                rep = np.repeat(np.arange(len(key)), cnt)
+                pos = indptr[t][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+                val = w[pos] * tf[rep] / den[rep]
+                s = np.bincount(qidx[pos] * nb + r[rep], weights=val, minlength=nq * nb).reshape(nq, nb)
+                s[s <= 0] = -np.inf
+                ids = rb.column(id_col)
+                ids_np = ids.to_numpy(zero_copy_only=False)
+                id_rank = np.empty(nb, dtype=np.int64)
+                id_rank[np.argsort(ids_np, kind="stable")] = np.arange(nb)
+                qi, bi = _local_top_k(s, id_rank, k)
+                if len(qi) == 0:
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[qi], type=pa.int64()), ids.take(pa.array(bi)), pa.array(s[qi, bi])],
+                    schema=pa.schema([("qid", pa.int64()), (id_col, ids.type), ("score", pa.float64())]))
+    return fn
+
+
+def _query_weights(index: SearchIndex, qterms: DataFrame, params: SearchParams):
+    """Driver-side CSC of one (size-checked) query pass: term -> (query, weight)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = index.corpus_stats.select(F.col("n_docs").cast("double")).scalar()
+    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wt = (F.broadcast(qterms).join(index.term_stats, "term")
+          .select(F.col("qid").cast("long").alias("qid"), "term", (F.col("qtf") * idf).alias("w"))).toArrow()
+    if wt.num_rows == 0:
+        return None
+    vocab = pc.unique(wt.column("term").combine_chunks())
+    j = pc.index_in(wt.column("term"), value_set=vocab).to_numpy().astype(np.int64)
+    qid_all = wt.column("qid").to_numpy()
+    qids = np.unique(qid_all)
+    qi = np.searchsorted(qids, qid_all)
+    order = np.argsort(j, kind="stable")
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(j, minlength=len(vocab)))]).astype(np.int64)
+    return vocab, indptr, qi[order].astype(np.int64), wt.column("w").to_numpy()[order], qids
+
+
+def keyword_search_batch(index: SearchIndex, queries: DataFrame, params: SearchParams = SearchParams(),
+                         text_col: str = "query_text", qterms: DataFrame | None = None,
+                         n_rows: int | None = None) -> DataFrame:
+    """Same hits as ``keyword_search`` via partition-local scoring."""
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    spark = queries.sparkSession
+    qterms = qterms if qterms is not None else query_terms(queries, text_col)
+    n_rows = n_rows if n_rows is not None else qterms.count()
+    avgdl = index.corpus_stats.select("avgdl").first()[0]
+    slim = index.records.select(index.id_col, "terms")
+    schema = StructType([StructField("qid", LongType()), StructField(index.id_col, slim.schema[index.id_col].dataType),
+                         StructField("score", DoubleType())])
+    parts = []
+    for p in split_passes(qterms, n_rows, QUERY_TERM_BYTES, params.max_broadcast_bytes):
+        payload = _query_weights(index, p, params)
+        if payload is None:
+            continue
+        bw = spark.sparkContext.broadcast(payload)
+        parts.append(slim.mapInArrow(_scan_fn(bw, index.id_col, params.top_k, params.bm25.k1,
+                                              params.bm25.b, avgdl), schema))
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(None).cast("bigint"))
+    return top_k(reduce(DataFrame.unionByName, parts), params.top_k, tiebreak=index.id_col)

@@ -28,7 +28,7 @@ from hybridlake.plans.corpus import (DRIVER_DIM, DRIVER_EMBED, corpus_chunks, dr
 from hybridlake.session import scratch_path
 from hybridlake.sources.pages import assemble_pages
 from hybridlake.sources.tables import (benchmark_queries, conversation_pages, corpus_documents, messages,
-                                       read_table)
+                                       read_table, text_table)
 from hybridlake.streaming.ingest import current_view, run_ingest
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -46,12 +46,12 @@ def _r(c: str) -> F.Column:
 # -- text ---------------------------------------------------------------------
 
 def q_clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents", "doc_id", "text")
     return d.select("doc_id", clean_text("text").alias("text"))
 
 
 def q_chunk_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents", "doc_id", "text")
     return chunk_text(d, "text", ChunkParams(), keep=("doc_id",)).select(
         "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk")
 
@@ -61,7 +61,7 @@ def q_chunk_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_analyze_terms(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents", "text")
     return (d.select(F.explode(analyze("text")).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
@@ -147,9 +147,14 @@ def q_hybrid_raw(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("qid", "chunk_id", _r("keyword_score"), _r("vector_score"), _r("score"), "rank")
 
 
+def _bound(queries: DataFrame, k: int) -> int:
+    """Hits are at most top_k per query."""
+    return queries.count() * k
+
+
 def q_search_hits(spark: SparkSession, sf: str) -> DataFrame:
     idx = driver_index(spark, sf)
-    h = search_hits(_hybrid(spark, sf), idx.records)
+    h = search_hits(_hybrid(spark, sf), idx.records, max_rows=_bound(benchmark_queries(spark, sf), SEARCH.top_k))
     return h.select("qid", "rank", "chunk_id", "text", "score", F.size("metadata").alias("metadata_size"),
                     "total", "preview", "score_3")
 
@@ -225,7 +230,7 @@ def q_hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_embedding_preview(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = text_table(spark, sf, "documents", "doc_id", "text")
     e = d.select("doc_id", hash_embedding(analyze("text"), DRIVER_DIM).alias("v"))
     return e.select("doc_id", F.size("v").alias("embedding_dimension"),
                     *[F.round(F.col("v")[i].cast("double"), OUTPUT_DECIMALS).alias(f"e{i}") for i in range(10)])
@@ -233,12 +238,13 @@ def q_embedding_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- prompts ------------------------------------------------------------------
 
-def _hits_with_text(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
-    return attach_records(hits, driver_index(spark, sf).records, ("text",))
+def _hits_with_text(spark: SparkSession, sf: str, hits: DataFrame, max_rows: int) -> DataFrame:
+    return attach_records(hits, driver_index(spark, sf).records, ("text",), max_rows=max_rows)
 
 
 def q_context_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return context_blocks(_hits_with_text(spark, sf, _hybrid(spark, sf)), first_label=0)
+    bound = _bound(benchmark_queries(spark, sf), SEARCH.top_k)
+    return context_blocks(_hits_with_text(spark, sf, _hybrid(spark, sf), bound), first_label=0)
 
 
 def q_history_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,8 +267,8 @@ def q_chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_qa_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    ctx = context_blocks(_hits_with_text(spark, sf, _hybrid(spark, sf)), first_label=1)
     req = benchmark_queries(spark, sf)
+    ctx = context_blocks(_hits_with_text(spark, sf, _hybrid(spark, sf), _bound(req, SEARCH.top_k)), first_label=1)
     j = req.join(ctx, "qid", "left")
     return j.select("qid", tutorial_prompt("query_text", F.coalesce("context", F.lit(""))).alias("prompt"))
 
@@ -271,7 +277,7 @@ def q_rag_prompts(spark: SparkSession, sf: str) -> DataFrame:
     req = _user_requests(spark, sf, use_rag=True)
     p = SearchParams(top_k=QUERY_TOP_K[2])
     hits = hybrid_search(driver_index(spark, sf), encoded_queries(req, DRIVER_EMBED), p)
-    ctx = context_blocks(_hits_with_text(spark, sf, hits), first_label=0)
+    ctx = context_blocks(_hits_with_text(spark, sf, hits, _bound(req, p.top_k)), first_label=0)
     j = attach_context(req, ctx)
     return j.select("conv_id", "turn", chat_prompt("query_text", "context", "history", PromptParams()).alias("prompt"))
 

@@ -19,13 +19,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan is narrower.
+
+    A large input arrives as many file splits and is returned untouched (no
+    shuffle); a small or unsplittable one (a single row group) would otherwise
+    run every CPU-heavy text step in one task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """The columns of a text-heavy table, spread over the cores."""
+    return spread(read_table(spark, sf_dir, name).select(*cols))
+
+
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as extracted files: ``doc_id, path, text``.
 
     The driver corpus has no file names, so each document gets the path
     ``<source>/<doc_id>.pdf`` (source is one of a few collections).
     """
-    d = read_table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return d.select(
         "doc_id",
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(PDF_SUFFIX)).alias("path"),
@@ -41,7 +57,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages: ``conv_id, turn, role, text``."""
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return text_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
