@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 from hybridlake.operators.index import SearchIndex
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
-from hybridlake.operators.topk import top_k
+from hybridlake.operators.topk import SCORE_DECIMALS, top_k
 from hybridlake.params import SearchParams
 
 
 def min_max(df: DataFrame, score: str = "score", out: str = "norm", group: str = "qid") -> DataFrame:
-    """Per-group min-max: lowest -> 0, highest -> 1, a single value -> 1."""
+    """Per-group min-max: lowest -> 0, highest -> 1, a single value -> 1.
+
+    Scores are normalised after rounding to 9 decimals (the ranking rule), so
+    exact copies whose sums differ only in the last bit stay tied instead of
+    being stretched to 0 and 1.
+    """
     w = Window.partitionBy(group)
-    mn, mx = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn(out, F.when(mx == mn, F.lit(1.0)).otherwise((F.col(score) - mn) / (mx - mn)))
+    s = F.round(F.col(score), SCORE_DECIMALS)
+    mn, mx = F.min(s).over(w), F.max(s).over(w)
+    return df.withColumn(out, F.when(mx == mn, F.lit(1.0)).otherwise((s - mn) / (mx - mn)))
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, params: SearchParams, id_col: str = "chunk_id") -> DataFrame:

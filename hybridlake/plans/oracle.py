@@ -110,10 +110,12 @@ cs AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avgdl FROM ct),
 
 
 def minmax(src: str, name: str) -> str:
+    """Min-max per query over scores rounded to 9 decimals (max = min -> 1)."""
     return f"""
-{name} AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
-    ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
-    FROM {src} WINDOW w AS (PARTITION BY qid))"""
+{name}_r AS (SELECT *, round(score, 9) AS rs FROM {src}),
+{name} AS (SELECT * EXCLUDE (rs), CASE WHEN max(rs) OVER w = min(rs) OVER w THEN 1.0
+    ELSE (rs - min(rs) OVER w) / (max(rs) OVER w - min(rs) OVER w) END AS norm
+    FROM {name}_r WINDOW w AS (PARTITION BY qid))"""
 
 
 def hybrid_ctes(qsrc: str, k: int, normalized: bool = True) -> str:
