@@ -27,6 +27,7 @@ class SearchIndex:
     corpus_stats: DataFrame  # n_docs, avgdl (one row)
     dim: int
     id_col: str = "chunk_id"
+    term_buckets: int | None = None   # set when postings are laid out by term bucket
 
 
 def embed_records(records: DataFrame, params: EmbedParams, text_col: str = "text",
@@ -47,6 +48,22 @@ def build_postings(records: DataFrame, id_col: str = "chunk_id", text_col: str =
             .select("term", id_col, "tf", F.col("dl").cast("int").alias("dl")))
 
 
+# Postings and term statistics are laid out in directories by term bucket, so a
+# search for a few terms reads only their buckets (partition pruning). The
+# bucket count grows with the corpus: about one per CHUNKS_PER_BUCKET records.
+CHUNKS_PER_BUCKET = 1000
+MIN_BUCKETS, MAX_BUCKETS = 8, 4096
+
+
+def bucket_count(n_records: int) -> int:
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, n_records // CHUNKS_PER_BUCKET)))
+
+
+def term_bucket(term: str | F.Column = "term", buckets: int = MIN_BUCKETS) -> F.Column:
+    t = F.col(term) if isinstance(term, str) else term
+    return F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
+
+
 def build_term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -69,16 +86,21 @@ def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_
     # One pass over the documents: clean, chunk, analyse, embed, write.
     records.write.mode("overwrite").parquet(f"{root}/records")
     r = spark.read.parquet(f"{root}/records")
-    postings = build_postings(r, id_col, text_col)
-    # Sorted by term inside each file: row-group min/max let a scan skip terms.
-    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
+    n_docs = r.count()
+    buckets = bucket_count(n_docs)
+    postings = build_postings(r, id_col, text_col).withColumn("term_bucket", term_bucket("term", buckets))
+    # REBALANCE lets AQE split a hot bucket (a very common term) over several
+    # tasks and merge small ones, so the directory-per-bucket write has neither
+    # skew nor a flood of tiny files. Sorted by term inside each file.
+    (postings.hint("rebalance", "term_bucket").sortWithinPartitions("term")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/postings"))
     p = spark.read.parquet(f"{root}/postings")
-    build_term_stats(p).write.mode("overwrite").parquet(f"{root}/term_stats")
+    (build_term_stats(p).withColumn("term_bucket", term_bucket("term", buckets)).hint("rebalance", "term_bucket")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/term_stats"))
     # sum(tf) over all postings = sum(dl) over all chunks; the record count
     # comes from Parquet footers, so the corpus is not tokenised again.
-    n_docs = r.count()
     total = p.agg(F.sum("tf")).first()[0] or 0
     spark.createDataFrame([(n_docs, float(total) / n_docs if n_docs else 0.0)],
                           "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{root}/corpus_stats")
     return SearchIndex(r, p, spark.read.parquet(f"{root}/term_stats"),
-                       spark.read.parquet(f"{root}/corpus_stats"), dim, id_col)
+                       spark.read.parquet(f"{root}/corpus_stats"), dim, id_col, buckets)

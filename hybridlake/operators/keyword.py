@@ -11,13 +11,14 @@ each partition before the final top-k.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze
-from hybridlake.operators.index import SearchIndex
+from hybridlake.operators.index import SearchIndex, term_bucket
 from hybridlake.operators.knn import _local_top_k
 from hybridlake.operators.topk import split_passes, top_k
 from hybridlake.params import SearchParams
@@ -60,6 +61,11 @@ def keyword_search(index: SearchIndex, queries: DataFrame, params: SearchParams
     if method == "scan" or (method == "auto" and n_rows > JOIN_MAX_QUERY_TERMS
                             and "terms" in index.records.columns):
         return keyword_search_batch(index, queries, params, text_col, qterms, n_rows)
+    if index.term_buckets:
+        # A few queries: read only the term buckets they touch (partition pruning).
+        buckets = [r[0] for r in qterms.select(term_bucket("term", index.term_buckets)).distinct().collect()]
+        index = replace(index, postings=index.postings.filter(F.col("term_bucket").isin(buckets)),
+                        term_stats=index.term_stats.filter(F.col("term_bucket").isin(buckets)))
     passes = split_passes(qterms, n_rows, QUERY_TERM_BYTES, params.max_broadcast_bytes)
     scored = reduce(DataFrame.unionByName, [bm25_scores(index, p, params) for p in passes])
     return top_k(scored, params.top_k, tiebreak=index.id_col)

@@ -155,10 +155,17 @@ def vector_search(corpus: DataFrame, queries: DataFrame, params: SearchParams =
         if len(qids) == 0:
             continue
         probes = probes_for(q) if probes_for is not None else None
+        scan = slim
+        if probes is not None:
+            # Read only the probed cells: with vectors laid out by cell this is
+            # partition pruning, otherwise a pushed-down filter.
+            cells = np.flatnonzero(probes.any(axis=0)).tolist()
+            if len(cells) < probes.shape[1]:
+                scan = slim.filter(F.col(cell_col).isin(cells))
         bq = spark.sparkContext.broadcast((qids, q, probes))
         fn = _search_fn(bq, id_col, vec_col, cell_col, dim, params.top_k, params.space,
                         params.query_block)
-        results.append(slim.mapInArrow(fn, out_schema))
+        results.append(scan.mapInArrow(fn, out_schema))
     if not results:
         return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(None).cast("bigint"))
     return top_k(reduce(DataFrame.unionByName, results), params.top_k, tiebreak=id_col)
