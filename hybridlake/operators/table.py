@@ -61,6 +61,24 @@ def upsert(current: DataFrame, batch: DataFrame, batch_id: int, id_col: str = "c
     return latest_by_id(old.unionByName(new), id_col, ("_batch", "_seq"))
 
 
+def index_one(current: DataFrame, record: dict, batch_id: int, id_col: str = "chunk_id") -> DataFrame:
+    """Index a single record (metadata defaults to ``{}``): an upsert of one row,
+    visible in the returned table at once."""
+    spark = current.sparkSession
+    row = {c: record.get(c) for c in current.columns if c not in ("_batch", "_seq")}
+    if "metadata" in row and row["metadata"] is None:
+        row["metadata"] = {}
+    schema = current.select(*row.keys()).schema
+    one = spark.createDataFrame([tuple(row.values())], schema)
+    return upsert(current, one, batch_id, id_col=id_col, seq_col=None)
+
+
+def delete_report(records: DataFrame, name: str, name_col: str = "document_name") -> DataFrame:
+    """Counts of a delete-by-name: rows removed and rows kept (one pass)."""
+    hit = F.col(name_col).eqNullSafe(F.lit(name))
+    return records.agg(F.count(F.when(hit, 1)).alias("deleted"), F.count(F.when(~hit, 1)).alias("remaining"))
+
+
 def delete_by_ids(records: DataFrame, ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return records.join(ids.select(id_col), id_col, "left_anti")
 

@@ -19,10 +19,11 @@ from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
 from hybridlake.operators.prompts import (assemble_answers, attach_context, chat_prompt, context_blocks,
                                           history_windows, tutorial_prompt)
-from hybridlake.operators.table import (delete_by_ids, delete_by_name, ingest_report, latest_by_id,
+from hybridlake.operators.table import (delete_by_ids, delete_by_name, delete_report, ingest_report,
                                         list_records, sample_record, upsert, validate_records)
 from hybridlake.operators.topk import OUTPUT_DECIMALS
-from hybridlake.params import QUERY_TOP_K, SEARCH_TOP_K, ChunkParams, IVFParams, PromptParams, SearchParams
+from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, IVFParams, PromptParams,
+                               SearchParams)
 from hybridlake.plans.corpus import (DRIVER_DIM, DRIVER_EMBED, corpus_chunks, driver_index, driver_queries,
                                      encoded_queries)
 from hybridlake.session import scratch_path
@@ -166,6 +167,15 @@ def q_request_validation(spark: SparkSession, sf: str) -> DataFrame:
     return tagged.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_query_request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """RAG requests: top_k in 1..10 and temperature in 0..2 (first failing check reported)."""
+    req = (benchmark_queries(spark, sf).withColumn("top_k", F.ceil(F.col("qid") / 20))
+           .withColumn("temperature", F.col("qid") / 10.0))
+    tagged = split_requests(req, {"top_k_out_of_range": ("top_k", QUERY_TOP_K[0], QUERY_TOP_K[1]),
+                                  "temperature_out_of_range": ("temperature", TEMPERATURE[0], TEMPERATURE[1])})
+    return tagged.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- records ------------------------------------------------------------------
 
 def _doc_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,6 +216,11 @@ def q_delete_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return delete_by_name(d, DELETE_NAME)
 
 
+def q_delete_report(spark: SparkSession, sf: str) -> DataFrame:
+    d = read_table(spark, sf, "documents").select(F.col("source").alias("document_name"))
+    return delete_report(d, DELETE_NAME)
+
+
 def q_list_documents(spark: SparkSession, sf: str) -> DataFrame:
     return list_records(corpus_chunks(spark, sf), LIST_LIMIT, LIST_OFFSET, cols=("text",))
 
@@ -273,6 +288,18 @@ def q_qa_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("qid", tutorial_prompt("query_text", F.coalesce("context", F.lit(""))).alias("prompt"))
 
 
+def q_prompt_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """Display of a prompt: its length and first 200 characters."""
+    p = q_qa_prompts(spark, sf)
+    return p.select("qid", F.length("prompt").alias("prompt_length"), preview("prompt", 200).alias("preview"))
+
+
+def q_text_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """Display of extracted text: its cleaned length and first 500 characters."""
+    d = text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", clean_text("text").alias("t"))
+    return d.select("doc_id", F.length("t").alias("text_length"), preview("t", 500).alias("preview"))
+
+
 def q_rag_prompts(spark: SparkSession, sf: str) -> DataFrame:
     req = _user_requests(spark, sf, use_rag=True)
     p = SearchParams(top_k=QUERY_TOP_K[2])
@@ -331,10 +358,12 @@ QUERIES: dict[str, Q] = {
     "hybrid_raw": q_hybrid_raw,
     "search_hits": q_search_hits,
     "request_validation": q_request_validation,
+    "query_request_validation": q_query_request_validation,
     "ingest_report": q_ingest_report,
     "upsert_latest": q_upsert_latest,
     "delete_by_id": q_delete_by_id,
     "delete_by_name": q_delete_by_name,
+    "delete_report": q_delete_report,
     "list_documents": q_list_documents,
     "document_count": q_document_count,
     "sample_document": q_sample_document,
@@ -344,6 +373,8 @@ QUERIES: dict[str, Q] = {
     "history_window": q_history_window,
     "chat_prompts": q_chat_prompts,
     "qa_prompts": q_qa_prompts,
+    "prompt_preview": q_prompt_preview,
+    "text_preview": q_text_preview,
     "rag_prompts": q_rag_prompts,
     "answer_assembly": q_answer_assembly,
     "streaming_ingest": q_streaming_ingest,

@@ -206,6 +206,15 @@ SELECT doc_id, CAST(st // {STEP} AS INTEGER) AS chunk_index,
     THEN 'accepted' ELSE 'rejected' END AS status,
     CASE WHEN item_id BETWEEN {P.SEARCH_TOP_K[0]} AND {P.SEARCH_TOP_K[1]} THEN NULL ELSE 'top_k_out_of_range' END AS reason,
     count(*) AS n FROM benchmark GROUP BY ALL""",
+    "query_request_validation": f"""SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
+    reason, count(*) AS n FROM (SELECT CASE
+        WHEN NOT (ceil(item_id / 20) BETWEEN {P.QUERY_TOP_K[0]} AND {P.QUERY_TOP_K[1]}) THEN 'top_k_out_of_range'
+        WHEN NOT (item_id / 10.0 BETWEEN {P.TEMPERATURE[0]} AND {P.TEMPERATURE[1]}) THEN 'temperature_out_of_range'
+    END AS reason FROM benchmark) GROUP BY ALL""",
+    "delete_report": f"""SELECT count(*) FILTER (WHERE source IS NOT DISTINCT FROM {lit(DELETE_NAME)}) AS deleted,
+    count(*) FILTER (WHERE source IS DISTINCT FROM {lit(DELETE_NAME)}) AS remaining FROM documents""",
+    "text_preview": f"""SELECT doc_id, CAST(length(t) AS INTEGER) AS text_length, substr(t, 1, 500) || '...' AS preview
+    FROM (SELECT doc_id, {clean('text')} AS t FROM documents)""",
     "ingest_report": f"""SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, count(*) AS n
 FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL THEN 'missing_text'
     WHEN e.embedding IS NULL OR len(e.embedding) <> {DIM} THEN 'bad_dimension' END AS reason
@@ -233,6 +242,10 @@ FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL TH
     "qa_prompts": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K), HIT_TEXT, f"ctx AS ({context_agg('hit_text', 1)})")
     + f"SELECT b.qid, {lit(P.TUTORIAL_PROMPT_HEAD)} || COALESCE(c.context, '') || {lit(P.TUTORIAL_QUESTION)} "
     f"|| b.text || {lit(P.TUTORIAL_ANSWER)} AS prompt FROM bq b LEFT JOIN ctx c USING (qid)",
+    "prompt_preview": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K), HIT_TEXT, f"ctx AS ({context_agg('hit_text', 1)})",
+        f"qa AS (SELECT b.qid, {lit(P.TUTORIAL_PROMPT_HEAD)} || COALESCE(c.context, '') || {lit(P.TUTORIAL_QUESTION)} "
+        f"|| b.text || {lit(P.TUTORIAL_ANSWER)} AS prompt FROM bq b LEFT JOIN ctx c USING (qid))")
+    + "SELECT qid, CAST(length(prompt) AS INTEGER) AS prompt_length, substr(prompt, 1, 200) || '...' AS preview FROM qa",
     "rag_prompts": with_(CHUNKS, HISTORY, USER_Q, hybrid_ctes("uq", K_RAG), HIT_TEXT,
                          f"ctx AS ({context_agg('hit_text', 0)})")
     + f"SELECT u.conv_id, u.turn, {chat_prompt_sql('c.context', 'u.text')} AS prompt FROM uq u LEFT JOIN ctx c USING (qid)",

@@ -121,3 +121,16 @@ def test_plans_have_group_limit_and_no_pair_join(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_model_encoder_hook_and_prefix(spark):
+    from hybridlake.functions.text import with_passage_prefix
+    from hybridlake.functions.vectors import model_embedding
+
+    class Lengths:
+        def encode(self, texts):
+            return np.array([[len(t), t.count(" ")] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([("ab c",), ("",)], "t string")
+    rows = df.select(model_embedding(with_passage_prefix("t", True), Lengths, 2).alias("v")).collect()
+    assert [list(r.v) for r in rows] == [[13.0, 2.0], [9.0, 1.0]]

@@ -80,3 +80,13 @@ def test_streaming_ingest_replace_by_id_and_rerun(spark):
     assert len(view) == 25 and view[16] == "v1-16" and view[3] == "v0-3"
     assert run_ingest(spark, src, st, store, ckpt, keyed) == 0   # nothing new: no batch, same view
     assert len(current_view(spark, store).collect()) == 25
+
+
+def test_index_one_and_delete_report(spark):
+    from hybridlake.operators.table import delete_report, index_one
+    cur = spark.createDataFrame([("a", "d", "t", {"k": "v"})],
+                                "chunk_id string, document_name string, text string, metadata map<string,string>")
+    out = {r.chunk_id: r for r in index_one(cur, {"chunk_id": "b", "document_name": "e", "text": "new"}, 1).collect()}
+    assert set(out) == {"a", "b"} and out["b"].metadata == {} and out["a"].metadata == {"k": "v"}
+    rep = delete_report(cur.unionByName(cur.withColumn("document_name", F.lit(None))), "d").first()
+    assert (rep.deleted, rep.remaining) == (1, 1)
