@@ -276,8 +276,7 @@ def _user_requests(spark: SparkSession, sf: str, use_rag: bool) -> DataFrame:
 
 def q_chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
     req = _user_requests(spark, sf, use_rag=False)
-    ctx = spark.createDataFrame([], "qid long, context string")
-    j = attach_context(req, ctx)
+    j = attach_context(req, None)
     return j.select("conv_id", "turn", chat_prompt("query_text", "context", "history", PromptParams()).alias("prompt"))
 
 
@@ -311,9 +310,11 @@ def q_rag_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_answer_assembly(spark: SparkSession, sf: str) -> DataFrame:
     m = messages(spark, sf)
+    # Every turn is a fragment slot; only assistant turns carry content, so a
+    # conversation without one still appears (with '') and no join is needed.
     frags = m.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"),
                      F.when(F.col("role") == "assistant", F.col("text")).alias("content"))
-    return assemble_answers(frags, m.select(F.col("conv_id").alias("answer_id")).distinct())
+    return assemble_answers(frags)
 
 
 # -- streaming ----------------------------------------------------------------
