@@ -3,8 +3,8 @@
 Each leg returns its top-k per query; scores are min-max normalised per leg
 per query over those k rows (max = min -> 1.0), missing from a leg counts 0
 with its weight kept, combined by the weighted arithmetic mean, then top-k.
-Both legs arrive hash-partitioned by ``qid``, so the full outer join and the
-final ranking run without another exchange.
+Both legs arrive hash-partitioned by ``qid``, so stacking them, combining per
+(query, id) and the final ranking run without another exchange.
 """
 
 from __future__ import annotations
@@ -33,15 +33,23 @@ def min_max(df: DataFrame, score: str = "score", out: str = "norm", group: str =
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, params: SearchParams, id_col: str = "chunk_id") -> DataFrame:
-    """``keyword``/``vector``: (qid, id, score) top-k legs -> fused top-k."""
+    """``keyword``/``vector``: (qid, id, score) top-k legs -> fused top-k.
+
+    The legs are stacked and combined per (query, id) with an aggregate rather
+    than a full outer join: both legs are already hash-partitioned by ``qid``
+    and the union keeps that, so the aggregate and the final ranking need no
+    further exchange.
+    """
+    none = F.lit(None).cast("double")
     if params.normalization == "min_max":
-        kw = min_max(keyword).select("qid", id_col, F.col("norm").alias("keyword_score"))
-        vec = min_max(vector).select("qid", id_col, F.col("norm").alias("vector_score"))
+        kw, vec = min_max(keyword).withColumn("score", F.col("norm")), min_max(vector).withColumn("score", F.col("norm"))
     else:
-        kw = keyword.select("qid", id_col, F.col("score").alias("keyword_score"))
-        vec = vector.select("qid", id_col, F.col("score").alias("vector_score"))
+        kw, vec = keyword, vector
+    legs = (kw.select("qid", id_col, F.col("score").alias("keyword_score"), none.alias("vector_score"))
+            .unionByName(vec.select("qid", id_col, none.alias("keyword_score"), F.col("score").alias("vector_score"))))
+    both = legs.groupBy("qid", id_col).agg(F.max("keyword_score").alias("keyword_score"),
+                                           F.max("vector_score").alias("vector_score"))
     wk, wv = params.keyword_weight, params.vector_weight
-    both = kw.join(vec, ["qid", id_col], "full_outer")
     combined = (F.lit(wk) * F.coalesce("keyword_score", F.lit(0.0))
                 + F.lit(wv) * F.coalesce("vector_score", F.lit(0.0))) / F.lit(wk + wv)
     return top_k(both.withColumn("score", combined), params.top_k, tiebreak=id_col)
