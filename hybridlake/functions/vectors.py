@@ -1,6 +1,6 @@
 """Embedding functions.
 
-The reference delegates embedding to a sentence-transformer model. No model is
+The reference delegates embedding to a neural text-embedding model. No model is
 available offline, so the built-in encoder is deterministic signed feature
 hashing of analysed terms, L2-normalised (our design; the same md5-based rule is
 written in SQL for the oracle). A caller may plug in any model through
