@@ -4,6 +4,8 @@ snapshot store standing in for the reference's index lifecycle.
 Upsert keeps the latest version per id with an aggregate (``max_by`` on
 (batch, seq)), which combines map-side: a hot id is reduced to one row per
 partition before the shuffle instead of sorting its whole group in one task.
+The aggregate only sees the incoming batch and the rows it touches; the rest
+of the table is streamed through an anti join.
 """
 
 from __future__ import annotations
@@ -49,16 +51,32 @@ def latest_by_id(df: DataFrame, id_col: str, order_cols: tuple[str, ...]) -> Dat
     return df.groupBy(id_col).agg(best.alias("r")).select(id_col, *[F.col("r")[c].alias(c) for c in payload])
 
 
+# Incoming batches up to this many rows have their ids broadcast, so the table
+# being updated is only streamed (semi/anti joins), never shuffled.
+MAX_BROADCAST_IDS = 1_000_000
+
+
 def upsert(current: DataFrame, batch: DataFrame, batch_id: int, id_col: str = "chunk_id",
            seq_col: str | None = None) -> DataFrame:
     """Replace-by-id: the batch's rows replace whole records; inside the batch the
-    later row (``seq_col``, or input order) wins. Replaying a batch is a no-op."""
+    later row (``seq_col``, or input order) wins; a row never replaces a newer
+    version (so replaying a batch is a no-op).
+
+    Only the ids the batch touches are resolved by an aggregate; the rest of
+    the table passes through an anti join against the batch's ids.
+    """
     seq = F.col(seq_col) if seq_col else F.monotonically_increasing_id()
     cols = [c for c in current.columns if c not in ("_batch", "_seq")]
     old = current.select(*cols, F.col("_batch") if "_batch" in current.columns else F.lit(-1).cast("long").alias("_batch"),
                          F.col("_seq") if "_seq" in current.columns else F.lit(0).cast("long").alias("_seq"))
-    new = batch.select(*cols, F.lit(batch_id).cast("long").alias("_batch"), seq.cast("long").alias("_seq"))
-    return latest_by_id(old.unionByName(new), id_col, ("_batch", "_seq"))
+    new = latest_by_id(batch.select(*cols, F.lit(batch_id).cast("long").alias("_batch"), seq.cast("long").alias("_seq")),
+                       id_col, ("_batch", "_seq"))
+    ids = new.select(id_col)
+    if batch.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    touched = old.join(ids, id_col, "left_semi")
+    resolved = latest_by_id(touched.unionByName(new), id_col, ("_batch", "_seq"))
+    return old.join(ids, id_col, "left_anti").unionByName(resolved.select(*old.columns))
 
 
 def index_one(current: DataFrame, record: dict, batch_id: int, id_col: str = "chunk_id") -> DataFrame:

@@ -90,3 +90,12 @@ def test_index_one_and_delete_report(spark):
     assert set(out) == {"a", "b"} and out["b"].metadata == {} and out["a"].metadata == {"k": "v"}
     rep = delete_report(cur.unionByName(cur.withColumn("document_name", F.lit(None))), "d").first()
     assert (rep.deleted, rep.remaining) == (1, 1)
+
+
+def test_upsert_older_batch_never_wins(spark):
+    cur = _recs(spark, [("a", "d", "a0")])
+    b2 = spark.createDataFrame([("a", "d", "a2", 0)], "chunk_id string, document_name string, text string, seq long")
+    b1 = spark.createDataFrame([("a", "d", "a1", 0), ("z", "d", "z1", 1)],
+                               "chunk_id string, document_name string, text string, seq long")
+    after = upsert(upsert(cur, b2, 2, seq_col="seq"), b1, 1, seq_col="seq")
+    assert {r.chunk_id: r.text for r in after.collect()} == {"a": "a2", "z": "z1"}
