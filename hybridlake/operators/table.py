@@ -56,6 +56,20 @@ def latest_by_id(df: DataFrame, id_col: str, order_cols: tuple[str, ...]) -> Dat
 MAX_BROADCAST_IDS = 1_000_000
 
 
+def merge_latest(base: DataFrame, incoming: DataFrame, id_col: str, order_cols: tuple[str, ...],
+                 broadcast_ids: bool) -> DataFrame:
+    """``base`` (one row per id) updated with ``incoming``: per id the row with
+    the greatest ``order_cols`` wins. Only ids present in ``incoming`` are
+    aggregated; the rest of ``base`` passes through an anti join."""
+    new = latest_by_id(incoming, id_col, order_cols)
+    ids = new.select(id_col)
+    if broadcast_ids:
+        ids = F.broadcast(ids)
+    touched = base.join(ids, id_col, "left_semi")
+    resolved = latest_by_id(touched.unionByName(new), id_col, order_cols)
+    return base.join(ids, id_col, "left_anti").unionByName(resolved.select(*base.columns))
+
+
 def upsert(current: DataFrame, batch: DataFrame, batch_id: int, id_col: str = "chunk_id",
            seq_col: str | None = None) -> DataFrame:
     """Replace-by-id: the batch's rows replace whole records; inside the batch the
@@ -69,14 +83,8 @@ def upsert(current: DataFrame, batch: DataFrame, batch_id: int, id_col: str = "c
     cols = [c for c in current.columns if c not in ("_batch", "_seq")]
     old = current.select(*cols, F.col("_batch") if "_batch" in current.columns else F.lit(-1).cast("long").alias("_batch"),
                          F.col("_seq") if "_seq" in current.columns else F.lit(0).cast("long").alias("_seq"))
-    new = latest_by_id(batch.select(*cols, F.lit(batch_id).cast("long").alias("_batch"), seq.cast("long").alias("_seq")),
-                       id_col, ("_batch", "_seq"))
-    ids = new.select(id_col)
-    if batch.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    touched = old.join(ids, id_col, "left_semi")
-    resolved = latest_by_id(touched.unionByName(new), id_col, ("_batch", "_seq"))
-    return old.join(ids, id_col, "left_anti").unionByName(resolved.select(*old.columns))
+    new = batch.select(*cols, F.lit(batch_id).cast("long").alias("_batch"), seq.cast("long").alias("_seq"))
+    return merge_latest(old, new, id_col, ("_batch", "_seq"), batch.count() <= MAX_BROADCAST_IDS)
 
 
 def index_one(current: DataFrame, record: dict, batch_id: int, id_col: str = "chunk_id") -> DataFrame:

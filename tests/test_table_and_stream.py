@@ -99,3 +99,29 @@ def test_upsert_older_batch_never_wins(spark):
                                "chunk_id string, document_name string, text string, seq long")
     after = upsert(upsert(cur, b2, 2, seq_col="seq"), b1, 1, seq_col="seq")
     assert {r.chunk_id: r.text for r in after.collect()} == {"a": "a2", "z": "z1"}
+
+
+def test_streaming_view_with_compaction(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from hybridlake.streaming.ingest import compact
+    root = scratch_path(spark, "stream-compact")
+    src, store, ckpt, snap = f"{root}/in", f"{root}/store", f"{root}/ckpt", f"{root}/snap"
+    st = StructType([StructField("id", LongType()), StructField("text", StringType())])
+
+    def keyed(df):
+        return df.withColumnRenamed("id", "chunk_id")
+
+    def drop(rows):
+        spark.createDataFrame(rows, st).write.mode("append").parquet(src)
+        run_ingest(spark, src, st, store, ckpt, keyed)
+
+    drop([(i, f"a{i}") for i in range(10)])
+    drop([(i, f"b{i}") for i in range(5, 12)])
+    before = {r.chunk_id: r.text for r in current_view(spark, store).collect()}
+    assert compact(spark, store, snap) == 1
+    drop([(i, f"c{i}") for i in (0, 11, 20)])
+    after = {r.chunk_id: r.text for r in current_view(spark, store, snapshot_dir=snap).collect()}
+    plain = {r.chunk_id: r.text for r in current_view(spark, store).collect()}
+    assert after == plain
+    assert before[5] == "b5" and after[0] == "c0" and after[11] == "c11" and after[20] == "c20" and after[3] == "a3"
