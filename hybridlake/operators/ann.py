@@ -43,12 +43,15 @@ def build_ivf(vectors: DataFrame, params: IVFParams = IVFParams(), *, dim: int,
         valid = valid.filter(F.exists(vec_col, lambda x: x != 0))
     src = _unit(vec_col) if space == "cosine" else F.col(vec_col)
     feats = valid.withColumn("features", array_to_vector(src))
+    train = feats if params.train_fraction >= 1 else feats.sample(fraction=params.train_fraction, seed=params.seed)
     model = KMeans(k=params.n_cells, seed=params.seed, maxIter=params.max_iter,
-                   featuresCol="features", predictionCol="cell").fit(feats)
+                   featuresCol="features", predictionCol="cell").fit(train)
     centers = np.array(model.clusterCenters(), dtype=np.float64)
     assigned = model.transform(feats).select(id_col, vec_col, F.col("cell").cast("int").alias("cell"))
     if materialize_to is not None:
-        assigned.write.mode("overwrite").partitionBy("cell").parquet(materialize_to)
+        # One folder per cell; REBALANCE lets AQE split a crowded cell over
+        # several tasks instead of every task writing a file into every cell.
+        assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(materialize_to)
         assigned = vectors.sparkSession.read.parquet(materialize_to)
     return IVFIndex(assigned, centers, dim, id_col, space)
 

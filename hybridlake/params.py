@@ -147,11 +147,17 @@ class PromptParams:
 
 @dataclass(frozen=True)
 class IVFParams:
+    """``train_fraction`` < 1 fits the centroids on a random share of the
+    vectors (every vector is still assigned a cell and searched)."""
+
     n_cells: int = 16
     nprobe: int = 8
     max_iter: int = 20
     seed: int = 7
+    train_fraction: float = 1.0
 
     def __post_init__(self) -> None:
         if not 1 <= self.nprobe <= self.n_cells:
             raise ValueError("nprobe must be in 1..n_cells")
+        if not 0 < self.train_fraction <= 1:
+            raise ValueError("train_fraction must be in (0, 1]")

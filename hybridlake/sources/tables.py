@@ -26,8 +26,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle); a small or unsplittable one (a single row group) would otherwise
     run every CPU-heavy text step in one task.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(target) if narrow else df
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
