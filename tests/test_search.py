@@ -134,3 +134,13 @@ def test_model_encoder_hook_and_prefix(spark):
     df = spark.createDataFrame([("ab c",), ("",)], "t string")
     rows = df.select(model_embedding(with_passage_prefix("t", True), Lengths, 2).alias("v")).collect()
     assert [list(r.v) for r in rows] == [[13.0, 2.0], [9.0, 1.0]]
+
+
+def test_keyword_scan_with_forced_passes_matches_join(spark):
+    from hybridlake.operators.keyword import keyword_search_batch
+    idx = driver_index(spark, SF_SMALL)
+    q = driver_queries(spark, SF_SMALL)
+    a = sorted((r.qid, r.chunk_id, r.rank) for r in keyword_search(idx, q, method="join").collect())
+    tiny = SearchParams(max_broadcast_bytes=20_000)  # several query passes
+    b = sorted((r.qid, r.chunk_id, r.rank) for r in keyword_search_batch(idx, q, tiny).collect())
+    assert a == b
