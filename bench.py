@@ -25,7 +25,7 @@ from hybridlake.session import local_session  # noqa: E402
 
 HEADLINE = ("clean_text", "chunk_records", "hash_embedding", "keyword_search", "knn_l2", "knn_cosine",
             "knn_ivf", "hybrid_search", "search_hits", "rag_prompts", "upsert_latest", "streaming_ingest")
-WARMUP = ("chunk_records", "hybrid_search")
+WARMUP = ("chunk_records", "hash_embedding", "hybrid_search", "rag_prompts", "streaming_ingest")
 
 
 def run(spark, name: str, sf: str) -> float:
