@@ -102,3 +102,39 @@ def dimension_ok(vec: str | Column, dim: int) -> Column:
     """Dimension contract: a non-null vector of exactly ``dim`` values."""
     v = F.col(vec) if isinstance(vec, str) else vec
     return v.isNotNull() & (F.size(v) == dim)
+
+
+TERM_COUNTS_TYPE = "array<struct<term:string,tf:int>>"
+
+
+def term_counts_arrow(terms: pa.Array) -> pa.Array:
+    """Per row: the distinct terms of a ``list<string>`` with their counts,
+    computed for a whole Arrow batch at once (dictionary codes + ``np.unique``)."""
+    if isinstance(terms, pa.ChunkedArray):
+        terms = terms.combine_chunks()
+    n = len(terms)
+    parents = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = pc.dictionary_encode(pc.list_flatten(terms))
+    v = max(len(enc.dictionary), 1)
+    idx = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys, counts = np.unique(parents * v + idx, return_counts=True)
+    rows = keys // v
+    words = enc.dictionary.take(pa.array(keys % v, type=pa.int64()))
+    if words.type != pa.string():
+        words = words.cast(pa.string())
+    items = pa.StructArray.from_arrays([words, pa.array(counts.astype(np.int32), type=pa.int32())],
+                                       names=["term", "tf"])
+    offsets = np.zeros(n + 1, dtype=np.int32)
+    offsets[1:] = np.cumsum(np.bincount(rows, minlength=n))
+    mask = None if terms.null_count == 0 else pa.array(~terms.is_valid().to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items, mask=mask)
+
+
+def term_counts(terms: str | Column) -> Column:
+    """``array<struct<term, tf>>``: term frequencies of one row's term array."""
+
+    @F.arrow_udf(TERM_COUNTS_TYPE)
+    def _count(t: pa.Array) -> pa.Array:
+        return term_counts_arrow(t)
+
+    return _count(F.col(terms) if isinstance(terms, str) else terms)

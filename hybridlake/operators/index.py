@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze, with_passage_prefix
-from hybridlake.functions.vectors import hash_embedding
+from hybridlake.functions.vectors import hash_embedding, term_counts
 from hybridlake.params import EmbedParams
 
 
@@ -40,12 +40,13 @@ def embed_records(records: DataFrame, params: EmbedParams, text_col: str = "text
 
 
 def build_postings(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """``(term, id, tf, dl)``. A chunk's terms all sit in its own row, so term
+    frequencies are counted per row (in Arrow batches): no shuffle."""
     terms_col = F.col("terms") if "terms" in records.columns else analyze(text_col)
     terms = records.select(id_col, terms_col.alias("terms"))
-    exploded = terms.select(id_col, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return (exploded.groupBy("term", id_col, "dl")
-            .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-            .select("term", id_col, "tf", F.col("dl").cast("int").alias("dl")))
+    exploded = terms.select(id_col, F.size("terms").cast("int").alias("dl"),
+                            F.explode(term_counts("terms")).alias("p"))
+    return exploded.select(F.col("p.term").alias("term"), id_col, F.col("p.tf").alias("tf"), "dl")
 
 
 # Postings and term statistics are laid out in directories by term bucket, so a
