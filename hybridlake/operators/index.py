@@ -28,6 +28,7 @@ class SearchIndex:
     dim: int
     id_col: str = "chunk_id"
     term_buckets: int | None = None   # set when postings are laid out by term bucket
+    id_buckets: int | None = None     # set when records are laid out by id bucket
 
 
 def embed_records(records: DataFrame, params: EmbedParams, text_col: str = "text",
@@ -60,6 +61,29 @@ def bucket_count(n_records: int) -> int:
     return int(min(MAX_BUCKETS, max(MIN_BUCKETS, n_records // CHUNKS_PER_BUCKET)))
 
 
+# Records are laid out by a hash bucket of their id, one bucket per this many
+# input bytes, so a hit lookup reads only the buckets holding hits.
+INPUT_BYTES_PER_ID_BUCKET = 64 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the files a DataFrame reads (0 when it reads none)."""
+    try:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        total = 0
+        for f in df.inputFiles():
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        return total
+    except Exception:  # noqa: BLE001 - sizes unknown: the smallest layout
+        return 0
+
+
+def id_bucket_count(df: DataFrame) -> int:
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, input_bytes(df) // INPUT_BYTES_PER_ID_BUCKET)))
+
+
 def term_bucket(term: str | F.Column = "term", buckets: int = MIN_BUCKETS) -> F.Column:
     t = F.col(term) if isinstance(term, str) else term
     return F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
@@ -84,8 +108,11 @@ def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_
                            build_corpus_stats(records, text_col), dim, id_col)
     spark = records.sparkSession
     root = materialize_to.rstrip("/")
-    # One pass over the documents: clean, chunk, analyse, embed, write.
-    records.write.mode("overwrite").parquet(f"{root}/records")
+    # One pass over the documents: clean, chunk, analyse, embed, write; laid out
+    # by id bucket (rebalanced, so no bucket is a hot task) for hit lookups.
+    id_buckets = id_bucket_count(records)
+    (records.withColumn("id_bucket", term_bucket(id_col, id_buckets)).hint("rebalance", "id_bucket")
+     .write.mode("overwrite").partitionBy("id_bucket").parquet(f"{root}/records"))
     r = spark.read.parquet(f"{root}/records")
     n_docs = r.count()
     buckets = bucket_count(n_docs)
@@ -104,4 +131,4 @@ def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_
     spark.createDataFrame([(n_docs, float(total) / n_docs if n_docs else 0.0)],
                           "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{root}/corpus_stats")
     return SearchIndex(r, p, spark.read.parquet(f"{root}/term_stats"),
-                       spark.read.parquet(f"{root}/corpus_stats"), dim, id_col, buckets)
+                       spark.read.parquet(f"{root}/corpus_stats"), dim, id_col, buckets, id_buckets)

@@ -155,7 +155,8 @@ def _bound(queries: DataFrame, k: int) -> int:
 
 def q_search_hits(spark: SparkSession, sf: str) -> DataFrame:
     idx = driver_index(spark, sf)
-    h = search_hits(_hybrid(spark, sf), idx.records, max_rows=_bound(benchmark_queries(spark, sf), SEARCH.top_k))
+    h = search_hits(_hybrid(spark, sf), idx.records, max_rows=_bound(benchmark_queries(spark, sf), SEARCH.top_k),
+                    id_buckets=idx.id_buckets)
     return h.select("qid", "rank", "chunk_id", "text", "score", F.size("metadata").alias("metadata_size"),
                     "total", "preview", "score_3")
 
@@ -254,7 +255,8 @@ def q_embedding_preview(spark: SparkSession, sf: str) -> DataFrame:
 # -- prompts ------------------------------------------------------------------
 
 def _hits_with_text(spark: SparkSession, sf: str, hits: DataFrame, max_rows: int) -> DataFrame:
-    return attach_records(hits, driver_index(spark, sf).records, ("text",), max_rows=max_rows)
+    idx = driver_index(spark, sf)
+    return attach_records(hits, idx.records, ("text",), max_rows=max_rows, id_buckets=idx.id_buckets)
 
 
 def q_context_blocks(spark: SparkSession, sf: str) -> DataFrame:
