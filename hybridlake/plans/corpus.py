@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze, with_passage_prefix
 from hybridlake.functions.vectors import hash_embedding

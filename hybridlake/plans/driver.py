@@ -13,7 +13,7 @@ from hybridlake.functions.text import analyze, clean_text, preview
 from hybridlake.functions.vectors import hash_embedding
 from hybridlake.operators.ann import build_ivf, ivf_search
 from hybridlake.operators.chunking import chunk_records, chunk_text
-from hybridlake.operators.fusion import fuse, hybrid_search, min_max
+from hybridlake.operators.fusion import hybrid_search, min_max
 from hybridlake.operators.hits import attach_records, search_hits, split_requests
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search

@@ -6,7 +6,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze, clean_again, clean_text, record_id, record_name, tokens
 from hybridlake.operators.chunking import chunk_records, chunk_text
