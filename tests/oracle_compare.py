@@ -68,9 +68,15 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     if sorted(sp.columns) != sorted(dp.columns):
         res["status"] = f"columns differ: {sorted(sp.columns)} vs {sorted(dp.columns)}"
         return res
+    ta = {c: str(sp[c].dtype) for c in sp.columns}
+    tb = {c: str(dp[c].dtype) for c in dp.columns}
+    if ta != tb:
+        res["dtypes"] = {c: (ta[c], tb[c]) for c in ta if ta[c] != tb[c]}
     a, b = rows_of(sp), rows_of(dp)
-    if a == b:
+    if a == b and "dtypes" not in res:
         res["status"] = "match"
+    elif a == b:
+        res["status"] = "dtype mismatch"
     else:
         sa, sb = set(a), set(b)
         res["status"] = "value mismatch"
