@@ -40,6 +40,13 @@ def embed_records(records: DataFrame, params: EmbedParams, text_col: str = "text
     return with_terms.withColumn(out_col, hash_embedding(src, params.dim))
 
 
+def embed_queries(queries: DataFrame, params: EmbedParams, text_col: str = "query_text") -> DataFrame:
+    """Attach ``query_vector``: the encoder applied to the (optionally prefixed)
+    query text; the keyword leg keeps the unprefixed text."""
+    src = with_passage_prefix(text_col, params.passage_prefix)
+    return queries.withColumn("query_vector", hash_embedding(analyze(src), params.dim))
+
+
 def build_postings(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """``(term, id, tf, dl)``. A chunk's terms all sit in its own row, so term
     frequencies are counted per row (in Arrow batches): no shuffle."""

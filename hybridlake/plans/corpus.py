@@ -7,10 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridlake.functions.text import analyze, with_passage_prefix
-from hybridlake.functions.vectors import hash_embedding
 from hybridlake.operators.chunking import chunk_records
-from hybridlake.operators.index import SearchIndex, build_index, embed_records
+from hybridlake.operators.index import SearchIndex, build_index, embed_queries, embed_records
 from hybridlake.params import ChunkParams, EmbedParams
 from hybridlake.session import scratch_path
 from hybridlake.sources.tables import benchmark_queries, corpus_documents
@@ -29,10 +27,7 @@ def corpus_chunks(spark: SparkSession, sf_dir: str, chunk: ChunkParams = ChunkPa
 
 def encoded_queries(queries: DataFrame, embed: EmbedParams = DRIVER_EMBED,
                     text_col: str = "query_text") -> DataFrame:
-    """Attach ``query_vector``: the encoder applied to the (optionally prefixed) text;
-    the keyword leg keeps the unprefixed text."""
-    src = with_passage_prefix(text_col, embed.passage_prefix)
-    return queries.withColumn("query_vector", hash_embedding(analyze(src), embed.dim))
+    return embed_queries(queries, embed, text_col)
 
 
 def driver_queries(spark: SparkSession, sf_dir: str, embed: EmbedParams = DRIVER_EMBED) -> DataFrame:

@@ -19,13 +19,13 @@ from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
 from hybridlake.operators.prompts import (assemble_answers, attach_context, chat_prompt, context_blocks,
                                           history_windows, tutorial_prompt)
+from hybridlake.operators.rag import rag_prompts
 from hybridlake.operators.table import (delete_by_ids, delete_by_name, delete_report, ingest_report,
                                         list_records, sample_record, upsert, validate_records)
 from hybridlake.operators.topk import OUTPUT_DECIMALS
 from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, IVFParams, PromptParams,
                                SearchParams)
-from hybridlake.plans.corpus import (DRIVER_DIM, DRIVER_EMBED, corpus_chunks, driver_index, driver_queries,
-                                     encoded_queries)
+from hybridlake.plans.corpus import DRIVER_DIM, DRIVER_EMBED, corpus_chunks, driver_index, driver_queries
 from hybridlake.session import scratch_path
 from hybridlake.sources.pages import assemble_pages
 from hybridlake.sources.tables import (benchmark_queries, conversation_pages, corpus_documents, messages,
@@ -303,11 +303,8 @@ def q_text_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rag_prompts(spark: SparkSession, sf: str) -> DataFrame:
     req = _user_requests(spark, sf, use_rag=True)
-    p = SearchParams(top_k=QUERY_TOP_K[2])
-    hits = hybrid_search(driver_index(spark, sf), encoded_queries(req, DRIVER_EMBED), p)
-    ctx = context_blocks(_hits_with_text(spark, sf, hits, _bound(req, p.top_k)), first_label=0)
-    j = attach_context(req, ctx)
-    return j.select("conv_id", "turn", chat_prompt("query_text", "context", "history", PromptParams()).alias("prompt"))
+    out = rag_prompts(driver_index(spark, sf), req, DRIVER_EMBED)
+    return out.select("conv_id", "turn", "prompt")
 
 
 def q_answer_assembly(spark: SparkSession, sf: str) -> DataFrame:
