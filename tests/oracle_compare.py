@@ -30,11 +30,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"   # compare floats bit for bit
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, dict):
         return tuple(sorted(v.items()))
     if isinstance(v, (list, tuple)):
