@@ -102,7 +102,8 @@ def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
                 terms = rb.column("terms")
                 dl = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.float64)
                 parents = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-                j = pc.index_in(pc.list_flatten(terms), value_set=vocab)
+                flat = pc.list_flatten(terms)
+                j = pc.index_in(flat, value_set=vocab if vocab.type == flat.type else vocab.cast(flat.type))
                 hit = j.is_valid().to_numpy(zero_copy_only=False)
                 if not hit.any():
                     continue
