@@ -141,3 +141,23 @@ def test_analyze(spark):
     assert _one(spark, analyze("t"), "Hello, wörld_2 -- x") == ["hello", "wörld", "2", "x"]
     assert _one(spark, analyze("t"), "  ") == []
     assert _one(spark, tokens("t"), "") == [""]
+
+
+def test_passage_prefix_on_store_and_embed(spark):
+    from hybridlake.functions.vectors import hash_embedding
+    from hybridlake.operators.index import embed_queries, embed_records
+    from hybridlake.params import EmbedParams
+
+    docs = spark.createDataFrame([(1, "d/a.pdf", "alpha beta")], "doc_id long, path string, text string")
+    stored = chunk_records(docs, prefix_stored_text=True).first()
+    assert stored.text == "passage: alpha beta"
+    plain = chunk_records(docs)
+    on = embed_records(plain, EmbedParams(dim=8, passage_prefix=True)).first()
+    off = embed_records(plain, EmbedParams(dim=8)).first()
+    want = spark.createDataFrame([("passage: alpha beta",)], "t string").select(
+        hash_embedding(analyze("t"), 8).alias("v")).first().v
+    assert list(on.embedding) == list(want) and list(off.embedding) != list(want)
+    assert on.terms == ["alpha", "beta"]  # the keyword side keeps the unprefixed text
+    q = spark.createDataFrame([(0, "alpha beta")], "qid long, query_text string")
+    qv = embed_queries(q, EmbedParams(dim=8, passage_prefix=True)).first()
+    assert list(qv.query_vector) == list(want) and qv.query_text == "alpha beta"
