@@ -84,6 +84,10 @@ def keyword_search(index: SearchIndex, queries: DataFrame, params: SearchParams
 JOIN_MAX_QUERY_TERMS = 4096
 # Score cells (queries x chunks) materialised per block inside a task.
 BLOCK_CELLS = 1 << 23
+# Terms used by at least this share of the queries in a pass (stop words) are
+# scored with one dense matrix product; the rest by the sparse expansion.
+DENSE_QUERY_SHARE = 0.02
+DENSE_MAX_CELLS = 1 << 22
 
 
 def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
@@ -92,7 +96,7 @@ def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
     import pyarrow.compute as pc
 
     def fn(batches):
-        vocab, indptr, qidx, w, qids = bw.value
+        vocab, indptr, qidx, w, qids, dense_col, w_dense = bw.value
         nq = len(qids)
         rows_per_block = max(1, BLOCK_CELLS // max(nq, 1))
         for big in batches:
@@ -112,11 +116,19 @@ def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
                 r, t = key // len(vocab), key % len(vocab)
                 tf = tf.astype(np.float64)
                 den = tf + k1 * ((1.0 - b) + b * dl[r] / avgdl)
-                cnt = indptr[t + 1] - indptr[t]
-                rep = np.repeat(np.arange(len(key)), cnt)
-                pos = indptr[t][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(cnt) - cnt, cnt))
-                val = w[pos] * tf[rep] / den[rep]
-                s = np.bincount(qidx[pos] * nb + r[rep], weights=val, minlength=nq * nb).reshape(nq, nb)
+                dc = dense_col[t]
+                is_dense = dc >= 0
+                sp = ~is_dense
+                r_s, t_s, tf_s, den_s = r[sp], t[sp], tf[sp], den[sp]
+                cnt = indptr[t_s + 1] - indptr[t_s]
+                rep = np.repeat(np.arange(len(r_s)), cnt)
+                pos = indptr[t_s][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+                val = w[pos] * tf_s[rep] / den_s[rep]
+                s = np.bincount(qidx[pos] * nb + r_s[rep], weights=val, minlength=nq * nb).reshape(nq, nb)
+                if is_dense.any():
+                    dmat = np.zeros((nb, w_dense.shape[0]))
+                    dmat[r[is_dense], dc[is_dense]] = tf[is_dense] / den[is_dense]
+                    s += (dmat @ w_dense).T
                 s[s <= 0] = -np.inf
                 ids = rb.column(id_col)
                 ids_np = ids.to_numpy(zero_copy_only=False)
@@ -147,9 +159,22 @@ def _query_weights(index: SearchIndex, qterms: DataFrame, params: SearchParams):
     qid_all = wt.column("qid").to_numpy()
     qids = np.unique(qid_all)
     qi = np.searchsorted(qids, qid_all)
+    w_all = wt.column("w").to_numpy()
+    # Terms shared by many queries get a dense (term x query) weight matrix.
+    per_term = np.bincount(j, minlength=len(vocab))
+    threshold = max(2, int(np.ceil(DENSE_QUERY_SHARE * len(qids))))
+    dense_terms = np.flatnonzero(per_term >= threshold)
+    dense_terms = dense_terms[np.argsort(-per_term[dense_terms], kind="stable")][:max(0, DENSE_MAX_CELLS // len(qids))]
+    dense_col = np.full(len(vocab), -1, dtype=np.int64)
+    dense_col[dense_terms] = np.arange(len(dense_terms))
+    w_dense = np.zeros((len(dense_terms), len(qids)))
+    in_dense = dense_col[j] >= 0
+    w_dense[dense_col[j][in_dense], qi[in_dense]] = w_all[in_dense]
+    keep = ~in_dense
+    j, qi, w_all = j[keep], qi[keep], w_all[keep]
     order = np.argsort(j, kind="stable")
     indptr = np.concatenate([[0], np.cumsum(np.bincount(j, minlength=len(vocab)))]).astype(np.int64)
-    return vocab, indptr, qi[order].astype(np.int64), wt.column("w").to_numpy()[order], qids
+    return vocab, indptr, qi[order].astype(np.int64), w_all[order], qids, dense_col, w_dense
 
 
 def keyword_search_batch(index: SearchIndex, queries: DataFrame, params: SearchParams = SearchParams(),
