@@ -88,6 +88,7 @@ BLOCK_CELLS = 1 << 23
 # scored with one dense matrix product; the rest by the sparse expansion.
 DENSE_QUERY_SHARE = 0.02
 DENSE_MAX_CELLS = 1 << 22
+DENSE_MAX_TERMS = 512
 
 
 def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
@@ -164,7 +165,8 @@ def _query_weights(index: SearchIndex, qterms: DataFrame, params: SearchParams):
     per_term = np.bincount(j, minlength=len(vocab))
     threshold = max(2, int(np.ceil(DENSE_QUERY_SHARE * len(qids))))
     dense_terms = np.flatnonzero(per_term >= threshold)
-    dense_terms = dense_terms[np.argsort(-per_term[dense_terms], kind="stable")][:max(0, DENSE_MAX_CELLS // len(qids))]
+    cap = min(DENSE_MAX_TERMS, DENSE_MAX_CELLS // len(qids))
+    dense_terms = dense_terms[np.argsort(-per_term[dense_terms], kind="stable")][:cap]
     dense_col = np.full(len(vocab), -1, dtype=np.int64)
     dense_col[dense_terms] = np.arange(len(dense_terms))
     w_dense = np.zeros((len(dense_terms), len(qids)))
