@@ -161,3 +161,12 @@ def test_passage_prefix_on_store_and_embed(spark):
     q = spark.createDataFrame([(0, "alpha beta")], "qid long, query_text string")
     qv = embed_queries(q, EmbedParams(dim=8, passage_prefix=True)).first()
     assert list(qv.query_vector) == list(want) and qv.query_text == "alpha beta"
+
+
+def test_spread_only_widens_narrow_scans(spark):
+    from hybridlake.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    narrow = spark.range(100).coalesce(1)
+    wide = spark.range(0, 1000, numPartitions=cores * 2)
+    assert spread(narrow).rdd.getNumPartitions() == cores
+    assert "Exchange" not in spread(wide)._jdf.queryExecution().executedPlan().toString()
