@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hybridlake.llm import packing, quality_model, quality_rules, simhash
+from hybridlake.llm import packing, quality_model, quality_rules, secrets, simhash
 from hybridlake.llm.common import documents
 from hybridlake.sources.tables import read_table
 
@@ -23,6 +24,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    count = {f"n_{kind}": secrets.counted("base", kind) for kind in secrets.KINDS[:3]}
+    return found.withColumns(count).select(
+        "doc_id", *count, F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -32,5 +41,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
     "op8_simhash": op8_simhash,
 }
