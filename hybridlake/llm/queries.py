@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import packing, quality_model, quality_rules, secrets, simhash
+from hybridlake.llm import fingerprints, line_templates, packing, quality_model, quality_rules, secrets, simhash
 from hybridlake.llm.common import documents
 from hybridlake.sources.tables import read_table
 
@@ -32,6 +32,21 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined("spans").alias("spans"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    found = line_templates.drop_boilerplate(docs.withColumn("n_lines", n_lines))
+    return found.select("doc_id", "n_lines", F.col("_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("kept_text"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_likeness(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.written("sketch").alias("fingerprint"),
+        fingerprints.written("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next", "in_edited")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -42,5 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op6_secret_scans": op6_secret_scans,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
