@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import fingerprints, line_templates, packing, quality_model, quality_rules, secrets, simhash
+from hybridlake.llm import fingerprints, line_templates, packing, quality_model, quality_rules, secrets, simhash, toxicity
 from hybridlake.llm.common import documents
 from hybridlake.sources.tables import read_table
 
@@ -52,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir, "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
@@ -60,4 +64,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
