@@ -15,8 +15,6 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +32,10 @@ class ToxicityParams:
     #: Labelled rows that a fit uses at most, about (a sample by hash above it).
     max_fit_rows: int = 30_000
     #: Words and beginnings that the links see.
-    features: int = 512
+    features: int = 384
     folds: int = 2
     ridge: float = 1e-4
-    iterations: int = 40
+    iterations: int = 12
     threshold: float = 0.5
     #: Categories before the last, and the labelled rows that one needs.
     max_categories: int = 8
@@ -71,27 +69,59 @@ def counts_at(text: str, place: dict[str, int]) -> dict[int, int]:
     return found
 
 
+def dense(rows: list[dict[int, int]], size: int):
+    """A row per text, a column per feature: the logarithm of its occurrences."""
+    import numpy as np
+
+    x = np.zeros((len(rows), size), np.float32)
+    for row, found in zip(x, rows):
+        if found:
+            row[list(found)] = np.log1p(list(found.values()))
+    return x
+
+
+def with_link(x, weights):
+    """``x`` and the probability that a link gives each of its rows, as a further column."""
+    import numpy as np
+
+    margin = x @ np.array(weights[:-1], np.float32) + weights[-1]
+    return np.column_stack([x, 1 / (1 + np.exp(-np.clip(margin, -50, 50)))]).astype(np.float32)
+
+
+def logistic(x, y, ridge: float, iterations: int) -> list[float]:
+    """Weights and intercept of a ridge logistic regression, by Newton steps."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    w = np.zeros(x.shape[1])
+    penalty = np.full(len(w), ridge * max(1, len(x)))
+    penalty[-1] = 1e-6
+    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    for _ in range(iterations):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        slope = x.T @ (p - y) + penalty * w
+        curve = (x * (p * (1 - p) + 1e-9).astype(np.float32)[:, None]).T @ x
+        step = np.linalg.solve(curve.astype(np.float64) + np.diag(penalty), slope)
+        w -= step * min(1.0, 8 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-4:
+            break
+    return w.tolist()
+
+
 @dataclass
 class ToxicityModel:
     params: ToxicityParams
     place: dict[str, int] = field(default_factory=dict)
     categories: list[str] = field(default_factory=list)
-    #: Of each link: weights of the features, then of the earlier probabilities; the intercept.
-    links: list[tuple[list[float], float]] = field(default_factory=list)
+    #: Of each link: weights of the features, then of the earlier probabilities, then the intercept.
+    links: list[list[float]] = field(default_factory=list)
 
     def probabilities(self, block: list[str]):
         """A row per text, a column per category."""
-        import numpy as np
-
-        size = len(self.place)
-        x = np.zeros((len(block), size))
-        for row, text in zip(x, block):
-            for at, times in counts_at(text, self.place).items():
-                row[at] = np.log1p(times)
-        for weights, intercept in self.links:
-            margin = x @ np.array(weights) + intercept
-            x = np.column_stack([x, 1 / (1 + np.exp(-np.clip(margin, -500, 500)))])
-        return x[:, size:]
+        x = dense([counts_at(t, self.place) for t in block], len(self.place))
+        for weights in self.links:
+            x = with_link(x, weights)
+        return x[:, len(self.place):].astype(float)
 
 
 def _telling(labelled: DataFrame, categories: list[str], params: ToxicityParams) -> list[str]:
@@ -146,33 +176,41 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], params: Toxic
     size, place = len(model.place), model.place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
-            x = np.zeros((batch.num_rows, size))
-            for row, text in zip(x, texts(batch)):
-                for at, times in counts_at(text, place).items():
-                    row[at] = np.log1p(times)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1),
-                                              batch.column(2)], names=["x", "y", "fold"])
-
-    table = stored(labelled.mapInArrow(run, "x array<double>, y array<double>, fold int"), "toxicity-features")
+            found = [counts_at(t, place) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([list(f.items()) for f in found], pa.map_(pa.int32(), pa.int32())), batch.column(1),
+                 batch.column(2)], names=["x", "y", "fold"])
+
+    table = stored(labelled.mapInArrow(run, "x map<int,int>, y array<double>, fold int"), "toxicity-features")
+    folds = params.folds
+    # a link's models, one per task: without fold 0, without fold 1, ..., of all; max_fit_rows rows each at most
+    learners = table.withColumn("without", F.explode(F.array(*[F.lit(f) for f in range(folds + 1)]))).where(
+        "fold <> without")
+    of_fold: list[list[list[float]]] = []  # by link, then by the fold left out
+
     for i in range(len(categories)):
-        rows = table.select("x", F.col("y")[i].alias("label"), "y", "fold").withColumn(
-            "features", array_to_vector("x")).persist()
-        learner = LogisticRegression(maxIter=params.iterations, regParam=params.ridge, standardization=False)
-        linear = learner.fit(rows)
-        model.links.append((linear.coefficients.toArray().tolist(), float(linear.intercept)))
-        if i + 1 < len(categories):
-            out = None
-            for fold in range(params.folds):
-                rest = rows.where(F.col("fold") != fold)
-                own = rows.where(F.col("fold") == fold)
-                scored = (learner.fit(rest) if not rest.isEmpty() else linear).transform(own)
-                scored = scored.select(F.concat("x", F.array(vector_to_array("probability")[1])).alias("x"), "y", "fold")
-                out = scored if out is None else out.unionByName(scored)
-            table = stored(out, "toxicity-features")
-        rows.unpersist()
+        link, earlier = i, list(of_fold)
+
+        def learn(group: pa.Table) -> pa.Table:
+            import numpy as np
+
+            x = dense([dict(r) for r in group.column("x").to_pylist()], size)
+            fold = group.column("fold").to_numpy()
+            for weights in earlier:  # each row's from the model that has not seen it
+                column = np.zeros(len(x), np.float32)
+                for f in range(folds):
+                    column[fold == f] = with_link(x[fold == f], weights[f])[:, -1]
+                x = np.column_stack([x, column])
+            y = np.array([r[link] for r in group.column("y").to_pylist()])
+            found = logistic(x, y, params.ridge, params.iterations)
+            return pa.table({"without": [group.column("without")[0].as_py()], "weights": [found]},
+                            schema=pa.schema([("without", pa.int32()), ("weights", pa.list_(pa.float64()))]))
+
+        found = {r["without"]: list(r["weights"]) for r in learners.groupBy("without").applyInArrow(
+            learn, "without int, weights array<double>").collect()}
+        of_fold.append([found.get(f, found[folds]) for f in range(folds)])
+        model.links.append(found[folds])
     return model
 
 
