@@ -4,17 +4,19 @@ Every string of ``min_bytes`` holds an anchor: a gram of half that length whose
 rolling hash is least in its window, so equal strings have equal anchors at the
 same place. Anchors with one gram form a bucket of suffixes. Contexts that
 occur twice as they are need no more work; the distinct contexts of a bucket
-form an enhanced suffix array, sorted by what follows the gram. A stack scan of
-its common-prefix interval tree finds the right-maximal repeats, and within
-each interval the members' left contexts are scanned alike: a repeat counts if
-its occurrences differ to the left and to the right. Each such group is output
-with all its occurrences. A bucket of more than ``GROUP_CONTEXTS`` different
+form an enhanced suffix array, sorted by what follows the gram. A stack scan
+goes through its common-prefix interval tree, whose intervals are the
+right-maximal repeats, and compares the members' left contexts within each: a
+repeat is maximal if its occurrences differ on both sides. ``repeat_groups``
+outputs each such group with all occurrences; removal needs no more than each
+occurrence's furthest reach. A bucket of more than ``GROUP_CONTEXTS`` different
 contexts is resolved by counting its strings of ``min_bytes`` instead, spread
 over all tasks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ from hybridlake.llm.suffixes import intervals
 
 MIN_BYTES = 400
 #: Distinct contexts of a bucket that one suffix array holds.
-GROUP_CONTEXTS = 1_000
+GROUP_CONTEXTS = 20_000
 #: Bytes hashed at a time; the blocks of a longer text overlap.
 BLOCK_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -43,7 +45,7 @@ def _tables():
     rng = np.random.default_rng(5)
     value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
     power = lambda base: np.cumprod(np.concatenate(
-        ([1], np.full(BLOCK_BYTES + MIN_BYTES * 4, base, np.uint64))).astype(np.uint64))
+        (np.ones(1, np.uint64), np.full(BLOCK_BYTES, base, np.uint64))), dtype=np.uint64)
     return value, power(np.uint64(_MULTIPLIER)), power(np.uint64(pow(_MULTIPLIER, -1, 1 << 64)))
 
 
@@ -165,6 +167,59 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int) -> Itera
                 yield left_depth - 1, depth, members[a:b].tolist()
 
 
+def furthest(lefts: list[bytes], rights: list[bytes], need: int) -> list[tuple[int, int]]:
+    """Of each context the (left, right) reach of its repeats, (-1, -1) if it has none.
+
+    The stack holds the open intervals' members by the order of their left
+    contexts. When two children of an interval meet, each member of the smaller
+    looks at its neighbours in the larger: whoever lies beyond shares less with
+    it than with them.
+    """
+    import numpy as np
+
+    right, right_len = _matrix(rights, need)
+    left, left_len = _matrix(lefts, need)
+    by_right = sorted(range(len(rights)), key=lambda i: rights[i])
+    by_left = sorted(range(len(lefts)), key=lambda i: lefts[i])
+    rank = [0] * len(lefts)
+    for r, i in enumerate(by_left):
+        rank[i] = r
+    depths = _common(right[by_right], right_len[by_right]).tolist()
+    shared = _common(left[by_left], left_len[by_left])
+    reach_left, reach_right = [-1] * len(lefts), [-1] * len(lefts)  # by left rank
+
+    def meet(a: int, b: int, depth: int) -> None:
+        common = int(shared[b]) if b == a + 1 else int(shared[a + 1:b + 1].min())
+        if common + depth >= need:
+            for x in (a, b):
+                reach_left[x], reach_right[x] = max(reach_left[x], common), max(reach_right[x], depth)
+
+    def join(a: list[int], b: list[int], depth: int) -> list[int]:
+        if len(a) < len(b):
+            a, b = b, a
+        for x in b:
+            at = bisect(a, x)
+            if at:
+                meet(a[at - 1], x, depth)
+            if at < len(a):
+                meet(x, a[at], depth)
+        a.extend(b)
+        a.sort()
+        return a
+
+    stack, between = [[rank[by_right[0]]]], []
+    for i, depth in zip(by_right[1:], depths[1:]):
+        while between and between[-1] > depth:
+            last = stack.pop()
+            stack[-1] = join(stack[-1], last, between.pop())
+        stack.append([rank[i]])
+        between.append(depth)
+    while between:
+        last = stack.pop()
+        stack[-1] = join(stack[-1], last, between.pop())
+    return [(reach_left[r], reach_right[r]) for r in rank]
+
+
 def contexts_of(docs: DataFrame, chosen: DataFrame, min_bytes: int) -> DataFrame:
     """``gram, context, contexts, check, before, after`` of ``chosen(doc_id, key, place, gram, context, contexts)``."""
     gram = min_bytes // 2
@@ -194,18 +249,10 @@ def contexts_of(docs: DataFrame, chosen: DataFrame, min_bytes: int) -> DataFrame
 _GROUP = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "context", "group", "left", "right")])
 
 
-def _groups_by_array(contexts: DataFrame, need: int) -> DataFrame:
-    """A row for each occurrence of each maximal repeat, by the suffix array of every bucket."""
+def _by_bucket(contexts: DataFrame, of_bucket) -> DataFrame:
+    """``of_bucket`` over the contexts of each gram, which it gets as a list of rows."""
     arrow = to_arrow_schema(_GROUP)
 
-    def of_bucket(held: list[dict]):
-        if len(held) < 2:
-            return
-        for number, (left, right, members) in enumerate(
-                maximal_repeats([r["before"] for r in held], [r["after"] for r in held], need)):
-            for i in members:
-                yield held[i]["gram"], held[i]["context"], number, left, right
-
     def rows(batches: Iterator[pa.RecordBatch]):
         held: list[dict] = []
         for batch in batches:
@@ -214,23 +261,47 @@ def _groups_by_array(contexts: DataFrame, need: int) -> DataFrame:
                     yield from of_bucket(held)
                     held = []
                 held.append(row)
-        yield from of_bucket(held)
+        if held:
+            yield from of_bucket(held)
 
     dealt = contexts.select("gram", "check", "context", "before", "after").repartition("gram").sortWithinPartitions(
         "gram", "check")
     return dealt.mapInArrow(lambda batches: in_batches(rows(batches), arrow), _GROUP)
 
 
+def _groups_by_array(contexts: DataFrame, need: int) -> DataFrame:
+    """A row for each occurrence of each maximal repeat."""
+    def of_bucket(held: list[dict]):
+        found = maximal_repeats([r["before"] for r in held], [r["after"] for r in held], need) if len(held) > 1 else ()
+        for number, (left, right, members) in enumerate(found):
+            for i in members:
+                yield held[i]["gram"], held[i]["context"], number, left, right
+
+    return _by_bucket(contexts, of_bucket)
+
+
+def _reach_by_array(contexts: DataFrame, need: int) -> DataFrame:
+    """A row for each context that has a repeat."""
+    def of_bucket(held: list[dict]):
+        found = furthest([r["before"] for r in held], [r["after"] for r in held], need) if len(held) > 1 else ()
+        for r, (left, right) in zip(held, found):
+            if left >= 0:
+                yield r["gram"], r["context"], 0, left, right
+
+    return _by_bucket(contexts, of_bucket)
+
+
 def _groups_by_count(contexts: DataFrame, need: int) -> DataFrame:
     """The same for large buckets, from the counts of all their strings: one group per string."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "context", "left", "high", "low")])
     arrow = to_arrow_schema(schema)
+    low = (1 << 64) - 1
 
     def rows(batch: pa.RecordBatch):
         for r in batch.to_pylist():
             for left in range(max(0, need - len(r["after"])), min(need, len(r["before"])) + 1):
-                found = xxhash.xxh3_128_intdigest(r["before"][:left][::-1] + r["after"][:need - left], r["check"] & (1 << 64) - 1)
-                yield r["gram"], r["context"], left, _signed(found >> 64), _signed(found & (1 << 64) - 1)
+                found = xxhash.xxh3_128_intdigest(r["before"][:left][::-1] + r["after"][:need - left], r["check"] & low)
+                yield r["gram"], r["context"], left, _signed(found >> 64), _signed(found & low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,34 +314,51 @@ def _groups_by_count(contexts: DataFrame, need: int) -> DataFrame:
                                             (need - F.col("left")).alias("right"))
 
 
-def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of repeats in ``docs(doc_id, key, text)``, as two tables.
+def buckets(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The anchors of ``docs(doc_id, key, text)`` whose gram recurs, and their distinct contexts.
 
-    ``candidates(doc_id, key, place, gram, context, copies, contexts)``: the
-    anchors whose gram recurs; ``copies`` of them have the whole context in
-    common. ``groups(gram, context, group, left, right)``: the maximal repeats
-    in the buckets of differing contexts, ``left`` bytes before the gram to
-    ``right`` after it.
+    ``candidates(doc_id, key, place, gram, context, copies, contexts)``:
+    ``copies`` anchors have the whole context in common, ``contexts`` different
+    ones the gram. Only buckets of two contexts and more are in the second table.
     """
-    need = min_bytes - min_bytes // 2
     found = stored(anchor_table(docs, min_bytes), "anchors")
     classes = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"))
     grams = classes.groupBy("gram").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("contexts"))
     recurrent = classes.join(grams.where("total > 1").drop("total"), "gram")
     candidates = stored(found.join(recurrent, ["gram", "context"]), "candidates")
     chosen = candidates.where("contexts > 1").dropDuplicates(["gram", "context"])
-    contexts = stored(contexts_of(docs, chosen, min_bytes), "contexts")
-    by_array = _groups_by_array(contexts.where(F.col("contexts") <= GROUP_CONTEXTS), need)
-    by_count = _groups_by_count(contexts.where(F.col("contexts") > GROUP_CONTEXTS), need)
-    return candidates, stored(by_array.unionByName(by_count), "repeat-groups")
+    return candidates, stored(contexts_of(docs, chosen, min_bytes), "contexts")
+
+
+def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """``gram, group, doc_id, start, end``: every occurrence of every maximal repeat, group by group.
+
+    A group is known around one anchor; a repeat longer than the anchor's
+    context appears as a chain of groups that overlap. Contexts that occur
+    several times as a whole are a group of their own, numbered -1.
+    """
+    need = min_bytes - min_bytes // 2
+    rows = keyed(docs, id_col, text_col).withColumn("key", text_key())
+    candidates, contexts = buckets(rows, min_bytes)
+    groups = _groups_by_array(contexts.where(F.col("contexts") <= GROUP_CONTEXTS), need).unionByName(
+        _groups_by_count(contexts.where(F.col("contexts") > GROUP_CONTEXTS), need))
+    whole = candidates.where("copies > 1").select("gram", "context", F.lit(-1).cast("long").alias("group"),
+                                                  F.lit(need).cast("long").alias("left"),
+                                                  F.lit(need).cast("long").alias("right")).distinct()
+    return candidates.join(groups.unionByName(whole), ["gram", "context"]).select(
+        "gram", "group", "doc_id", F.greatest(F.lit(0), F.col("place") - F.col("left")).alias("start"),
+        (F.col("place") + min_bytes // 2 + F.col("right")).alias("end"))
 
 
 def covered_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``doc_id, key, spans``: (start, end) of the repeated bytes, unmerged; an end may lie behind the text's."""
     gram = min_bytes // 2
     side = min_bytes - gram
-    candidates, groups = repeat_groups(docs, min_bytes)
-    reach = groups.groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    candidates, contexts = buckets(docs, min_bytes)
+    reach = _reach_by_array(contexts.where(F.col("contexts") <= GROUP_CONTEXTS), side).unionByName(
+        _groups_by_count(contexts.where(F.col("contexts") > GROUP_CONTEXTS), side))
+    reach = reach.groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     span = lambda left, right: F.struct(F.greatest(F.lit(0), F.col("place") - left).alias("start"),
                                         (F.col("place") + gram + right).alias("end"))
     whole = candidates.where("copies > 1").select("doc_id", "key", span(F.lit(side), F.lit(side)).alias("span"))
