@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hybridlake.llm.common import in_batches, keyed, raw_texts, stored
+from hybridlake.llm.common import in_batches, keyed, raw_texts, stored, text_key
 from hybridlake.llm.components import connected
 
 BITS = 64
@@ -63,17 +63,17 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) of every row."""
-    source = keyed(docs, id_col, text_col)
-    schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType),
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, key, fp`` (the text's hash; the 64 bits as a long) of every row."""
+    source = keyed(docs, id_col, text_col).select("doc_id", text_key().alias("key"), "text")
+    schema = T.StructType([source.schema["doc_id"], T.StructField("key", T.LongType()),
                            T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width) for t in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())],
+                                             names=["doc_id", "key", "fp"])
 
     return source.mapInArrow(run, schema)
 
@@ -238,21 +238,40 @@ def links(prints: DataFrame, budget: int = MAX_DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id``: a component's smallest ``doc_id``.
+    """``doc_id, key, fp, component_id``: a component's smallest ``doc_id``.
 
     Null and wordless texts have fingerprint zero and are linked like any
     other. Repeated rows each get their row. A null id is never the smallest;
     a component of null ids alone has a null ``component_id``.
     """
     prints = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = stored(least, "distinct-fingerprints")
+    known = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected(links(known.select("fp"), budget))
     grouped = known.join(roots, known["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = stored(grouped.join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "key", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is their component's smallest.
+
+    Of several rows with that id the one with the smallest text hash stays, and
+    one of repeated rows. Rows without an id stay where their component has none.
+    """
+    found = near_duplicates(docs, width, budget, id_col, text_col)
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "key").count()
+    least = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
+    best = stored(own.withColumn("_n", least).where("_n = 1").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("count").alias("_rows")), "kept-documents")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.withColumn("_text_key", key).join(
+        best, docs[id_col].eqNullSafe(best["_id"]) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    if best.where("_rows > 1").isEmpty():
+        return kept.drop("_text_key")
+    return kept.dropDuplicates([id_col, "_text_key"]).drop("_text_key")
 
 
 def hex_fingerprint(fp: str = "fp"):
