@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import fingerprints, line_templates, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from hybridlake.llm import fingerprints, line_templates, packing, quality_model, quality_rules, secrets, sentencepieces, simhash, suffix_dedup, toxicity
 from hybridlake.llm.common import documents
 from hybridlake.sources.tables import read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encode(documents(spark, sf_dir))
+    return found.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                        "parity")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(documents(spark, sf_dir))
 
@@ -64,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
