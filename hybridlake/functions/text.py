@@ -15,12 +15,13 @@ from hybridlake.params import PASSAGE_PREFIX, PDF_SUFFIX, ChunkParams
 # Java-regex forms of the five cleaning steps. Python's Unicode
 # ``\w`` is written ``[\p{L}\p{N}_]`` and ``str.strip()`` whitespace is written
 # ``[\t-\r\x1c-\x20\x85\p{Z}]``; ``\z`` (not ``$``) anchors the true end.
-WORD_CHARS = r"[\p{L}\p{N}_]"
-HYPHEN_BREAK = r"([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)"
+# A match starts at its word's or run's first character and never gives any back,
+# so that long words and long runs take linear time.
+HYPHEN_BREAK = r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)-\n([\p{L}\p{N}_]++)"
 LONE_NEWLINE = r"(?<!\n)\n(?!\n)"
 NEWLINE_RUN = r"\n+"
 BLANK_RUN = r"[ \t]+"
-EDGE_WHITESPACE = r"^[\t-\r\x1c-\x20\x85\p{Z}]+|[\t-\r\x1c-\x20\x85\p{Z}]+\z"
+EDGE_WHITESPACE = r"^[\t-\r\x1c-\x20\x85\p{Z}]+|(?<![\t-\r\x1c-\x20\x85\p{Z}])[\t-\r\x1c-\x20\x85\p{Z}]++\z"
 # Our analyzer: lower case, split on runs of anything but letters and digits.
 TERM_SEPARATOR = r"[^\p{L}\p{N}]+"
 

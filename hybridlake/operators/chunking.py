@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridlake.functions.text import (chunk_windows, clean_again, clean_text, record_id, record_name,
-                                       tokens, with_passage_prefix)
+from hybridlake.functions.text import chunk_windows, clean_again, clean_text, record_id, record_name, tokens
 from hybridlake.params import ChunkParams
 
 
@@ -19,13 +18,14 @@ def chunk_text(df: DataFrame, text_col: str = "text", params: ChunkParams = Chun
 
 def chunk_records(docs: DataFrame, *, path_col: str = "path", text_col: str = "text",
                   params: ChunkParams = ChunkParams(), extracted: bool = True,
-                  prefix_stored_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+                  keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs(path, text)`` -> ``chunk_id, document_name, chunk_index, text, metadata``.
 
     ``extracted=True`` means ``text`` is raw extracted text: it is cleaned once
     as extraction does, then the chunker cleans again (so paragraph newlines
     become spaces, as in the reference pipeline). Rows with a NULL text produce
-    no chunks; ``chunk_rejects`` lists them.
+    no chunks. The stored text never has the asymmetric prefix: it is added
+    where texts are embedded (``EmbedParams.passage_prefix``).
     """
     once = docs.select(*keep, record_name(path_col).alias("document_name"), clean_text(text_col).alias("_c1"))
     cleaned = clean_again("_c1") if extracted else F.col("_c1")
@@ -39,12 +39,8 @@ def chunk_records(docs: DataFrame, *, path_col: str = "path", text_col: str = "t
         record_id("document_name", "chunk_index").alias("chunk_id"),
         "document_name",
         F.col("chunk_index").cast("int").alias("chunk_index"),
-        with_passage_prefix("text", prefix_stored_text).alias("text"),
+        "text",
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
     return out
 
-
-def chunk_rejects(docs: DataFrame, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    return docs.filter(F.col(text_col).isNull() | F.col(path_col).isNull()).select(
-        path_col, F.lit("missing_text_or_path").alias("reason"))
