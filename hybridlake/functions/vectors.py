@@ -99,9 +99,10 @@ def model_embedding(text: str | Column, encoder_factory: Callable[[], object], d
 
 
 def dimension_ok(vec: str | Column, dim: int) -> Column:
-    """Dimension contract: a non-null vector of exactly ``dim`` values."""
+    """Dimension contract: a non-null vector of exactly ``dim`` finite values."""
     v = F.col(vec) if isinstance(vec, str) else vec
-    return v.isNotNull() & (F.size(v) == dim)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & (F.size(v) == dim) & F.coalesce(finite, F.lit(False))
 
 
 TERM_COUNTS_TYPE = "array<struct<term:string,tf:int>>"

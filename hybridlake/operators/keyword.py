@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hybridlake.functions.text import analyze
 from hybridlake.operators.index import SearchIndex, term_bucket
 from hybridlake.operators.knn import _local_top_k
-from hybridlake.operators.topk import split_passes, top_k
+from hybridlake.operators.topk import RunningTopK, settled, split_passes, top_k
 from hybridlake.params import SearchParams
 
 # Budget per (query, term) row of the broadcast side.
@@ -98,6 +98,7 @@ def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
 
     def fn(batches):
         vocab, indptr, qidx, w, qids, dense_col, w_dense = bw.value
+        best = RunningTopK(k)
         nq = len(qids)
         rows_per_block = max(1, BLOCK_CELLS // max(nq, 1))
         for big in batches:
@@ -125,7 +126,7 @@ def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
                 rep = np.repeat(np.arange(len(r_s)), cnt)
                 pos = indptr[t_s][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(cnt) - cnt, cnt))
                 val = w[pos] * tf_s[rep] / den_s[rep]
-                s = np.bincount(qidx[pos] * nb + r_s[rep], weights=val, minlength=nq * nb).reshape(nq, nb)
+                s = np.bincount(qidx[pos] * nb + r_s[rep], weights=val, minlength=nq * nb).astype(np.float64).reshape(nq, nb)
                 if is_dense.any():
                     dmat = np.zeros((nb, w_dense.shape[0]))
                     dmat[r[is_dense], dc[is_dense]] = tf[is_dense] / den[is_dense]
@@ -136,11 +137,9 @@ def _scan_fn(bw, id_col: str, k: int, k1: float, b: float, avgdl: float):
                 id_rank = np.empty(nb, dtype=np.int64)
                 id_rank[np.argsort(ids_np, kind="stable")] = np.arange(nb)
                 qi, bi = _local_top_k(s, id_rank, k)
-                if len(qi) == 0:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[qi], type=pa.int64()), ids.take(pa.array(bi)), pa.array(s[qi, bi])],
-                    schema=pa.schema([("qid", pa.int64()), (id_col, ids.type), ("score", pa.float64())]))
+                if len(qi):
+                    best.add(qi, ids.take(pa.array(bi)), s[qi, bi])
+        yield from best.batches(qids, id_col)
     return fn
 
 
@@ -152,14 +151,14 @@ def _query_weights(index: SearchIndex, qterms: DataFrame, params: SearchParams):
     n = index.corpus_stats.select(F.col("n_docs").cast("double")).scalar()
     idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wt = (F.broadcast(qterms).join(index.term_stats, "term")
-          .select(F.col("qid").cast("long").alias("qid"), "term", (F.col("qtf") * idf).alias("w"))).toArrow()
+          .select("qid", "term", (F.col("qtf") * idf).alias("w"))).toArrow()
     if wt.num_rows == 0:
         return None
     vocab = pc.unique(wt.column("term").combine_chunks())
     j = pc.index_in(wt.column("term"), value_set=vocab).to_numpy().astype(np.int64)
-    qid_all = wt.column("qid").to_numpy()
-    qids = np.unique(qid_all)
-    qi = np.searchsorted(qids, qid_all)
+    known = wt.column("qid").combine_chunks().dictionary_encode()
+    qids = known.dictionary
+    qi = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     w_all = wt.column("w").to_numpy()
     # Terms shared by many queries get a dense (term x query) weight matrix.
     per_term = np.bincount(j, minlength=len(vocab))
@@ -183,23 +182,24 @@ def keyword_search_batch(index: SearchIndex, queries: DataFrame, params: SearchP
                          text_col: str = "query_text", qterms: DataFrame | None = None,
                          n_rows: int | None = None) -> DataFrame:
     """Same hits as ``keyword_search`` via partition-local scoring."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     spark = queries.sparkSession
     qterms = qterms if qterms is not None else query_terms(queries, text_col)
     n_rows = n_rows if n_rows is not None else qterms.count()
     avgdl = index.corpus_stats.select("avgdl").first()[0]
     slim = index.records.select(index.id_col, "terms")
-    schema = StructType([StructField("qid", LongType()), StructField(index.id_col, slim.schema[index.id_col].dataType),
+    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField(index.id_col, slim.schema[index.id_col].dataType),
                          StructField("score", DoubleType())])
     parts = []
-    for p in split_passes(qterms, n_rows, QUERY_TERM_BYTES, params.max_broadcast_bytes):
+    passes = split_passes(qterms, n_rows, QUERY_TERM_BYTES, params.max_broadcast_bytes)
+    for p in passes:
         payload = _query_weights(index, p, params)
         if payload is None:
             continue
         bw = spark.sparkContext.broadcast(payload)
-        parts.append(slim.mapInArrow(_scan_fn(bw, index.id_col, params.top_k, params.bm25.k1,
-                                              params.bm25.b, avgdl), schema))
+        hits = slim.mapInArrow(_scan_fn(bw, index.id_col, params.top_k, params.bm25.k1, params.bm25.b, avgdl), schema)
+        parts.append(settled(hits, bw, len(passes), params.top_k, index.id_col))
     if not parts:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(None).cast("bigint"))
     return top_k(reduce(DataFrame.unionByName, parts), params.top_k, tiebreak=index.id_col)

@@ -21,9 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from hybridlake.operators.topk import SCORE_DECIMALS, split_passes, top_k
+from hybridlake.operators.topk import SCORE_DECIMALS, RunningTopK, settled, split_passes, top_k
 from hybridlake.params import SearchParams
 
 
@@ -71,6 +71,7 @@ def _search_fn(bq, id_col: str, vec_col: str, cell_col: str | None, dim: int, k:
     def fn(batches):
         qids, q, probes = bq.value
         qn2 = (q * q).sum(axis=1)
+        best = RunningTopK(k)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -78,10 +79,11 @@ def _search_fn(bq, id_col: str, vec_col: str, cell_col: str | None, dim: int, k:
             ids = rb.column(id_col).filter(pa.array(ok)) if not ok.all() else rb.column(id_col)
             if len(v) == 0:
                 continue
-            valid = np.ones(len(v), dtype=bool)
+            valid = np.isfinite(v).all(axis=1)  # NaN, infinite or NULL elements: never a hit
+            v = np.where(valid[:, None], v, 0.0)
             if space == "cosine":
                 nv = np.sqrt((v * v).sum(axis=1))
-                valid = nv > 0
+                valid &= nv > 0
                 v = v / np.where(valid, nv, 1.0)[:, None]
             vn2 = (v * v).sum(axis=1)
             cells = None
@@ -93,7 +95,7 @@ def _search_fn(bq, id_col: str, vec_col: str, cell_col: str | None, dim: int, k:
             id_rank = np.empty(len(ids_np), dtype=np.int64)
             id_rank[np.argsort(ids_np, kind="stable")] = np.arange(len(ids_np))
             out_q, out_i, out_s = [], [], []
-            for q0 in range(0, len(qids), block):
+            for q0 in range(0, len(q), block):
                 qb = q[q0:q0 + block]
                 s = _scores(qb, qn2[q0:q0 + block], v, vn2, space)
                 s[:, ~valid] = -np.inf
@@ -103,32 +105,31 @@ def _search_fn(bq, id_col: str, vec_col: str, cell_col: str | None, dim: int, k:
                     probed[:, inside] = probes[q0:q0 + block][:, cells[inside]]
                     s[~probed] = -np.inf
                 qi, bi = _local_top_k(s, id_rank, k)
-                out_q.append(qids[q0:q0 + block][qi])
+                out_q.append(q0 + qi)
                 out_i.append(bi)
                 out_s.append(s[qi, bi])
             bi = np.concatenate(out_i)
-            if len(bi) == 0:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q), type=pa.int64()), ids.take(pa.array(bi)),
-                 pa.array(np.concatenate(out_s), type=pa.float64())],
-                schema=pa.schema([("qid", pa.int64()), (id_col, ids.type), ("score", pa.float64())]))
+            if len(bi):
+                best.add(np.concatenate(out_q), ids.take(pa.array(bi)), np.concatenate(out_s))
+        yield from best.batches(qids, id_col)
     return fn
 
 
 def collect_queries(queries: DataFrame, dim: int, vec_col: str = "query_vector",
-                    space: str = "l2") -> tuple[np.ndarray, np.ndarray]:
-    """Bring one (size-checked) query pass to the driver as a matrix."""
-    tbl = queries.select(F.col("qid").cast("long").alias("qid"), vec_col).toArrow()
+                    space: str = "l2") -> tuple[pa.Array, np.ndarray]:
+    """Bring one (size-checked) query pass to the driver: ids, in their own type, and a matrix.
+    A query vector that is no vector of ``dim`` finite numbers has no hits."""
+    tbl = queries.select("qid", vec_col).toArrow()
+    qids = tbl.column("qid").combine_chunks()
     if tbl.num_rows == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, dim))
+        return qids, np.zeros((0, dim))
     ok, q = _matrix(tbl.column(vec_col), dim)
-    qids = tbl.column("qid").to_numpy()[ok]
+    keep = np.isfinite(q).all(axis=1)
     if space == "cosine":
-        nq = np.sqrt((q * q).sum(axis=1))
-        keep = nq > 0
-        qids, q = qids[keep], q[keep] / nq[keep][:, None]
-    return qids, q
+        nq = np.sqrt((np.where(keep[:, None], q, 0.0) ** 2).sum(axis=1))
+        keep &= nq > 0
+        q = q / np.where(keep, nq, 1.0)[:, None]
+    return qids.filter(pa.array(ok)).filter(pa.array(keep)), q[keep]
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, params: SearchParams = SearchParams(), *,
@@ -147,10 +148,11 @@ def vector_search(corpus: DataFrame, queries: DataFrame, params: SearchParams =
     cols = [id_col, vec_col] + ([cell_col] if cell_col else [])
     slim = corpus.select(*cols)
     id_field = slim.schema[id_col]
-    out_schema = StructType([StructField("qid", LongType()), StructField(id_col, id_field.dataType),
+    out_schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField(id_col, id_field.dataType),
                              StructField("score", DoubleType())])
     results = []
-    for part in split_passes(queries, n_rows, row_bytes, params.max_broadcast_bytes):
+    passes = split_passes(queries, n_rows, row_bytes, params.max_broadcast_bytes)
+    for part in passes:
         qids, q = collect_queries(part, dim, qvec_col, params.space)
         if len(qids) == 0:
             continue
@@ -165,7 +167,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, params: SearchParams =
         bq = spark.sparkContext.broadcast((qids, q, probes))
         fn = _search_fn(bq, id_col, vec_col, cell_col, dim, params.top_k, params.space,
                         params.query_block)
-        results.append(scan.mapInArrow(fn, out_schema))
+        results.append(settled(scan.mapInArrow(fn, out_schema), bq, len(passes), params.top_k, id_col))
     if not results:
         return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(None).cast("bigint"))
     return top_k(reduce(DataFrame.unionByName, results), params.top_k, tiebreak=id_col)

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hybridlake.session import scratch_path
+
 # Scores are compared after rounding to 9 decimals, then by id ascending: exact
 # copies in a corpus tie, and this rule makes every engine pick the same rows.
 SCORE_DECIMALS = 9
@@ -43,3 +47,45 @@ def split_passes(queries: DataFrame, n_rows: int, row_bytes: int, max_bytes: int
         return [queries]
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(passes))
     return [queries.filter(bucket == i) for i in range(passes)]
+
+
+class RunningTopK:
+    """The k best hits of each query over all batches of a task.
+
+    Held rows are at most k per query and what one batch adds; a task hands on
+    k x queries rows however many batches it reads.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.query, self.ids, self.score = k, None, None, None
+
+    def add(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        if self.query is not None:
+            query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+            ids = pa.concat_arrays([self.ids, ids])
+        place = ids.dictionary_encode()
+        named = place.dictionary.to_numpy(zero_copy_only=False)
+        order_of = np.empty(len(named), np.int64)
+        order_of[np.argsort(named, kind="stable")] = np.arange(len(named))
+        by_id = order_of[place.indices.to_numpy(zero_copy_only=False)]
+        order = np.lexsort((by_id, -np.round(score, SCORE_DECIMALS), query))
+        at = query[order]
+        order = order[np.arange(len(at)) - np.searchsorted(at, at, side="left") < self.k]
+        self.query, self.score, self.ids = query[order], score[order], ids.take(pa.array(order))
+
+    def batches(self, qids: pa.Array, id_col: str):
+        if self.query is not None and len(self.query):
+            yield pa.RecordBatch.from_arrays(
+                [qids.take(pa.array(self.query)), self.ids, pa.array(self.score, type=pa.float64())],
+                names=["qid", id_col, "score"])
+
+
+def settled(hits: DataFrame, broadcast, passes: int, k: int, id_col: str) -> DataFrame:
+    """A pass's hits. Of several passes each is run and written, its top k per
+    query, and its broadcast dropped before the next one is made."""
+    if passes == 1:
+        return hits
+    path = scratch_path(hits.sparkSession, "search-pass")
+    top_k(hits, k, tiebreak=id_col).drop("rank").write.parquet(path)
+    broadcast.destroy()
+    return hits.sparkSession.read.schema(hits.schema).parquet(path)

@@ -144,3 +144,51 @@ def test_keyword_scan_with_forced_passes_matches_join(spark):
     tiny = SearchParams(max_broadcast_bytes=20_000)  # several query passes
     b = sorted((r.qid, r.chunk_id, r.rank) for r in keyword_search_batch(idx, q, tiny).collect())
     assert a == b
+
+
+def test_vectors_with_nan_or_null_hide_no_hits(spark):
+    from hybridlake.functions.vectors import dimension_ok
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(100 + i, [float("nan"), 1.0]) for i in range(6)]
+    rows += [(200, [None, 1.0]), (201, [float("inf"), 0.0]), (202, [1.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [float("nan"), 0.0])], "qid string, query_vector array<double>")
+    hits = vector_search(corpus.coalesce(1), queries, SearchParams(top_k=5), dim=2).collect()
+    assert [(h.qid, h.chunk_id) for h in sorted(hits, key=lambda h: h.rank)] == [("a", i) for i in range(5)]
+    ok = corpus.where(dimension_ok("embedding", 2)).count()
+    assert ok == 20
+
+
+@pytest.mark.parametrize("method", ["join", "scan"])
+def test_any_type_of_request_id(spark, method):
+    from hybridlake.operators.index import build_index, embed_records
+    from hybridlake.params import EmbedParams
+    recs = spark.createDataFrame([(f"c{i}", f"word{i} shared") for i in range(30)], "chunk_id string, text string")
+    index = build_index(embed_records(recs, EmbedParams(dim=8)), dim=8)
+    queries = spark.createDataFrame([("1:1000", "word3 shared"), ("2:0", "word7 shared")], "qid string, query_text string")
+    top = {h.qid: h.chunk_id for h in keyword_search(index, queries, SearchParams(top_k=1), method=method).collect()}
+    assert top == {"1:1000": "c3", "2:0": "c7"}
+
+
+def test_a_task_hands_on_its_best_hits_only(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from hybridlake.operators.topk import RunningTopK
+    rng, best, rows = np.random.default_rng(1), RunningTopK(3), []
+    for _ in range(20):
+        q, s = rng.integers(0, 4, 50), rng.integers(0, 9, 50) / 3
+        ids = [f"i{x}" for x in rng.integers(0, 10 ** 6, 50)]
+        rows += list(zip(q.tolist(), (-s).tolist(), ids))
+        best.add(q, pa.array(ids), s)
+    out = pa.Table.from_batches(best.batches(pa.array(["a", "b", "c", "d"]), "id")).to_pylist()
+    want = [("abcd"[q], i) for k in range(4) for q, _, i in sorted(r for r in rows if r[0] == k)[:3]]
+    assert [(r["qid"], r["id"]) for r in out] == want and len(out) == 12
+
+
+def test_passes_run_one_after_the_other(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(50)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "qid int, query_vector array<double>")
+    one = vector_search(corpus, queries, SearchParams(top_k=2), dim=2)
+    many = vector_search(corpus, queries, SearchParams(top_k=2, max_broadcast_bytes=500), dim=2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
