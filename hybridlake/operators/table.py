@@ -73,13 +73,16 @@ def merge_latest(base: DataFrame, incoming: DataFrame, id_col: str, order_cols:
 def upsert(current: DataFrame, batch: DataFrame, batch_id: int, id_col: str = "chunk_id",
            seq_col: str | None = None) -> DataFrame:
     """Replace-by-id: the batch's rows replace whole records; inside the batch the
-    later row (``seq_col``, or input order) wins; a row never replaces a newer
-    version (so replaying a batch is a no-op).
+    row with the greatest ``seq_col`` wins; a row never replaces a newer
+    version (so replaying a batch is a no-op). Rows have no order of their own:
+    without ``seq_col`` an id that the batch holds twice is an error.
 
     Only the ids the batch touches are resolved by an aggregate; the rest of
     the table passes through an anti join against the batch's ids.
     """
-    seq = F.col(seq_col) if seq_col else F.monotonically_increasing_id()
+    seq = F.col(seq_col) if seq_col else F.lit(0)
+    if not seq_col and not batch.groupBy(id_col).count().where("count > 1").isEmpty():
+        raise ValueError(f"the batch has several rows of one {id_col}: name the column that orders them (seq_col)")
     cols = [c for c in current.columns if c not in ("_batch", "_seq")]
     old = current.select(*cols, F.col("_batch") if "_batch" in current.columns else F.lit(-1).cast("long").alias("_batch"),
                          F.col("_seq") if "_seq" in current.columns else F.lit(0).cast("long").alias("_seq"))

@@ -1,5 +1,6 @@
 """Record maintenance, snapshot store and incremental ingest."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from hybridlake.operators.table import (RecordStore, delete_by_ids, delete_by_name, ingest_report,
@@ -125,3 +126,22 @@ def test_streaming_view_with_compaction(spark):
     plain = {r.chunk_id: r.text for r in current_view(spark, store).collect()}
     assert after == plain
     assert before[5] == "b5" and after[0] == "c0" and after[11] == "c11" and after[20] == "c20" and after[3] == "a3"
+
+
+def test_duplicates_in_a_batch_need_an_order(spark):
+    cur = _recs(spark, [("a", "d", "a0")])
+    twice = spark.createDataFrame([("a", "d", "a1", 1), ("a", "d", "a2", 2)],
+                                  "chunk_id string, document_name string, text string, seq long")
+    with pytest.raises(ValueError):
+        upsert(cur, twice, 1)
+    assert upsert(cur, twice.repartition(7), 1, seq_col="seq").first().text == "a2"
+
+
+def test_streamed_versions_of_one_file_keep_their_order(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    root = scratch_path(spark, "stream-order")
+    st = StructType([StructField("chunk_id", LongType()), StructField("text", StringType())])
+    rows = [(i % 10, f"v{i // 10}") for i in range(40)]
+    spark.createDataFrame(rows, st).coalesce(1).write.parquet(f"{root}/in")
+    run_ingest(spark, f"{root}/in", st, f"{root}/store", f"{root}/ckpt", lambda df: df)
+    assert {r.text for r in current_view(spark, f"{root}/store").collect()} == {"v3"}
