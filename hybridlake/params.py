@@ -9,33 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference's for equal results).
-#   chunk size 300 tokens, overlap 100 tokens (tutorial variant 500 / 100)
-#   embedding dimension 768 (tutorial variant 384)
-#   hybrid weights: keyword 0.3, vector 0.7; min-max normalisation
-#   request bounds: query top_k 1..10 default 3; search top_k 1..20 default 5;
-#                   temperature 0.0..2.0 default 0.7
-#   chat history cap: last 1000 messages
-#   asymmetric embedding prefix: "passage: "
-#   record name: every ".pdf" substring removed; record id "<name>_<i>"
-#   context line: "Document {i}:\n{text}\n\n" (chat labels from 0, tutorial from 1)
-#   chat prompt pieces, in order:
-#     "Use the following context to answer the question.\nContext:\n" + context + "\n"
-#     "Answer questions to the best of your knowledge.\n"   (when context is empty)
-#     "Conversation History:\n" + "{Role}: {content}\n" per message + "\n"
-#     "User: {query}\nAssistant:"
-#   role rendering: "user" -> "User", anything else -> "Assistant"
-#   tutorial prompt:
-#     "You are a helpful AI assistant. Use the following context to answer the question.\n"
-#     "If you cannot find the answer in the context, say so.\n\nContext:\n{context}\n\n"
-#     "Question: {query}\n\nAnswer: "
+# Fixed values (must equal the reference's for equal results): window and vector
+# sizes, leg weights, request bounds as (least, greatest, default), the history
+# cap, the embedding prefix and the pieces of both prompts.
 # ---------------------------------------------------------------------------
 DEFAULT_CHUNK_SIZE = 300
 DEFAULT_CHUNK_OVERLAP = 100
-TUTORIAL_CHUNK_SIZE = 500
-TUTORIAL_CHUNK_OVERLAP = 100
 DEFAULT_EMBEDDING_DIM = 768
-TUTORIAL_EMBEDDING_DIM = 384
 KEYWORD_WEIGHT = 0.3
 VECTOR_WEIGHT = 0.7
 QUERY_TOP_K = (1, 10, 3)
@@ -57,9 +37,8 @@ TUTORIAL_PROMPT_HEAD = (
 TUTORIAL_QUESTION = "\n\nQuestion: "
 TUTORIAL_ANSWER = "\n\nAnswer: "
 
-# Our own neutral opening line for chat prompts (the reference hard-codes a
-# domain-specific one; callers pass theirs through PromptParams.preamble).
-DEFAULT_PREAMBLE = "You are a helpful assistant. Keep answers short and do not repeat yourself.\n"
+# Our own opening line for chat prompts; callers pass theirs through PromptParams.preamble.
+DEFAULT_PREAMBLE = "Reply to the last message below.\n"
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,8 @@ from hybridlake.operators.rag import rag_prompts
 from hybridlake.operators.table import (delete_by_ids, delete_by_name, delete_report, ingest_report,
                                         list_records, sample_record, upsert, validate_records)
 from hybridlake.operators.topk import OUTPUT_DECIMALS
-from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, IVFParams, PromptParams,
+from hybridlake.operators.index import embed_records
+from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, EmbedParams, IVFParams, PromptParams,
                                SearchParams)
 from hybridlake.plans.corpus import DRIVER_DIM, DRIVER_EMBED, corpus_chunks, driver_index, driver_queries
 from hybridlake.session import scratch_path
@@ -114,6 +115,17 @@ def q_knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf, "cosine")
 
 
+def q_knn_dirty_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third vector has a NaN, every fifth a NULL element: those are never hits, and hide none."""
+    v = _given_vectors(spark, sf)
+    first = (F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 5 == 0, F.lit(None))
+             .otherwise(F.col("embedding")[0])).cast("float")
+    dirty = F.concat(F.array(first), F.slice("embedding", 2, DRIVER_DIM))
+    hits = vector_search(v.select("vec_id", dirty.alias("embedding")), driver_queries(spark, sf), SearchParams(),
+                         dim=DRIVER_DIM, id_col="vec_id")
+    return hits.select("qid", "vec_id", _r("score"), "rank")
+
+
 def _ivf(spark: SparkSession, sf: str, nprobe: int) -> DataFrame:
     ivf = build_ivf(_given_vectors(spark, sf), IVF, dim=DRIVER_DIM, id_col="vec_id",
                     materialize_to=scratch_path(spark, "ivf"))
@@ -201,12 +213,21 @@ def _revisions(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     first = read_table(spark, sf, "documents").select("doc_id", "text", "source")
-    current = upsert(first.withColumn("_batch", F.lit(0).cast("long")).withColumn("_seq", F.col("doc_id")),
-                     first.limit(0), 0, id_col="doc_id", seq_col="doc_id")
+    current = first.withColumns({"_batch": F.lit(0).cast("long"), "_seq": F.col("doc_id")})
     after = upsert(current, _revisions(spark, sf), 1, id_col="doc_id", seq_col="doc_id")
     return after.select("doc_id", "text", "source", F.col("_batch").alias("batch"))
 
 
+def q_upsert_in_batch_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch brings three versions of every document, in no order: the last by ``version`` wins."""
+    first = read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    current = first.withColumns({"_batch": F.lit(0).cast("long"), "_seq": F.lit(0).cast("long")})
+    versions = first.withColumn("version", F.explode(F.array(*[F.lit(i).cast("long") for i in (2, 3, 1)])))
+    versions = versions.withColumn("text", F.concat("text", F.lit(" v"), F.col("version").cast("string")))
+    after = upsert(current, versions, 1, id_col="doc_id", seq_col="version")
+    return after.select("doc_id", "text", "source", F.col("_seq").alias("version"))
+
+
 def q_delete_by_id(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select("doc_id", "source")
     return delete_by_ids(d, read_table(spark, sf, "labels").select("doc_id"), id_col="doc_id")
@@ -223,15 +244,15 @@ def q_delete_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_list_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return list_records(corpus_chunks(spark, sf), LIST_LIMIT, LIST_OFFSET, cols=("text",))
+    return list_records(driver_index(spark, sf).records, LIST_LIMIT, LIST_OFFSET, cols=("text",))
 
 
 def q_document_count(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return driver_index(spark, sf).records.agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_sample_document(spark: SparkSession, sf: str) -> DataFrame:
-    recs = corpus_chunks(spark, sf).select("chunk_id", "document_name", "chunk_index", "text")
+    recs = driver_index(spark, sf).records.select("chunk_id", "document_name", "chunk_index", "text")
     return sample_record(recs)
 
 
@@ -245,6 +266,15 @@ def q_hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
                     F.round(F.col("value").cast("double"), OUTPUT_DECIMALS).alias("value")))
 
 
+def q_prefixed_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of documents embedded with the asymmetric prefix."""
+    d = text_table(spark, sf, "documents", "doc_id", "text")
+    e = embed_records(d, EmbedParams(dim=DRIVER_DIM, passage_prefix=True))
+    return (e.select("doc_id", F.posexplode("embedding").alias("dim_index", "value")).filter(F.col("value") != 0)
+            .select("doc_id", F.col("dim_index").cast("int").alias("dim_index"),
+                    F.round(F.col("value").cast("double"), OUTPUT_DECIMALS).alias("value")))
+
+
 def q_embedding_preview(spark: SparkSession, sf: str) -> DataFrame:
     d = text_table(spark, sf, "documents", "doc_id", "text")
     e = d.select("doc_id", hash_embedding(analyze("text"), DRIVER_DIM).alias("v"))
@@ -272,7 +302,7 @@ def _user_requests(spark: SparkSession, sf: str, use_rag: bool) -> DataFrame:
     """Every user message is a request; its history is what came before it."""
     h = history_windows(messages(spark, sf), HISTORY_N)
     return (h.filter(F.col("role") == "user")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "turn",
+            .select(F.concat_ws(":", "conv_id", "turn").alias("qid"), "conv_id", "turn",
                     F.col("text").alias("query_text"), "history", F.lit(use_rag).alias("use_rag")))
 
 
@@ -329,7 +359,7 @@ def q_streaming_ingest(spark: SparkSession, sf: str) -> DataFrame:
     schema = first.schema
 
     def to_records(df: DataFrame) -> DataFrame:
-        recs = chunk_records(df)
+        recs = chunk_records(df, keep=("_seq",))
         return recs.withColumn("embedding", hash_embedding(analyze("text"), DRIVER_DIM))
 
     for i, drop in enumerate((first, second)):
@@ -338,6 +368,18 @@ def q_streaming_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return current_view(spark, store).select("chunk_id", "document_name", "chunk_index", "text")
 
 
+def q_streaming_in_batch_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """One file, and so one micro-batch, holds two versions of every document, the later one behind."""
+    root = scratch_path(spark, "stream")
+    src, store, ckpt = f"{root}/in", f"{root}/store", f"{root}/checkpoint"
+    docs = read_table(spark, sf, "documents").select("doc_id", "source")
+    both = docs.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).coalesce(1)
+    both = both.sortWithinPartitions("version", "doc_id")
+    both.write.parquet(src)
+    run_ingest(spark, src, both.schema, store, ckpt, lambda df: df)
+    return current_view(spark, store, id_col="doc_id").select("doc_id", "source", "version")
+
+
 QUERIES: dict[str, Q] = {
     "clean_text": q_clean_text,
     "chunk_text": q_chunk_text,
@@ -361,6 +403,7 @@ QUERIES: dict[str, Q] = {
     "query_request_validation": q_query_request_validation,
     "ingest_report": q_ingest_report,
     "upsert_latest": q_upsert_latest,
+    "upsert_in_batch_duplicates": q_upsert_in_batch_duplicates,
     "delete_by_id": q_delete_by_id,
     "delete_by_name": q_delete_by_name,
     "delete_report": q_delete_report,
@@ -378,4 +421,7 @@ QUERIES: dict[str, Q] = {
     "rag_prompts": q_rag_prompts,
     "answer_assembly": q_answer_assembly,
     "streaming_ingest": q_streaming_ingest,
+    "streaming_in_batch_duplicates": q_streaming_in_batch_duplicates,
+    "knn_dirty_vectors": q_knn_dirty_vectors,
+    "prefixed_embedding": q_prefixed_embedding,
 }

@@ -166,7 +166,7 @@ def chat_prompt_sql(ctx: str, query: str, history: str = HISTORY_BLOCK) -> str:
 
 
 PAGES = """pg AS (SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS document_name, turn, role, text FROM conversations)"""
-USER_Q = "uq AS (SELECT conv_id * 1000 + turn AS qid, conv_id, turn, text, history FROM hist WHERE role = 'user')"
+USER_Q = "uq AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, conv_id, turn, text, history FROM hist WHERE role = 'user')"
 REVISIONS = ("rev AS (SELECT d.doc_id, d.text || ' [quality=' || CAST(l.quality AS VARCHAR) || ' toxic=' "
              "|| CAST(l.toxic AS VARCHAR) || ']' AS text, d.source FROM documents d JOIN labels l USING (doc_id))")
 
@@ -223,6 +223,11 @@ FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL TH
     UNION ALL SELECT doc_id, text, source, 1 AS batch, doc_id AS seq FROM rev)""")
     + """SELECT doc_id, text, source, CAST(batch AS BIGINT) AS batch FROM u
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC, seq DESC) = 1""",
+    "upsert_in_batch_duplicates": "SELECT doc_id, text || ' v3' AS text, source, CAST(3 AS BIGINT) AS version FROM documents",
+    "streaming_in_batch_duplicates": "SELECT doc_id, source, CAST(2 AS INTEGER) AS version FROM documents",
+    "prefixed_embedding": with_(f"pd AS (SELECT doc_id, {lit(P.PASSAGE_PREFIX)} || text AS text FROM documents)",
+                                hash_vectors("pd", "doc_id", "text", "pv").lstrip())
+    + "SELECT doc_id, b AS dim_index, round(v, 6) AS value FROM pv",
     "delete_by_id": """SELECT d.doc_id, d.source FROM documents d
     WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "delete_by_name": f"SELECT doc_id, source AS document_name FROM documents WHERE source IS DISTINCT FROM {lit(DELETE_NAME)}",
@@ -262,8 +267,15 @@ FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL TH
 }
 
 # Exact search through the IVF index with every cell probed equals exact kNN.
+_CLEAN = "clean AS (SELECT * FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 5 <> 0)"
 _GIVEN = "ev AS (SELECT vec_id, unnest(range(len(embedding))) AS b, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 for _key, _space in (("knn_l2", "l2"), ("knn_cosine", "cosine"), ("knn_ivf_all_cells", "l2")):
     SQL[_key] = (with_(BENCH_Q, hash_vectors("bq", "qid", "text", "qv").lstrip(), _GIVEN,
                        knn_ctes("bq", "qv", "embeddings", "ev", "vec_id", _space, K, "nn").lstrip())
                  + f"SELECT qid, vec_id, {_r('score')}, rank FROM nn")
+
+_key = "knn_dirty_vectors"
+SQL[_key] = (with_(BENCH_Q, hash_vectors("bq", "qid", "text", "qv").lstrip(), _CLEAN,
+                   _GIVEN.replace("FROM embeddings", "FROM clean"),
+                   knn_ctes("bq", "qv", "clean", "ev", "vec_id", "l2", K, "nn").lstrip())
+             + f"SELECT qid, vec_id, {_r('score')}, rank FROM nn")

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from hybridlake.params import PDF_SUFFIX
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
