@@ -29,6 +29,13 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
+def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id, key``: whole rows as one column, beside which no name can clash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
+                       F.xxhash64(text).alias("key"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back.
 

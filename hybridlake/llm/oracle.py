@@ -1,5 +1,76 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express.
+
+The others need tokenizers, models learnt from data, XXH64 or a byte-wise
+SHA-256, none of which DuckDB has; the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from hybridlake.llm.line_templates import TemplateParams
+from hybridlake.llm.quality_rules import RepetitionRules
+
+_R, _T = RepetitionRules(), TemplateParams()
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _covered(width: int, name: str) -> str:
+    """Number of words inside windows of ``width`` words that their text holds twice or more."""
+    return f"""{name} AS (SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + {width})) AS place FROM (
+        SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, list_slice(ws, p, p + {width - 1})) AS times
+        FROM places WHERE p + {width - 1} <= len(ws)) WHERE times > 1) GROUP BY doc_id)"""
+
+
+OP4 = f"""WITH words AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), {_WORD}) AS ws
+    FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM words),
+{_covered(_R.window_words, "windows")},
+{_covered(_R.repeat_words, "repeats")},
+{_covered(_R.max_repeat_words + 1, "longest")},
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM words),
+base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(COALESCE(a.n, 0) AS BIGINT) AS n_repeat_words, COALESCE(b.n, 0) AS covered, COALESCE(c.n, 0) AS long
+    FROM words w JOIN lines USING (doc_id) LEFT JOIN windows a USING (doc_id) LEFT JOIN repeats b USING (doc_id)
+    LEFT JOIN longest c USING (doc_id)),
+failed AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_window_percent} * n_words AS base_failed
+    FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND covered <= {_R.max_covered} * n_words AND long = 0 AS kept FROM failed"""
+
+OP7 = f"""WITH rows AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM rows GROUP BY t),
+split AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM rows),
+numbered AS (SELECT doc_id, t, unnest(ls) AS content, unnest(range(len(ls))) AS line FROM split),
+tokens AS (SELECT doc_id, t, line, content, list_transform(regexp_extract_all(content, {_WORD}),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS template FROM numbered),
+lines AS (SELECT *, [CAST(len(template) AS VARCHAR)] || list_slice(template, 1, {_T.leading}) AS leaf FROM tokens
+    WHERE len(template) >= {_T.min_tokens}),
+uses AS (SELECT DISTINCT leaf, template, t, first FROM lines JOIN firsts USING (t)),
+counted AS (SELECT leaf, template, count(*) AS texts, min(first) AS keeper FROM uses GROUP BY leaf, template),
+wide AS (SELECT leaf FROM counted WHERE texts < {_T.min_texts} GROUP BY leaf
+    HAVING sum(texts) >= {_T.min_texts} AND count(*) > 1),
+open AS (SELECT u.* FROM uses u JOIN counted c USING (leaf, template) JOIN wide USING (leaf)
+    WHERE c.texts < {_T.min_texts}),
+fields AS (SELECT leaf, template, t, unnest(template) AS token, unnest(range(len(template))) AS place FROM open),
+fixed AS (SELECT leaf, place, token FROM fields WHERE token <> '<*>' GROUP BY leaf, place, token
+    HAVING count(DISTINCT t) >= {_T.min_texts}),
+shown AS (SELECT DISTINCT f.leaf, f.template, f.place, CASE WHEN x.token IS NULL THEN '<*>' ELSE f.token END AS token
+    FROM fields f LEFT JOIN fixed x ON f.leaf = x.leaf AND f.place = x.place AND f.token = x.token),
+shapes AS (SELECT leaf, template, list(token ORDER BY place) AS shape FROM shown GROUP BY leaf, template
+    HAVING count(*) FILTER (WHERE token <> '<*>') >= {_T.constant} * count(*)),
+common AS (SELECT leaf, shape, min(first) AS keeper FROM shapes JOIN open USING (leaf, template) GROUP BY leaf, shape
+    HAVING count(DISTINCT t) >= {_T.min_texts}),
+found AS (SELECT template, keeper FROM counted WHERE texts >= {_T.min_texts}
+    UNION ALL SELECT template, keeper FROM shapes JOIN common USING (leaf, shape)),
+lost AS (SELECT doc_id, list(line) AS dropped FROM lines JOIN found USING (template) JOIN firsts USING (t)
+    WHERE first IS DISTINCT FROM keeper GROUP BY doc_id)
+SELECT s.doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
+    CAST(COALESCE(len(dropped), 0) AS BIGINT) AS n_dropped,
+    CASE WHEN dropped IS NULL THEN t ELSE array_to_string(
+        list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(dropped, i)), lambda i: ls[i + 1]), chr(10)) END
+    AS kept_text FROM split s LEFT JOIN lost USING (doc_id)"""
+
+SQL: dict[str, str] = {"op4_quality_rules": OP4, "op7_line_dedup": OP7}

@@ -27,7 +27,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(documents(spark, sf_dir))
+    return quality_rules.apply_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,8 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    found = line_templates.drop_boilerplate(docs.withColumn("n_lines", n_lines))
-    return found.select("doc_id", "n_lines", F.col("_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("kept_text"))
+    found = line_templates.drop_boilerplate(docs.withColumn("n_lines", n_lines), count_col="n_dropped")
+    return found.select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("kept_text"))
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hybridlake.llm.common import in_batches, keyed, raw_texts, stored, text_key
+from hybridlake.llm.common import in_batches, keyed, packed_rows, raw_texts, stored, text_key
 from hybridlake.llm.components import connected
 
 BITS = 64
@@ -264,14 +264,12 @@ def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, budget: int = MAX_DI
     found = near_duplicates(docs, width, budget, id_col, text_col)
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "key").count()
     least = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
-    best = stored(own.withColumn("_n", least).where("_n = 1").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("count").alias("_rows")), "kept-documents")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("_text_key", key).join(
-        best, docs[id_col].eqNullSafe(best["_id"]) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    if best.where("_rows > 1").isEmpty():
-        return kept.drop("_text_key")
-    return kept.dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    best = stored(own.withColumn("n", least).where("n = 1").select("doc_id", "key", "count"), "kept-documents")
+    rows = packed_rows(docs, id_col, text_col)
+    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["doc_id"]) & (rows["key"] == best["key"]), "left_semi")
+    if not best.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "key"])
+    return kept.select("row.*")
 
 
 def hex_fingerprint(fp: str = "fp"):
