@@ -15,15 +15,16 @@ from hybridlake.operators.ann import build_ivf, ivf_search
 from hybridlake.operators.chunking import chunk_records, chunk_text
 from hybridlake.operators.fusion import hybrid_search, min_max
 from hybridlake.operators.hits import attach_records, search_hits, split_requests
+from hybridlake.operators.index import SearchIndex, embed_records
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
+from hybridlake.operators.maintenance import update_index
 from hybridlake.operators.prompts import (assemble_answers, attach_context, chat_prompt, context_blocks,
                                           history_windows, tutorial_prompt)
 from hybridlake.operators.rag import rag_prompts
 from hybridlake.operators.table import (delete_by_ids, delete_by_name, delete_report, ingest_report,
                                         list_records, sample_record, upsert, validate_records)
 from hybridlake.operators.topk import OUTPUT_DECIMALS
-from hybridlake.operators.index import embed_records
 from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, EmbedParams, IVFParams, PromptParams,
                                SearchParams)
 from hybridlake.plans.corpus import DRIVER_DIM, DRIVER_EMBED, corpus_chunks, driver_index, driver_queries
@@ -368,6 +369,40 @@ def q_streaming_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return current_view(spark, store).select("chunk_id", "document_name", "chunk_index", "text")
 
 
+def _revised_documents(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return _revisions(spark, sf).select("doc_id", path.alias("path"), "text")
+
+
+def _search_updated(spark: SparkSession, sf: str, index: SearchIndex) -> DataFrame:
+    hits = hybrid_search(index, driver_queries(spark, sf), SEARCH)
+    return hits.select("qid", "chunk_id", _r("keyword_score"), _r("vector_score"), _r("score"), "rank")
+
+
+def q_search_after_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Revised documents replace their chunks; the search sees the new texts and statistics."""
+    batch = embed_records(chunk_records(_revised_documents(spark, sf)), DRIVER_EMBED)
+    return _search_updated(spark, sf, update_index(driver_index(spark, sf), batch))
+
+
+def q_search_after_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of a source's documents go; the search neither finds nor counts them."""
+    index = driver_index(spark, sf)
+    gone = index.records.where(F.col("document_name").startswith(f"{DELETE_NAME}/")).select("chunk_id")
+    return _search_updated(spark, sf, update_index(index, deleted=gone))
+
+
+def q_search_after_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Revised documents arrive by the stream; the search sees its current view."""
+    root = scratch_path(spark, "stream")
+    src, store, ckpt = f"{root}/in", f"{root}/store", f"{root}/checkpoint"
+    revised = _revised_documents(spark, sf)
+    revised.write.parquet(src)
+    run_ingest(spark, src, revised.schema, store, ckpt,
+               lambda df: embed_records(chunk_records(df, keep=("_seq",)), DRIVER_EMBED))
+    return _search_updated(spark, sf, update_index(driver_index(spark, sf), current_view(spark, store)))
+
+
 def q_streaming_in_batch_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """One file, and so one micro-batch, holds two versions of every document, the later one behind."""
     root = scratch_path(spark, "stream")
@@ -422,6 +457,9 @@ QUERIES: dict[str, Q] = {
     "answer_assembly": q_answer_assembly,
     "streaming_ingest": q_streaming_ingest,
     "streaming_in_batch_duplicates": q_streaming_in_batch_duplicates,
+    "search_after_upsert": q_search_after_upsert,
+    "search_after_delete": q_search_after_delete,
+    "search_after_stream": q_search_after_stream,
     "knn_dirty_vectors": q_knn_dirty_vectors,
     "prefixed_embedding": q_prefixed_embedding,
 }

@@ -266,6 +266,18 @@ FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL TH
     QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY batch DESC) = 1""",
 }
 
+# Searches over an updated index: the same search over the final state.
+_UPDATED = with_(
+    DOCS, REVISIONS, "revdocs AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, text FROM rev)",
+    chunk_ctes("docs", "c0").lstrip(), chunk_ctes("revdocs", "c1").lstrip(),
+    "chunks AS (SELECT * FROM c1 UNION ALL SELECT * FROM c0 WHERE chunk_id NOT IN (SELECT chunk_id FROM c1))",
+    BENCH_Q, hybrid_ctes("bq", K))
+_DELETED = with_(DOCS, chunk_ctes("docs", "c0").lstrip(),
+                 f"chunks AS (SELECT * FROM c0 WHERE NOT starts_with(document_name, {lit(DELETE_NAME + '/')}))",
+                 BENCH_Q, hybrid_ctes("bq", K))
+for _key, _state in (("search_after_upsert", _UPDATED), ("search_after_stream", _UPDATED), ("search_after_delete", _DELETED)):
+    SQL[_key] = _state + (f"SELECT qid, chunk_id, {_r('keyword_score')}, {_r('vector_score')}, {_r('score')}, rank FROM fused")
+
 # Exact search through the IVF index with every cell probed equals exact kNN.
 _CLEAN = "clean AS (SELECT * FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 5 <> 0)"
 _GIVEN = "ev AS (SELECT vec_id, unnest(range(len(embedding))) AS b, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
