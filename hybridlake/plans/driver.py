@@ -22,6 +22,7 @@ from hybridlake.operators.maintenance import update_index
 from hybridlake.operators.prompts import (assemble_answers, attach_context, chat_prompt, context_blocks,
                                           history_windows, tutorial_prompt)
 from hybridlake.operators.rag import rag_prompts
+from hybridlake.operators.requests import search_requests
 from hybridlake.operators.table import (delete_by_ids, delete_by_name, delete_report, ingest_report,
                                         list_records, sample_record, upsert, validate_records)
 from hybridlake.operators.topk import OUTPUT_DECIMALS
@@ -174,6 +175,15 @@ def q_search_hits(spark: SparkSession, sf: str) -> DataFrame:
                     "total", "preview", "score_3")
 
 
+def q_search_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item asks for its own number of hits; some ask for too few or too many."""
+    asked = driver_queries(spark, sf).withColumn("top_k", F.when(F.col("qid") % 25 != 7, F.col("qid") % 25).cast("int"))
+    hits, rejected = search_requests(driver_index(spark, sf), asked)
+    hits = hits.select("qid", "chunk_id", _r("score"), "rank", F.lit("").alias("reason"))
+    return hits.unionByName(rejected.select("qid", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"),
+                                            F.lit(0).cast("long").alias("rank"), "reason"))
+
+
 def q_request_validation(spark: SparkSession, sf: str) -> DataFrame:
     lo, hi, _ = SEARCH_TOP_K
     req = benchmark_queries(spark, sf).withColumn("top_k", F.col("qid"))
@@ -434,6 +444,7 @@ QUERIES: dict[str, Q] = {
     "hybrid_search": q_hybrid_search,
     "hybrid_raw": q_hybrid_raw,
     "search_hits": q_search_hits,
+    "search_requests": q_search_requests,
     "request_validation": q_request_validation,
     "query_request_validation": q_query_request_validation,
     "ingest_report": q_ingest_report,

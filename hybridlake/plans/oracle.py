@@ -266,6 +266,18 @@ FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL TH
     QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY batch DESC) = 1""",
 }
 
+# Requests with their own top_k: each leg's first top_k hits, fused.
+_WIDE = hybrid_ctes("bq", P.SEARCH_TOP_K[1])
+for _leg in ("kw", "vl"):
+    _WIDE = _WIDE.replace(f"AS rs FROM {_leg})", f"AS rs FROM (SELECT l.* FROM {_leg} l JOIN bq USING (qid) WHERE rank <= top_k))")
+SQL["search_requests"] = with_(
+    CHUNKS, f"asked AS (SELECT item_id AS qid, text, CASE WHEN item_id % 25 = 7 THEN {P.SEARCH_TOP_K[2]} ELSE item_id % 25 END "
+    "AS top_k FROM benchmark)",
+    f"bq AS (SELECT * FROM asked WHERE top_k BETWEEN {P.SEARCH_TOP_K[0]} AND {P.SEARCH_TOP_K[1]})", _WIDE) + f"""
+    SELECT qid, chunk_id, {_r('score')}, rank, '' AS reason FROM fused JOIN bq USING (qid) WHERE rank <= top_k
+    UNION ALL SELECT qid, '', 0.0, 0, 'top_k_out_of_range' FROM asked
+    WHERE NOT top_k BETWEEN {P.SEARCH_TOP_K[0]} AND {P.SEARCH_TOP_K[1]}"""
+
 # Searches over an updated index: the same search over the final state.
 _UPDATED = with_(
     DOCS, REVISIONS, "revdocs AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, text FROM rev)",
