@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridlake.llm.common import keyed, stored, text_key
+from hybridlake.llm.common import keyed, packed_rows, stored, text_key
 
 SPACE = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
@@ -37,17 +37,18 @@ class TemplateParams:
 def template_lines(rows: DataFrame, params: TemplateParams) -> DataFrame:
     """``doc_id, key, line, tokens, leaf, template`` of every line of ``min_tokens`` or more."""
     lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    tokens = F.filter(F.split("content", SPACE), lambda t: t != "")
+    lines = lines.select("doc_id", "key", "line", F.btrim("content", F.lit(" \t\n\x0b\x0c\r")).alias("content"))
+    tokens = F.split("content", SPACE)
     masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    masked = F.when(F.col("content").rlike("[0-9]"), masked).otherwise(tokens)
     lines = lines.select("doc_id", "key", "line", masked.alias("tokens")).where(F.size("tokens") >= params.min_tokens)
     return lines.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, params.leading)),
                               "template": F.xxhash64("tokens")})
 
 
-def boilerplate(rows: DataFrame, params: TemplateParams) -> DataFrame:
-    """``template, keeper`` of every template that recurs; of ``rows(doc_id, key, text)``."""
-    lines = template_lines(rows, params)
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
+def boilerplate(rows: DataFrame, lines: DataFrame, firsts: DataFrame, params: TemplateParams) -> DataFrame:
+    """``template, keeper`` of every template that recurs; of ``rows(doc_id, key, text)``, their ``lines``
+    without tokens, and each text's ``first`` document."""
     uses = stored(lines.select("leaf", "template", "key").distinct().join(firsts, "key"), "template-uses")
     counted = stored(uses.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias(
         "keeper")), "template-counts")
@@ -58,7 +59,7 @@ def boilerplate(rows: DataFrame, params: TemplateParams) -> DataFrame:
     wide = single.groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("lines")).where(
         (F.col("n") >= params.min_texts) & (F.col("lines") > 1)).select("leaf")
     open_ = stored(single.join(wide, "leaf", "left_semi").select("template"), "open-templates")
-    content = lines.select("leaf", "template", "key", "tokens").join(open_, "template", "left_semi")
+    content = template_lines(rows, params).select("leaf", "template", "key", "tokens").join(open_, "template", "left_semi")
     content = stored(content.dropDuplicates(["template", "key"]).join(firsts, "key"), "open-lines")
     fields = content.select("leaf", "template", "key", F.posexplode("tokens").alias("place", "token"))
     recurrent = fields.select("leaf", "place", "token", "key").distinct().groupBy("leaf", "place", "token").count()
@@ -80,28 +81,27 @@ def boilerplate(rows: DataFrame, params: TemplateParams) -> DataFrame:
 
 def dropped_lines(rows: DataFrame, params: TemplateParams) -> DataFrame:
     """``doc_id, key, dropped``: numbers of the lines that a text loses, where it loses any."""
-    found = stored(boilerplate(rows, params), "boilerplate")
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    lines = template_lines(rows, params).select("doc_id", "key", "line", "template").join(found, "template")
-    lost = lines.join(firsts, "key").where(~F.col("first").eqNullSafe(F.col("keeper")))
+    lines = stored(template_lines(rows, params).drop("tokens"), "template-lines")
+    firsts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "first-documents")
+    found = stored(boilerplate(rows, lines, firsts, params), "boilerplate")
+    lost = lines.drop("leaf").join(found, "template").join(firsts, "key").where(~F.col("first").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def drop_boilerplate(docs: DataFrame, params: TemplateParams = TemplateParams(), id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the boilerplate lines, and ``_dropped``, how many went.
+                     text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs``, all columns, without the boilerplate lines; in ``count_col``, if named, how many went.
 
     Texts are counted, not rows: exact copies count once, and all copies of the
     keeping text keep. A null text stays null, an empty one empty. A template
     that only texts without an id have is kept by all of them.
     """
-    rows = keyed(docs, id_col, text_col).withColumn("key", text_key())
-    lost = dropped_lines(rows, params).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"),
-                                              F.col("dropped").alias("_lines"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("_text_key", key)
-    joined = joined.join(lost, joined[id_col].eqNullSafe(lost["_id"]) & (F.col("_text_key") == F.col("_key")), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_lines", i)), "\n")
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(rest)
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns],
-                         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_dropped"))
+    lost = dropped_lines(keyed(docs, id_col, text_col).withColumn("key", text_key()), params)
+    rows = packed_rows(docs, id_col, text_col)
+    joined = rows.join(lost, rows["doc_id"].eqNullSafe(lost["doc_id"]) & (rows["key"] == lost["key"]), "left")
+    own = F.col("row")[text_col]
+    rest = F.array_join(F.filter(F.split(own, "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    text = F.when(F.col("dropped").isNull(), own).otherwise(rest)
+    columns = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    count = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
+    return joined.select(*columns, *([count.alias(count_col)] if count_col else []))
