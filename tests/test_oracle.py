@@ -4,12 +4,13 @@ sf0.01 (also run by ``python tests/oracle_compare.py``)."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from hybridlake.plans.driver import QUERIES
 from oracle_compare import compare, duck
 
 from conftest import SF_SMALL
 
-KEYS = sorted(queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def test_query_matches_oracle(spark, con, key):
 
 
 def test_every_query_but_approximate_search_has_an_oracle():
-    assert set(queries()) - set(oracle_sql()) == {"knn_ivf"}
+    assert set(QUERIES) - set(oracle_sql()) == {"knn_ivf"}
 
 
 def test_entry_runs(spark):
