@@ -240,7 +240,11 @@ def score(text: Column, model: QualityModel) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", params: QualityParams = QualityParams(),
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``.
+
+    A null or empty text has statistics of zero and is scored by them; a null
+    id is never held out. Repeated rows each get their row.
+    """
     model = fit(docs, labels, label_col, params, id_col, text_col)
     scored = keyed(docs, id_col, text_col).select("doc_id", score(F.col("text"), model).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score",
@@ -249,6 +253,10 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", par
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", params: QualityParams = QualityParams(),
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted to have label 1."""
+    """The rows of ``docs``, all columns, that are predicted to have label 1.
+
+    Null texts are judged as empty ones and stay null; without any labelled row
+    nothing goes.
+    """
     model = fit(docs, labels, label_col, params, id_col, text_col)
     return docs.where(score(F.col(text_col), model) >= params.threshold)
