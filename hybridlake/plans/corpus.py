@@ -22,7 +22,7 @@ _INDEX_CACHE: dict[tuple, SearchIndex] = {}
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str, chunk: ChunkParams = ChunkParams()) -> DataFrame:
-    return chunk_records(corpus_documents(spark, sf_dir), params=chunk)
+    return chunk_records(corpus_documents(spark, sf_dir), params=chunk, metadata=("source", "lang"))
 
 
 def encoded_queries(queries: DataFrame, embed: EmbedParams = DRIVER_EMBED,

