@@ -74,17 +74,11 @@ INPUT_BYTES_PER_ID_BUCKET = 64 * 1024 * 1024
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Total size of the files a DataFrame reads (0 when it reads none)."""
-    try:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        total = 0
-        for f in df.inputFiles():
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            total += p.getFileSystem(conf).getFileStatus(p).getLen()
-        return total
-    except Exception:  # noqa: BLE001 - sizes unknown: the smallest layout
-        return 0
+    """Size of the files a DataFrame reads, as its plan knows it (no call per
+    file); 0 when it reads none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    relations = (leaves.apply(i) for i in range(leaves.size()))
+    return sum(int(str(r.stats().sizeInBytes())) for r in relations if r.nodeName() == "LogicalRelation")
 
 
 def id_bucket_count(df: DataFrame) -> int:
@@ -116,10 +110,11 @@ def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_
     spark = records.sparkSession
     root = materialize_to.rstrip("/")
     # One pass over the documents: clean, chunk, analyse, embed, write; laid out
-    # by id bucket (rebalanced, so no bucket is a hot task) for hit lookups.
+    # by id bucket (rebalanced, so no bucket is a hot task; sorted by id inside)
+    # for hit lookups.
     id_buckets = id_bucket_count(records)
     (records.withColumn("id_bucket", term_bucket(id_col, id_buckets)).hint("rebalance", "id_bucket")
-     .write.mode("overwrite").partitionBy("id_bucket").parquet(f"{root}/records"))
+     .sortWithinPartitions("id_bucket", id_col).write.mode("overwrite").partitionBy("id_bucket").parquet(f"{root}/records"))
     r = spark.read.parquet(f"{root}/records")
     n_docs = r.count()
     buckets = bucket_count(n_docs)
@@ -127,7 +122,7 @@ def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_
     # REBALANCE lets AQE split a hot bucket (a very common term) over several
     # tasks and merge small ones, so the directory-per-bucket write has neither
     # skew nor a flood of tiny files. Sorted by term inside each file.
-    (postings.hint("rebalance", "term_bucket").sortWithinPartitions("term")
+    (postings.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/postings"))
     p = spark.read.parquet(f"{root}/postings")
     (build_term_stats(p).withColumn("term_bucket", term_bucket("term", buckets)).hint("rebalance", "term_bucket")
