@@ -23,11 +23,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hybridlake.llm.common import in_batches, keyed, texts
 
 MARK = "▁"
-#: Segments whose ids a Python worker remembers.
-MEMO_SEGMENTS = 300_000
+#: Segments whose ids a Python worker remembers, in each of two generations.
+MEMO_SEGMENTS = 120_000
 #: Longer segments are encoded each time.
 MEMO_CHARS = 64
-BLOCK_CHARS = 2_000_000
+#: Text whose segments are looked up together, and segments encoded in one batch.
+BLOCK_CHARS = 1_000_000
+BATCH_SEGMENTS = 10_000
 
 # Fixed values of the model format: field numbers, piece kinds, model kinds.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -110,8 +112,8 @@ class Model:
         return not any(re.search(f"[^{MARK}]{MARK}", text) for text, _, kind in self.pieces if kind == NORMAL)
 
 
-def rebuild(model: Model, normalise: bool = True):
-    """The ``tokenizers`` pipeline of a model; without normaliser for texts that are normal already."""
+def rebuild(model: Model, segments: bool = False):
+    """The ``tokenizers`` pipeline of a model; for ``segments``, that are normal and cut already, without those steps."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.kind == UNIGRAM:
@@ -129,9 +131,9 @@ def rebuild(model: Model, normalise: bool = True):
     steps.append(normalizers.Replace(" ", MARK))
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
-    if normalise:
+    if not segments:
         tokenizer.normalizer = normalizers.Sequence(steps)
-    if model.separable():
+    if not segments and model.separable():
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     own = [t for t, _, kind in model.pieces if kind == USER_DEFINED]
     if own:
@@ -150,13 +152,16 @@ class Codec:
         with open(path, "rb") as file:
             self.model = Model.parse(file.read())
         self.whole = rebuild(self.model)
-        self.bare = rebuild(self.model, normalise=False)
+        self.bare = rebuild(self.model, segments=True)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
+        self.piece_bytes = [bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(MARK, " ").encode()
+                            for t, _, kind in self.model.pieces]
         self.plain = not (self.model.charsmap or self.model.fewer_blanks)
         self.separable = self.model.separable()
         self.runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.bad: set[str] = set()
 
     def normal(self, text: str) -> str:
@@ -171,29 +176,40 @@ class Codec:
 
     def learn(self, segments: list[str]) -> None:
         """Ids of segments, by the rebuilt pipeline; ``bad`` are those that the
-        reference library encodes otherwise or that don't decode to themselves."""
+        reference library encodes otherwise or whose pieces aren't their text."""
         encoded = [e.ids for e in self.bare.encode_batch_fast(segments, add_special_tokens=False)]
         front = 1 if self.model.dummy_prefix else 0
         surface = [s[front:].replace(MARK, " ") if s[0] == MARK else s for s in segments]
         expected = self.reference.encode(surface, num_threads=self.threads)
-        decoded = self.bare.decode_batch(encoded, skip_special_tokens=False)
-        for segment, ids, other, back, text in zip(segments, encoded, expected, decoded, surface):
+        for segment, ids, other, text in zip(segments, encoded, expected, surface):
             self.memo[segment] = array("I", ids).tobytes()
             if not text:  # a blank at the end; as a text of its own it would be empty
                 other = [self.reference.piece_to_id(MARK)]
-            if ids != other or (back != text and self.model.unknown not in ids):
+            back = b"".join([self.piece_bytes[i] for i in ids])
+            if ids != other or (back != segment.replace(MARK, " ").encode() and self.model.unknown not in ids):
                 self.bad.add(segment)
 
+    def forget(self) -> None:
+        """A worker that waits for its next task holds no memo."""
+        self.memo, self.old, self.bad = {}, {}, set()
+
     def encode_block(self, block: list[str]) -> Iterator[tuple[bytes, bool]]:
         parts = [self.segments(self.normal(text)) for text in block]
         used = set().union(*parts)
-        new = [s for s in used if s not in self.memo]
-        if len(self.memo) + len(new) > MEMO_SEGMENTS:
-            self.memo = {s: self.memo[s] for s in used if s in self.memo and len(s) <= MEMO_CHARS}
-            self.bad &= self.memo.keys()
-            new = [s for s in used if s not in self.memo]
-        if new:
-            self.learn(new)
+        if len(self.memo) > MEMO_SEGMENTS:  # what is still in use comes back from the old generation
+            self.old = {s: ids for s, ids in self.memo.items() if len(s) <= MEMO_CHARS}
+            self.memo = {}
+            self.bad &= self.old.keys()
+        new = []
+        for segment in used:
+            if segment not in self.memo:
+                ids = self.old.get(segment)
+                if ids is None:
+                    new.append(segment)
+                else:
+                    self.memo[segment] = ids
+        for at in range(0, len(new), BATCH_SEGMENTS):
+            self.learn(new[at:at + BATCH_SEGMENTS])
         memo, bad = self.memo, self.bad
         for segments in parts:
             yield b"".join(map(memo.__getitem__, segments)), not (bad and any(s in bad for s in segments))
@@ -203,7 +219,7 @@ _CODECS: dict[tuple[str, int], Codec] = {}
 
 
 def codec(path: str, threads: int) -> Codec:
-    """One codec per Python worker, kept across its tasks."""
+    """One codec per Python worker: the model is read once, the memo lasts a task."""
     if (path, threads) not in _CODECS:
         _CODECS[path, threads] = Codec(path, threads)
     return _CODECS[path, threads]
@@ -236,6 +252,7 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = 2, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from in_batches(rows(batch), arrow, 2_000)
+        codec(path, threads).forget()
 
     return source.mapInArrow(run, schema)
 
