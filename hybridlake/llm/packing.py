@@ -32,7 +32,7 @@ END_ID = 0
 #: Pieces ranked together in one window group.
 CELL_ROWS = 4096
 #: Words of which a Python worker remembers the ids, in each of two generations.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Longer words are encoded each time.
 MEMO_CHARS = 64
 
@@ -120,6 +120,12 @@ class Encoder:
         self.spaced.marks = self.bare
         self._whole = self.bare.whole
 
+    def forget(self) -> None:
+        """A worker that waits for its next task holds no memo."""
+        for memo in (self.bare, self.spaced):
+            memo.clear()
+            memo.old = {}
+
     def _segment(self, segment: str) -> bytes:
         if segment[-1] in " \n":
             return self._whole(segment)
@@ -143,7 +149,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, kept across its tasks."""
+    """One encoder per Python worker: the vocabulary is read once, the memo lasts a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -182,6 +188,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 
         for batch in batches:
             yield from in_batches(rows(batch), arrow, 2_000)
+        encoder(path).forget()
 
     return source.mapInArrow(pieces, schema)
 

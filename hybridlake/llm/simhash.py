@@ -31,7 +31,7 @@ SEED = 42
 SPLIT_ROWS = 50_000
 #: Fingerprints, and node pairs, that a task holds at a time.
 BLOCK_ROWS = 200_000
-FRONTIER = 1_000_000
+FRONTIER = 250_000
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS):
