@@ -7,11 +7,11 @@ occur twice as they are need no more work; the distinct contexts of a bucket
 form an enhanced suffix array, sorted by what follows the gram. A stack scan
 goes through its common-prefix interval tree, whose intervals are the
 right-maximal repeats, and compares the members' left contexts within each: a
-repeat is maximal if its occurrences differ on both sides. ``repeat_groups``
-outputs each such group with all occurrences; removal needs no more than each
-occurrence's furthest reach. A bucket of more than ``GROUP_CONTEXTS`` different
-contexts is resolved by counting its strings of ``min_bytes`` instead, spread
-over all tasks.
+repeat is maximal if its occurrences differ on both sides. Each such group is
+written with all contexts it occurs in; ``repeat_groups`` lists the occurrences,
+and removal takes the union of their spans. A bucket of more than
+``GROUP_CONTEXTS`` different contexts is resolved by counting its strings of
+``min_bytes`` instead, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from hybridlake.llm.suffixes import intervals
 MIN_BYTES = 400
 #: Distinct contexts of a bucket that one suffix array holds.
 GROUP_CONTEXTS = 20_000
+#: Members of the groups that are handed back to Spark at a time.
+OUT_MEMBERS = 100_000
 #: Bytes hashed at a time; the blocks of a longer text overlap.
 BLOCK_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -170,6 +172,9 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int) -> Itera
 def furthest(lefts: list[bytes], rights: list[bytes], need: int) -> list[tuple[int, int]]:
     """Of each context the (left, right) reach of its repeats, (-1, -1) if it has none.
 
+    A second way to the union of ``maximal_repeats``, which the tests hold it
+    against; no query takes it.
+
     The stack holds the open intervals' members by the order of their left
     contexts. When two children of an interval meet, each member of the smaller
     looks at its neighbours in the larger: whoever lies beyond shares less with
@@ -246,14 +251,23 @@ def contexts_of(docs: DataFrame, chosen: DataFrame, min_bytes: int) -> DataFrame
     return joined.dropDuplicates(["_id", "_key"]).select("at", "text").mapInArrow(run, schema)
 
 
-_GROUP = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "context", "group", "left", "right")])
+_GROUP = T.StructType([*(T.StructField(c, T.LongType()) for c in ("gram", "group", "left", "right")),
+                       T.StructField("members", T.ArrayType(T.LongType()))])
 
 
-def _by_bucket(contexts: DataFrame, of_bucket) -> DataFrame:
-    """``of_bucket`` over the contexts of each gram, which it gets as a list of rows."""
+def _groups_by_array(contexts: DataFrame, need: int) -> DataFrame:
+    """A row for each maximal repeat, with all contexts it occurs in as ``members``."""
     arrow = to_arrow_schema(_GROUP)
 
-    def rows(batches: Iterator[pa.RecordBatch]):
+    def of_bucket(held: list[dict]):
+        if len(held) < 2:
+            return
+        names = [r["context"] for r in held]
+        found = maximal_repeats([r["before"] for r in held], [r["after"] for r in held], need)
+        for number, (left, right, members) in enumerate(found):
+            yield held[0]["gram"], number, left, right, [names[i] for i in members]
+
+    def groups(batches: Iterator[pa.RecordBatch]):
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
@@ -261,38 +275,25 @@ def _by_bucket(contexts: DataFrame, of_bucket) -> DataFrame:
                     yield from of_bucket(held)
                     held = []
                 held.append(row)
-        if held:
-            yield from of_bucket(held)
+        yield from of_bucket(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for group in groups(batches):
+            held.append(group)
+            size += len(group[-1])
+            if size >= OUT_MEMBERS:
+                yield from in_batches(held, arrow)
+                held, size = [], 0
+        yield from in_batches(held, arrow)
 
     dealt = contexts.select("gram", "check", "context", "before", "after").repartition("gram").sortWithinPartitions(
         "gram", "check")
-    return dealt.mapInArrow(lambda batches: in_batches(rows(batches), arrow), _GROUP)
-
-
-def _groups_by_array(contexts: DataFrame, need: int) -> DataFrame:
-    """A row for each occurrence of each maximal repeat."""
-    def of_bucket(held: list[dict]):
-        found = maximal_repeats([r["before"] for r in held], [r["after"] for r in held], need) if len(held) > 1 else ()
-        for number, (left, right, members) in enumerate(found):
-            for i in members:
-                yield held[i]["gram"], held[i]["context"], number, left, right
-
-    return _by_bucket(contexts, of_bucket)
-
-
-def _reach_by_array(contexts: DataFrame, need: int) -> DataFrame:
-    """A row for each context that has a repeat."""
-    def of_bucket(held: list[dict]):
-        found = furthest([r["before"] for r in held], [r["after"] for r in held], need) if len(held) > 1 else ()
-        for r, (left, right) in zip(held, found):
-            if left >= 0:
-                yield r["gram"], r["context"], 0, left, right
-
-    return _by_bucket(contexts, of_bucket)
+    return dealt.mapInArrow(run, _GROUP)
 
 
 def _groups_by_count(contexts: DataFrame, need: int) -> DataFrame:
-    """The same for large buckets, from the counts of all their strings: one group per string."""
+    """For large buckets, from the counts of all their strings: one group per string, a row for each of its contexts."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "context", "left", "high", "low")])
     arrow = to_arrow_schema(schema)
     low = (1 << 64) - 1
@@ -330,20 +331,30 @@ def buckets(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, Dat
     return candidates, stored(contexts_of(docs, chosen, min_bytes), "contexts")
 
 
+def maximal_groups(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``candidates`` as of ``buckets``, and the groups of the buckets with different contexts.
+
+    ``groups(gram, context, group, left, right)`` has a row for each context that a group occurs in.
+    """
+    need = min_bytes - min_bytes // 2
+    candidates, contexts = buckets(docs, min_bytes)
+    groups = stored(_groups_by_array(contexts.where(F.col("contexts") <= GROUP_CONTEXTS), need), "repeat-groups")
+    return candidates, groups.select("gram", F.explode("members").alias("context"), "group", "left", "right").unionByName(
+        _groups_by_count(contexts.where(F.col("contexts") > GROUP_CONTEXTS), need))
+
+
 def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``gram, group, doc_id, start, end``: every occurrence of every maximal repeat, group by group.
 
     A group is known around one anchor; a repeat longer than the anchor's
     context appears as a chain of groups that overlap. Contexts that occur
-    several times as a whole are a group of their own, numbered -1.
+    several times as a whole are a group of their own, numbered by their hash.
     """
     need = min_bytes - min_bytes // 2
     rows = keyed(docs, id_col, text_col).withColumn("key", text_key())
-    candidates, contexts = buckets(rows, min_bytes)
-    groups = _groups_by_array(contexts.where(F.col("contexts") <= GROUP_CONTEXTS), need).unionByName(
-        _groups_by_count(contexts.where(F.col("contexts") > GROUP_CONTEXTS), need))
-    whole = candidates.where("copies > 1").select("gram", "context", F.lit(-1).cast("long").alias("group"),
+    candidates, groups = maximal_groups(rows, min_bytes)
+    whole = candidates.where("copies > 1").select("gram", "context", F.xxhash64("context").alias("group"),
                                                   F.lit(need).cast("long").alias("left"),
                                                   F.lit(need).cast("long").alias("right")).distinct()
     return candidates.join(groups.unionByName(whole), ["gram", "context"]).select(
@@ -352,17 +363,20 @@ def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "do
 
 
 def covered_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``doc_id, key, spans``: (start, end) of the repeated bytes, unmerged; an end may lie behind the text's."""
+    """``doc_id, key, spans``: (start, end) of the repeated bytes, unmerged; an end may lie behind the text's.
+
+    The union of the occurrences in all groups. Those around one anchor all
+    hold its gram, so theirs is a single span; where a context occurs several
+    times as a whole, that group's span holds the others.
+    """
     gram = min_bytes // 2
     side = min_bytes - gram
-    candidates, contexts = buckets(docs, min_bytes)
-    reach = _reach_by_array(contexts.where(F.col("contexts") <= GROUP_CONTEXTS), side).unionByName(
-        _groups_by_count(contexts.where(F.col("contexts") > GROUP_CONTEXTS), side))
-    reach = reach.groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    candidates, groups = maximal_groups(docs, min_bytes)
+    union = groups.groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     span = lambda left, right: F.struct(F.greatest(F.lit(0), F.col("place") - left).alias("start"),
                                         (F.col("place") + gram + right).alias("end"))
     whole = candidates.where("copies > 1").select("doc_id", "key", span(F.lit(side), F.lit(side)).alias("span"))
-    part = candidates.where("copies = 1").join(reach, ["gram", "context"]).select(
+    part = candidates.where("copies = 1").join(union, ["gram", "context"]).select(
         "doc_id", "key", span(F.col("left"), F.col("right")).alias("span"))
     return whole.unionByName(part).groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"))
 

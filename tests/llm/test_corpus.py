@@ -171,6 +171,30 @@ def test_groups_list_all_occurrences(spark):
         assert len({by_id[o["doc_id"]].encode()[o["start"]:o["end"]] for o in r["at"]}) == 1 and len(r["at"]) > 1
 
 
+def test_removed_bytes_are_the_union_of_the_groups(spark, monkeypatch):
+    passage = prose(93, 80)
+    rows = [(i, prose(400 + i, 20) + passage + prose(500 + i, 20)) for i in range(6)]
+    rows += [(i, r) for n, r in enumerate((prose(600, 20) + passage, prose(601, 20) + passage)) for i in (10 + n, 20 + n)]
+    tables = {}
+
+    def stored(df, name, put=suffix_dedup.stored):
+        return tables.setdefault(name, put(df, name))
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in suffix_dedup.remove_repeats(
+        table(spark, rows)).collect()}
+    groups = tables["repeat-groups"].collect()  # written on the query's own path
+    assert groups and all(len(set(r["members"])) == len(r["members"]) > 1 for r in groups)
+    monkeypatch.undo()
+    spans, texts = {}, {}
+    by_id = {i: t.encode() for i, t in rows}
+    for r in suffix_dedup.repeat_groups(table(spark, rows)).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        texts.setdefault((r["gram"], r["group"]), []).append(by_id[r["doc_id"]][r["start"]:r["end"]])
+    assert found == {i: suffix_dedup.merge(spans.get(i, []), len(t)) for i, t in by_id.items()}
+    assert all(len(set(t)) == 1 < len(t) for t in texts.values())  # different contexts of a gram are different groups
+
+
 # ---- operator 7
 
 def test_templates_with_variable_fields_go(spark):
