@@ -108,14 +108,16 @@ class Encoder:
 
     Pre-tokens of the byte-level vocabulary never span a blank or newline
     beside other text, so the ids of a text are those of its words, one after
-    another. The library makes the ids of each word that the memo lacks.
+    another. The library makes the ids of each word that the memo lacks, and
+    those of texts that hold an added token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # an added token, such as <|endoftext|>, is cut out before any word is
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare, self.spaced = Memo("", self.tokenizer), Memo(" ", self.tokenizer)
         self.spaced.marks = self.bare
         self._whole = self.bare.whole
@@ -136,6 +138,9 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        for token in self.added:
+            if token in text:
+                return self._whole(text)
         for space in ASCII_SPACE if text.isascii() else OTHER_SPACE:
             if space in text:
                 return self._whole(text)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from hybridlake.llm import packing
-from llm.conftest import odd_rows, table
+from llm.conftest import odd_rows, prose, table
 
 
 def test_plan_is_a_gapless_packing():
@@ -41,6 +41,18 @@ def test_memo_gives_the_library_s_ids():
         assert encoder.encode(text) == expected, text
 
 
+def test_added_tokens_keep_their_id():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())  # as the file has it
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert plain.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "one two <|endoftext|>\nthree", " <|endoftext|> <|endoftext|>",
+                 "<|endoftext|", "no marker here", prose(3, 40) + "<|endoftext|>" + prose(4, 40)):
+        expected = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(text) == expected, text
+
+
 def test_pieces_and_sequences(spark, odd):
     rows = packing.pack(odd, capacity=64).collect()
     tokenizer = packing.Encoder(packing.default_tokenizer())
