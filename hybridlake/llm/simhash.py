@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -238,7 +238,7 @@ def links(prints: DataFrame, budget: int = MAX_DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key, fp, component_id``: a component's smallest ``doc_id``.
+    """``doc_id, key, fp, root, component_id``: a component's smallest fingerprint and ``doc_id``.
 
     Null and wordless texts have fingerprint zero and are linked like any
     other. Repeated rows each get their row. A null id is never the smallest;
@@ -250,21 +250,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, budget: int = M
     grouped = known.join(roots, known["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = stored(grouped.join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select("doc_id", "key", "fp", "component_id")
+    of_print = stored(grouped.join(ids, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(of_print, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, budget: int = MAX_DISTANCE, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is their component's smallest.
+    """One row of ``docs``, all columns, for each component: the one with the smallest id.
 
     Of several rows with that id the one with the smallest text hash stays, and
-    one of repeated rows. Rows without an id stay where their component has none.
+    one of repeated rows. Rows without an id come last: one of them stays where
+    their component has no other.
     """
     found = near_duplicates(docs, width, budget, id_col, text_col)
-    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "key").count()
-    least = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
-    best = stored(own.withColumn("n", least).where("n = 1").select("doc_id", "key", "count"), "kept-documents")
+    own = found.groupBy("root", "doc_id", "key").count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "count")).alias("first")
+    best = stored(own.groupBy("root").agg(first).select("first.doc_id", "first.key", "first.count"), "kept-documents")
     rows = packed_rows(docs, id_col, text_col)
     kept = rows.join(best, rows["doc_id"].eqNullSafe(best["doc_id"]) & (rows["key"] == best["key"]), "left_semi")
     if not best.where("count > 1").isEmpty():

@@ -282,6 +282,15 @@ def test_near_duplicates_against_all_pairs(spark, odd, monkeypatch):
         least.get(g) for g in groups} else set()) and max(ids.values()) == 1
 
 
+def test_every_component_keeps_one_row(spark):
+    alone = [prose(700 + i, 80) for i in range(8)]  # unrelated texts, no two in one component
+    rows = [(None, t) for t in alone[:5]] + [(1, alone[5]), (1, alone[6]), (1, alone[6]), (2, alone[6]), (3, alone[7]),
+                                             (None, alone[7])]
+    assert len(set(by_pairs([plain_fingerprint(t) for t in alone]))) == len(alone)
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_first(table(spark, rows).repartition(3)).collect())
+    assert kept == Counter([(None, t) for t in alone[:5]] + [(1, alone[5]), (1, alone[6]), (3, alone[7])])
+
+
 def test_no_documents(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
