@@ -4,9 +4,10 @@ Documents become token ids and are cut into pieces of at most ``capacity``
 tokens. The number of pieces of each length (at most ``capacity`` rows) is all
 that planning needs: best-fit decreasing runs over the counts and yields plan
 entries "pieces of this length, from this rank to that one, go to these
-sequences at this offset". The pieces then take their slots by a join on
-(length, rank within the length); ranks are counted in cells of bounded size,
-so no length, however common, meets in one task.
+sequences at this offset". Slots are found by (length, rank within the length)
+for row numbers alone; ranks are counted in cells of bounded size, so no length,
+however common, meets in one task. The written pieces, with their ids, are then
+joined to their slots once, by row number.
 """
 
 from __future__ import annotations
@@ -248,7 +249,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns, among them ``length``) with ``sequence_id, offset``.
 
     The pieces are written once to the shared folder, with a number of their
-    own; histogram, ranks and slots then come from that table.
+    own; histogram, ranks and slots come from that table's narrow columns.
     """
     spark = pieces.sparkSession
     table = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
@@ -256,7 +257,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.createDataFrame(best_fit_plan(counts, capacity), _PLAN).withColumnRenamed("length", "_length")
     cells = spark.createDataFrame([(n, math.ceil(c / CELL_ROWS)) for n, c in counts.items()],
                                   "_n long, _cells long")
-    dealt = (table.join(F.broadcast(cells), table["length"] == F.col("_n"))
+    dealt = (table.select("_row", "length").join(F.broadcast(cells), F.col("length") == F.col("_n"))
              .withColumn("_cell", F.pmod(F.xxhash64("_row"), "_cells")).drop("_n", "_cells"))
     sizes = dealt.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(Window.partitionBy("length").orderBy("_cell")) - F.col("_size")
@@ -267,10 +268,11 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length"))
                         & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank")))
     k = F.col("_rank") - F.col("first_rank")
-    return slots.select(
-        *pieces.columns,
+    slots = slots.select(
+        F.col("_row").alias("_slot_row"),
         (F.col("first_sequence") + F.floor(k / F.col("per_sequence"))).alias("sequence_id"),
         (F.col("first_offset") + k % F.col("per_sequence") * F.col("length")).alias("offset"))
+    return table.join(slots, F.col("_row") == F.col("_slot_row")).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -287,6 +289,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """As ``pack``, with ``ids_crc32`` for the ids, which are then not stored."""
-    pieces = tokenize(docs, tokenizer)
-    return assign(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    """As ``pack``, with ``ids_crc32`` of the placed ids in their stead."""
+    return pack(docs, tokenizer).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                                        "sequence_id", "offset")

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -81,6 +82,33 @@ def test_pieces_and_sequences(spark, odd):
     assert sum(len(r["ids"]) for r in packed) == 4 * sum(r["length"] for r in rows)
 
 
+def test_digests_are_of_the_placed_ids(spark, odd, monkeypatch):
+    tables, put = [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: tables.append(put(df, name)) or tables[-1])
+    found = packing.pack_digests(odd).collect()
+    assert len(tables) == 1 and "ids" in tables[0].columns  # the query's own path writes the ids
+    expected = Counter((r["doc_id"], r["piece"], r["length"], zlib.crc32(bytes(r["ids"]))) for r in tables[0].collect())
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in found) == expected
+
+
+def test_the_pipeline_returns_the_ids_it_packs(spark, odd):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, "")
+    rows = packed.collect()
+    encode = packing.Encoder(packing.default_tokenizer()).encode
+    whole = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        assert len(r["ids"]) == 4 * r["length"] and r["ids_crc32"] == zlib.crc32(bytes(r["ids"]))
+        if r["doc_id"] not in (None, 2):  # ids of a single row
+            whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert whole == {d: encode(t or "") + b"\0\0\0\0" for d, t in odd_rows() if d not in (None, 2)}
+    parts = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        parts[r["sequence_id"]] = parts.get(r["sequence_id"], b"") + bytes(r["ids"])
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packed).collect()} == parts
+
+
 def test_empty_table(spark, empty):
     assert packing.pack_digests(empty).count() == 0
 
