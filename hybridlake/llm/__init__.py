@@ -1,6 +1,6 @@
 """Operators for preparing language-model training data.
 
-Ten operators over a table of documents, one module each. Every operator takes
+Operators over a table of documents or vectors, one module each. Every operator takes
 a DataFrame and column names, keeps its work in Spark stages and returns a
 DataFrame; ``queries.py`` registers one query per operator over the driver's
 ``documents`` table. Nothing else in the library imports this subpackage.

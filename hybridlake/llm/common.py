@@ -36,8 +36,8 @@ def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(text).alias("key"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once below the shared checkpoint folder and read it back.
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once below the shared checkpoint folder; what reads it back, and where it is.
 
     Cuts the lineage: a lost executor costs a re-read of files, not a rerun of
     what made them.
@@ -45,7 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``stored_at`` without the place: the table stays until the folder is cleaned."""
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored_at`` wrote and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import fingerprints, line_templates, packing, quality_model, quality_rules, secrets, sentencepieces, simhash, suffix_dedup, toxicity
+from hybridlake.llm import (bpe_chunks, centroid_clusters, fingerprints, line_templates, packing, periodic_runs, quality_model,
+                            quality_rules, secrets, sentencepieces, simhash, suffix_dedup, toxicity)
 from hybridlake.llm.common import documents
 from hybridlake.sources.tables import read_table
 
@@ -69,6 +70,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir, "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.with_inertia(centroid_clusters.cluster(read_table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_chunks.encode(documents(spark, sf_dir))
+    return found.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs.detect(documents(spark, sf_dir), seed_col=seed).withColumn("best", periodic_runs.longest("runs"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(periodic_runs.listed("runs").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_bpe": op12_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
