@@ -1,24 +1,37 @@
 """Line dedup (operator 7): a log-template tree, in DataFrame functions only.
 
 A line goes down a tree of fixed depth: first by its number of tokens, then by
-its leading tokens, a token with a digit being a variable field. Lines of one
-leaf that differ only in such fields have one template. What is left of a leaf
-is generalised: a token that doesn't recur at its place becomes a variable
-field as well, and lines that keep enough constant tokens share a template. A
-template that occurs in ``min_texts`` different texts is boilerplate: the text
-with the smallest document id keeps its lines, all others lose them.
+its leading tokens, a token with a digit being a variable field. In a leaf,
+lines share a template
+
+* if they differ in fields alone,
+* if they differ in one more place, or
+* if they agree wherever a token recurs at its place in ``min_texts`` texts,
+
+as long as enough of their tokens are constant. Every template is counted over
+all lines of its leaf; one that occurs in ``min_texts`` different texts is
+boilerplate. So is a long line that two texts hold word for word, whatever its
+tokens. The text with the smallest document id keeps its lines, all others lose
+them.
+
+Texts are told apart by hash and counted once, however many copies they have:
+what is counted, joined and decided is one row for a text's lines of one
+template. Rows of documents meet the decisions in the last join alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridlake.llm.common import keyed, packed_rows, stored, text_key
+from hybridlake.llm.common import keyed, stored, text_key
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: White space other than single blanks.
+ODD_SPACE = r"[\x09-\x0D]|\x20\x20"
+WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 FIELD = "<*>"
 
 
@@ -30,62 +43,109 @@ class TemplateParams:
     min_tokens: int = 4
     #: Leading tokens that the tree branches on.
     leading: int = 3
-    #: Share of a generalised line's tokens that must be constant.
+    #: Share of a template's tokens that must be constant.
     constant: float = 0.6
+    #: Lines of so many tokens are boilerplate from ``long_texts`` texts on that hold them word for word.
+    long_tokens: int = 16
+    long_texts: int = 2
+
+
+def _tokens(words: str) -> Column:
+    """Number of tokens, single blanks between them."""
+    return F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "))) + 1
 
 
 def template_lines(rows: DataFrame, params: TemplateParams) -> DataFrame:
-    """``doc_id, key, line, tokens, leaf, template`` of every line of ``min_tokens`` or more."""
+    """``doc_id, key, line, leaf, template, verbatim, masked`` of every line of ``min_tokens`` tokens or more;
+    ``masked`` holds the tokens between single blanks, ``verbatim`` is null for lines that aren't long."""
     lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.select("doc_id", "key", "line", F.btrim("content", F.lit(" \t\n\x0b\x0c\r")).alias("content"))
-    tokens = F.split("content", SPACE)
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    masked = F.when(F.col("content").rlike("[0-9]"), masked).otherwise(tokens)
-    lines = lines.select("doc_id", "key", "line", masked.alias("tokens")).where(F.size("tokens") >= params.min_tokens)
-    return lines.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, params.leading)),
-                              "template": F.xxhash64("tokens")})
-
-
-def boilerplate(rows: DataFrame, lines: DataFrame, firsts: DataFrame, params: TemplateParams) -> DataFrame:
-    """``template, keeper`` of every template that recurs; of ``rows(doc_id, key, text)``, their ``lines``
-    without tokens, and each text's ``first`` document."""
-    uses = stored(lines.select("leaf", "template", "key").distinct().join(firsts, "key"), "template-uses")
-    counted = stored(uses.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias(
-        "keeper")), "template-counts")
-    exact = counted.where(F.col("texts") >= params.min_texts).select("template", "keeper")
-
-    # lines that don't recur as they are, in leaves that do
-    single = counted.where(F.col("texts") < params.min_texts)
-    wide = single.groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("lines")).where(
-        (F.col("n") >= params.min_texts) & (F.col("lines") > 1)).select("leaf")
-    open_ = stored(single.join(wide, "leaf", "left_semi").select("template"), "open-templates")
-    content = template_lines(rows, params).select("leaf", "template", "key", "tokens").join(open_, "template", "left_semi")
-    content = stored(content.dropDuplicates(["template", "key"]).join(firsts, "key"), "open-lines")
-    fields = content.select("leaf", "template", "key", F.posexplode("tokens").alias("place", "token"))
-    recurrent = fields.select("leaf", "place", "token", "key").distinct().groupBy("leaf", "place", "token").count()
-    recurrent = recurrent.where(F.col("count") >= params.min_texts).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    shown = fields.select("leaf", "template", "place", "token").distinct().join(
-        recurrent, ["leaf", "place", "token"], "left")
-    shown = shown.withColumn("shown", F.when(F.col("fixed") & (F.col("token") != FIELD), F.col("token")).otherwise(FIELD))
-    general = shown.groupBy("leaf", "template").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("shown") != FIELD, 1)).alias("constant"),
-        F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("shape"))
-    general = general.where(F.col("constant") >= params.constant * F.col("n")).select(
-        "template", F.xxhash64("leaf", "shape.shown").alias("general"))
-    placed = content.select("template", "key", "first").join(general, "template")
-    common = placed.groupBy("general", "key").agg(F.min("first").alias("first")).groupBy("general").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("first").alias("keeper")).where(F.col("texts") >= params.min_texts)
-    loose = placed.select("template", "general").distinct().join(common, "general").select("template", "keeper")
-    return exact.unionByName(loose)
+    lines = lines.withColumn("content", F.btrim("content", F.lit(" \t\n\x0b\x0c\r")))
+    words = F.when(F.col("content").rlike(ODD_SPACE), F.regexp_replace("content", SPACE, " ")).otherwise(F.col("content"))
+    lines = lines.withColumn("words", words).withColumn("n", _tokens("words")).where(F.col("n") >= params.min_tokens)
+    masked = F.when(F.col("words").rlike("[0-9]"), F.regexp_replace("words", WITH_DIGIT, FIELD)).otherwise(F.col("words"))
+    return lines.withColumn("masked", masked).select(
+        "doc_id", "key", "line", F.xxhash64("n", F.substring_index("masked", " ", params.leading)).alias("leaf"),
+        F.xxhash64("masked").alias("template"),
+        F.when(F.col("n") >= params.long_tokens, F.xxhash64(F.lit("words"), "words")).alias("verbatim"), "masked")
+
+
+def recurring(uses: DataFrame, by: str, texts: int) -> DataFrame:
+    """``by, keeper`` of what ``texts`` different texts hold, of ``uses(by, key, first)``."""
+    each = uses.groupBy(by, "key").agg(F.min("first").alias("first"))
+    return each.groupBy(by).agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("keeper")).where(
+        F.col("texts") >= texts).select(by, "keeper")
+
+
+def general_templates(rows: DataFrame, counted: DataFrame, uses: DataFrame, params: TemplateParams) -> DataFrame:
+    """``template, keeper`` of the templates that recur together with others of their leaf.
+
+    A token, or a group of templates, that one template brings to ``min_texts``
+    texts needs no more counting; texts are told apart only among templates
+    that fewer texts hold, which have few uses each.
+    """
+    least = params.min_texts
+    wide = counted.groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("templates")).where(
+        (F.col("n") >= least) & (F.col("templates") > 1)).select("leaf")
+    open_ = stored(counted.join(wide, "leaf", "left_semi"), "open-templates")
+    shown = template_lines(rows, params).select("template", "masked").join(open_.select("template"), "template", "left_semi")
+    shown = shown.dropDuplicates(["template"]).join(open_, "template")
+    shown = stored(shown.select("leaf", "template", "texts", "keeper", F.split("masked", " ").alias("tokens")), "open-lines")
+    few = stored(uses.join(open_.where(F.col("texts") < least).select("template"), "template", "left_semi").select(
+        "template", "key"), "open-uses")
+    fields = shown.select("leaf", "template", "texts", "keeper", F.size("tokens").alias("n"),
+                          F.posexplode("tokens").alias("place", "token"))
+    fields = fields.withColumn("code", F.xxhash64("place", "token"))
+
+    def in_texts(members: DataFrame, *by: str) -> DataFrame:
+        """``by`` of the groups of ``members(by, template, texts)`` that ``min_texts`` texts hold."""
+        many = members.where(F.col("texts") >= least).select(*by)
+        rare = members.where(F.col("texts") < least).select(*by, "template").join(few, "template")
+        rare = rare.select(*by, "key").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= least)
+        return many.unionByName(rare.select(*by)).distinct()
+
+    def spread(members: DataFrame, by: str) -> DataFrame:
+        """``template, keeper`` of the members of recurring groups."""
+        common = in_texts(members, by).join(members.groupBy(by).agg(F.min("keeper").alias("least")), by)
+        return members.select(by, "template").join(common, by).select("template", F.col("least").alias("keeper"))
+
+    # all tokens but one: a combination of codes that takes one of them back
+    whole = fields.groupBy("template").agg(F.bit_xor("code").alias("whole"),
+                                           F.count(F.when(F.col("token") != FIELD, 1)).alias("constant"))
+    others = fields.join(whole, "template").where(
+        F.col("constant") - F.when(F.col("token") != FIELD, 1).otherwise(0) >= params.constant * F.col("n"))
+    others = others.select("template", "texts", "keeper", F.xxhash64(
+        "leaf", "place", F.col("whole").bitwiseXOR(F.col("code"))).alias("rest"))
+    one_place = spread(others, "rest")
+
+    fixed = in_texts(fields.where(F.col("token") != FIELD), "leaf", "place", "token").withColumn("fixed", F.lit(True))
+    seen = fields.join(fixed, ["leaf", "place", "token"], "left")
+    shapes = seen.groupBy("leaf", "template").agg(
+        F.first("texts").alias("texts"), F.first("keeper").alias("keeper"), F.first("n").alias("n"),
+        F.count("fixed").alias("constant"), F.bit_xor(F.when(F.col("fixed"), F.col("code")).otherwise(0)).alias("shape"))
+    shapes = shapes.where(F.col("constant") >= params.constant * F.col("n")).select(
+        "template", "texts", "keeper", F.xxhash64("leaf", "constant", "shape").alias("shape"))
+    return one_place.unionByName(spread(shapes, "shape"))
 
 
 def dropped_lines(rows: DataFrame, params: TemplateParams) -> DataFrame:
-    """``doc_id, key, dropped``: numbers of the lines that a text loses, where it loses any."""
-    lines = stored(template_lines(rows, params).drop("tokens"), "template-lines")
-    firsts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "first-documents")
-    found = stored(boilerplate(rows, lines, firsts, params), "boilerplate")
-    lost = lines.drop("leaf").join(found, "template").join(firsts, "key").where(~F.col("first").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    """``key, dropped`` of ``rows(doc_id, key, text)``: numbers of the lines that a text loses, where it loses any."""
+    lines = template_lines(rows, params)
+    constant = F.size(F.filter(F.split("masked", " "), lambda t: t != FIELD)) >= params.constant * _tokens("masked")
+    uses = stored(lines.withColumn("steady", ~F.contains("masked", F.lit(FIELD)) | constant).groupBy("leaf", "template", "verbatim", "key").agg(
+        F.min("doc_id").alias("first"), F.first("steady").alias("steady"), F.collect_set("line").alias("lines")), "template-uses")
+    each = uses.groupBy("leaf", "template", "key").agg(F.min("first").alias("first"), F.first("steady").alias("steady"))
+    counted = stored(each.groupBy("leaf", "template").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("first").alias("keeper"), F.first("steady").alias("steady")), "template-counts")
+    steady = counted.where("steady").drop("steady")
+    found = steady.where(F.col("texts") >= params.min_texts).select("template", "keeper")
+    found = found.unionByName(general_templates(rows, steady, uses.select("template", "key").distinct(), params))
+    found = stored(found.groupBy("template").agg(F.min("keeper").alias("keeper")), "boilerplate")
+    long = stored(recurring(uses.where("verbatim IS NOT NULL").select("verbatim", "key", "first"), "verbatim",
+                            params.long_texts), "long-lines")
+    lost = [uses.join(table, by).where(~F.col("first").eqNullSafe(F.col("keeper"))).select("key", "lines")
+            for table, by in ((found, "template"), (long, "verbatim"))]
+    return lost[0].unionByName(lost[1]).groupBy("key").agg(
+        F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
 
 
 def drop_boilerplate(docs: DataFrame, params: TemplateParams = TemplateParams(), id_col: str = "doc_id",
@@ -94,14 +154,17 @@ def drop_boilerplate(docs: DataFrame, params: TemplateParams = TemplateParams(),
 
     Texts are counted, not rows: exact copies count once, and all copies of the
     keeping text keep. A null text stays null, an empty one empty. A template
-    that only texts without an id have is kept by all of them.
+    that only texts without an id have is kept by all of them. Very long texts
+    are read line by line; taking lines away is linear in their number.
     """
-    lost = dropped_lines(keyed(docs, id_col, text_col).withColumn("key", text_key()), params)
-    rows = packed_rows(docs, id_col, text_col)
-    joined = rows.join(lost, rows["doc_id"].eqNullSafe(lost["doc_id"]) & (rows["key"] == lost["key"]), "left")
-    own = F.col("row")[text_col]
-    rest = F.array_join(F.filter(F.split(own, "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    text = F.when(F.col("dropped").isNull(), own).otherwise(rest)
-    columns = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    lost = stored(dropped_lines(keyed(docs, id_col, text_col).withColumn("key", text_key()), params), "dropped-lines")
+    # texts travel as their lines, which are then looked up by number
+    row = [(F.split(text_col, "\n") if c == text_col else F.col(c)).alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*row).alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    joined = rows.join(lost.select(F.col("key").alias("lost_key"), "dropped"), F.col("key") == F.col("lost_key"), "left")
+    lines = F.col("row")[text_col]
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "dropped")
+    kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
+    columns = [(F.array_join(kept, "\n") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
     count = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
     return joined.select(*columns, *([count.alias(count_col)] if count_col else []))

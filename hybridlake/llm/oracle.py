@@ -40,37 +40,44 @@ failed AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND covered <= {_R.max_covered} * n_words AND long = 0 AS kept FROM failed"""
 
+# A line's template is its tokens with fields masked. Per distinct text; ``t`` tells texts apart.
 OP7 = f"""WITH rows AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
-firsts AS (SELECT t, min(doc_id) AS first FROM rows GROUP BY t),
-split AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM rows),
-numbered AS (SELECT doc_id, t, unnest(ls) AS content, unnest(range(len(ls))) AS line FROM split),
-tokens AS (SELECT doc_id, t, line, content, list_transform(regexp_extract_all(content, {_WORD}),
-    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS template FROM numbered),
-lines AS (SELECT *, [CAST(len(template) AS VARCHAR)] || list_slice(template, 1, {_T.leading}) AS leaf FROM tokens
-    WHERE len(template) >= {_T.min_tokens}),
-uses AS (SELECT DISTINCT leaf, template, t, first FROM lines JOIN firsts USING (t)),
-counted AS (SELECT leaf, template, count(*) AS texts, min(first) AS keeper FROM uses GROUP BY leaf, template),
-wide AS (SELECT leaf FROM counted WHERE texts < {_T.min_texts} GROUP BY leaf
-    HAVING sum(texts) >= {_T.min_texts} AND count(*) > 1),
-open AS (SELECT u.* FROM uses u JOIN counted c USING (leaf, template) JOIN wide USING (leaf)
-    WHERE c.texts < {_T.min_texts}),
-fields AS (SELECT leaf, template, t, unnest(template) AS token, unnest(range(len(template))) AS place FROM open),
-fixed AS (SELECT leaf, place, token FROM fields WHERE token <> '<*>' GROUP BY leaf, place, token
+texts AS (SELECT t, min(doc_id) AS first, string_split(t, chr(10)) AS ls FROM rows GROUP BY t),
+numbered AS (SELECT t, first, unnest(ls) AS content, unnest(range(len(ls))) AS line FROM texts),
+split AS (SELECT t, first, line, regexp_extract_all(content, {_WORD}) AS words FROM numbered),
+lines AS (SELECT *, len(words) AS n, list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)
+    AS masked FROM split WHERE len(words) >= {_T.min_tokens}),
+templates AS (SELECT masked, n, [CAST(n AS VARCHAR)] || masked[1:{_T.leading}] AS leaf, count(DISTINCT t) AS texts,
+    min(first) AS keeper FROM lines GROUP BY masked, n
+    HAVING len(list_filter(masked, lambda x: x <> '<*>')) >= {_T.constant} * n),
+holds AS (SELECT DISTINCT masked, t, first FROM lines),
+forked AS (SELECT leaf FROM templates GROUP BY leaf HAVING count(*) > 1),
+open AS (SELECT * FROM templates WHERE leaf IN (SELECT leaf FROM forked)),
+places AS (SELECT leaf, masked, n, unnest(range(1, n + 1)) AS place FROM open),
+but_one AS (SELECT leaf, masked, place, masked[1:place - 1] || ['?'] || masked[place + 1:n] AS rest FROM places
+    WHERE len(list_filter(masked, lambda x: x <> '<*>')) - CAST(masked[place] <> '<*>' AS INT) >= {_T.constant} * n),
+one_place AS (SELECT leaf, place, rest, min(first) AS keeper FROM but_one JOIN holds USING (masked)
+    GROUP BY leaf, place, rest HAVING count(DISTINCT t) >= {_T.min_texts}),
+fixed AS (SELECT leaf, place, masked[place] AS token FROM places JOIN holds USING (masked) WHERE masked[place] <> '<*>'
+    GROUP BY leaf, place, masked[place] HAVING count(DISTINCT t) >= {_T.min_texts}),
+shapes AS (SELECT p.leaf, p.masked, list(f.token ORDER BY p.place) AS shape FROM places p LEFT JOIN fixed f
+    ON p.leaf = f.leaf AND p.place = f.place AND p.masked[p.place] = f.token GROUP BY p.leaf, p.masked, p.n
+    HAVING count(f.token) >= {_T.constant} * p.n),
+shared AS (SELECT leaf, shape, min(first) AS keeper FROM shapes JOIN holds USING (masked) GROUP BY leaf, shape
     HAVING count(DISTINCT t) >= {_T.min_texts}),
-shown AS (SELECT DISTINCT f.leaf, f.template, f.place, CASE WHEN x.token IS NULL THEN '<*>' ELSE f.token END AS token
-    FROM fields f LEFT JOIN fixed x ON f.leaf = x.leaf AND f.place = x.place AND f.token = x.token),
-shapes AS (SELECT leaf, template, list(token ORDER BY place) AS shape FROM shown GROUP BY leaf, template
-    HAVING count(*) FILTER (WHERE token <> '<*>') >= {_T.constant} * count(*)),
-common AS (SELECT leaf, shape, min(first) AS keeper FROM shapes JOIN open USING (leaf, template) GROUP BY leaf, shape
-    HAVING count(DISTINCT t) >= {_T.min_texts}),
-found AS (SELECT template, keeper FROM counted WHERE texts >= {_T.min_texts}
-    UNION ALL SELECT template, keeper FROM shapes JOIN common USING (leaf, shape)),
-lost AS (SELECT doc_id, list(line) AS dropped FROM lines JOIN found USING (template) JOIN firsts USING (t)
-    WHERE first IS DISTINCT FROM keeper GROUP BY doc_id)
-SELECT s.doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
+found AS (SELECT masked, min(keeper) AS keeper FROM (
+    SELECT masked, keeper FROM templates WHERE texts >= {_T.min_texts}
+    UNION ALL SELECT masked, o.keeper FROM but_one b JOIN one_place o ON b.leaf = o.leaf AND b.place = o.place AND b.rest = o.rest
+    UNION ALL SELECT masked, s.keeper FROM shapes JOIN shared s USING (leaf, shape)) GROUP BY masked),
+long AS (SELECT words, min(first) AS keeper FROM lines WHERE n >= {_T.long_tokens} GROUP BY words
+    HAVING count(DISTINCT t) >= {_T.long_texts}),
+lost AS (SELECT t, list(line) AS dropped FROM (
+    SELECT t, line FROM lines JOIN found USING (masked) WHERE first IS DISTINCT FROM keeper
+    UNION SELECT t, line FROM lines JOIN long USING (words) WHERE first IS DISTINCT FROM keeper) GROUP BY t)
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
     CAST(COALESCE(len(dropped), 0) AS BIGINT) AS n_dropped,
     CASE WHEN dropped IS NULL THEN t ELSE array_to_string(
         list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(dropped, i)), lambda i: ls[i + 1]), chr(10)) END
-    AS kept_text FROM split s LEFT JOIN lost USING (doc_id)"""
+    AS kept_text FROM rows JOIN texts USING (t) LEFT JOIN lost USING (t)"""
 
 SQL: dict[str, str] = {"op4_quality_rules": OP4, "op7_line_dedup": OP7}

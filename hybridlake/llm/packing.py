@@ -32,8 +32,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces ranked together in one window group.
 CELL_ROWS = 4096
-#: Words of which a Python worker remembers the ids, in each of two generations.
-MEMO_WORDS = 100_000
+#: Words of which a Python worker remembers the ids, in each of two generations: about 15 MB each.
+MEMO_WORDS = 60_000
 #: Longer words are encoded each time.
 MEMO_CHARS = 64
 
@@ -41,9 +41,7 @@ MEMO_CHARS = 64
 #: other text. A run of them keeps together, but for its last.
 SEGMENT = re.compile(r"[ \n]+(?=[ \n]|\Z)|[ \n]?[^ \n]+")
 #: Other white space would join such runs; texts with it are encoded whole.
-OTHER_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xa0, 0x1680,
-                                *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)]
-ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
+OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Letters that no version of the character tables disputes.
 LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
@@ -123,12 +121,6 @@ class Encoder:
         self.spaced.marks = self.bare
         self._whole = self.bare.whole
 
-    def forget(self) -> None:
-        """A worker that waits for its next task holds no memo."""
-        for memo in (self.bare, self.spaced):
-            memo.clear()
-            memo.old = {}
-
     def _segment(self, segment: str) -> bytes:
         if segment[-1] in " \n":
             return self._whole(segment)
@@ -142,9 +134,8 @@ class Encoder:
         for token in self.added:
             if token in text:
                 return self._whole(text)
-        for space in ASCII_SPACE if text.isascii() else OTHER_SPACE:
-            if space in text:
-                return self._whole(text)
+        if OTHER_SPACE.search(text):
+            return self._whole(text)
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return b"".join(map(self._segment, SEGMENT.findall(text)))
         first, *words = text.replace("\n", " \n").split(" ")  # one blank or newline between words
@@ -155,7 +146,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker: the vocabulary is read once, the memo lasts a task."""
+    """One encoder per Python worker: the vocabulary is read once, and the memo, of bounded size, lasts as long."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -194,7 +185,6 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 
         for batch in batches:
             yield from in_batches(rows(batch), arrow, 2_000)
-        encoder(path).forget()
 
     return source.mapInArrow(pieces, schema)
 

@@ -23,13 +23,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hybridlake.llm.common import in_batches, keyed, texts
 
 MARK = "▁"
-#: Segments whose ids a Python worker remembers, in each of two generations.
-MEMO_SEGMENTS = 120_000
+#: Segments whose ids a Python worker remembers, in each of two generations: about 10 MB each.
+MEMO_SEGMENTS = 40_000
 #: Longer segments are encoded each time.
 MEMO_CHARS = 64
 #: Text whose segments are looked up together, and segments encoded in one batch.
-BLOCK_CHARS = 1_000_000
-BATCH_SEGMENTS = 10_000
+BLOCK_CHARS = 250_000
+BATCH_SEGMENTS = 4_000
 
 # Fixed values of the model format: field numbers, piece kinds, model kinds.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -112,9 +112,23 @@ class Model:
         return not any(re.search(f"[^{MARK}]{MARK}", text) for text, _, kind in self.pieces if kind == NORMAL)
 
 
+def normalizer(model: Model):
+    """The model's own normalisation, marks included."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+    if model.fewer_blanks:
+        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+    steps.append(normalizers.Replace(" ", MARK))
+    if model.dummy_prefix:
+        steps.append(normalizers.Prepend(MARK))
+    return normalizers.Sequence(steps)
+
+
 def rebuild(model: Model, segments: bool = False):
-    """The ``tokenizers`` pipeline of a model; for ``segments``, that are normal and cut already, without those steps."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    """The ``tokenizers`` pipeline of a model; for ``segments``, that are normal and cut already, without those steps.
+    It decodes either way."""
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, pre_tokenizers
 
     if model.kind == UNIGRAM:
         tokenizer = Tokenizer(models.Unigram([(t, s) for t, s, _ in model.pieces], unk_id=model.unknown,
@@ -125,14 +139,8 @@ def rebuild(model: Model, segments: bool = False):
                  if kind == NORMAL for at in range(1, len(text)) if text[:at] in place and text[at:] in place]
         tokenizer = Tokenizer(models.BPE(place, [(a, b) for _, _, a, b in sorted(joins)], fuse_unk=True,
                                          unk_token=model.pieces[model.unknown][0], byte_fallback=model.byte_fallback))
-    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
-    if model.fewer_blanks:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    steps.append(normalizers.Replace(" ", MARK))
-    if model.dummy_prefix:
-        steps.append(normalizers.Prepend(MARK))
     if not segments:
-        tokenizer.normalizer = normalizers.Sequence(steps)
+        tokenizer.normalizer = normalizer(model)
     if not segments and model.separable():
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     own = [t for t, _, kind in model.pieces if kind == USER_DEFINED]
@@ -144,19 +152,17 @@ def rebuild(model: Model, segments: bool = False):
 
 
 class Codec:
-    """Encodes normal segments in batches; a memo keeps those that come often."""
+    """Encodes normal segments in batches; a memo keeps those that come often. One pipeline encodes and decodes."""
 
     def __init__(self, path: str, threads: int):
         import sentencepiece
 
         with open(path, "rb") as file:
             self.model = Model.parse(file.read())
-        self.whole = rebuild(self.model)
-        self.bare = rebuild(self.model, segments=True)
+        self.tokenizer = rebuild(self.model, segments=True)
+        self.normalizer = normalizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
-        self.piece_bytes = [bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(MARK, " ").encode()
-                            for t, _, kind in self.model.pieces]
         self.plain = not (self.model.charsmap or self.model.fewer_blanks)
         self.separable = self.model.separable()
         self.runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -169,24 +175,26 @@ class Codec:
             return ""
         if self.plain:
             return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        return self.whole.normalizer.normalize_str(text)
+        return self.normalizer.normalize_str(text)
 
     def segments(self, normal: str) -> list[str]:
         return self.runs.findall(normal) if self.separable else [normal] if normal else []
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
     def learn(self, segments: list[str]) -> None:
-        """Ids of segments, by the rebuilt pipeline; ``bad`` are those that the
-        reference library encodes otherwise or whose pieces aren't their text."""
-        encoded = [e.ids for e in self.bare.encode_batch_fast(segments, add_special_tokens=False)]
+        """Ids of segments, by the rebuilt pipeline; ``bad`` are those that the reference library
+        encodes otherwise, or that the pipeline doesn't decode to their text."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
         front = 1 if self.model.dummy_prefix else 0
         surface = [s[front:].replace(MARK, " ") if s[0] == MARK else s for s in segments]
         expected = self.reference.encode(surface, num_threads=self.threads)
-        for segment, ids, other, text in zip(segments, encoded, expected, surface):
+        for segment, ids, other, text, back in zip(segments, encoded, expected, surface, self.decode(encoded)):
             self.memo[segment] = array("I", ids).tobytes()
             if not text:  # a blank at the end; as a text of its own it would be empty
                 other = [self.reference.piece_to_id(MARK)]
-            back = b"".join([self.piece_bytes[i] for i in ids])
-            if ids != other or (back != segment.replace(MARK, " ").encode() and self.model.unknown not in ids):
+            if ids != other or (back != text and self.model.unknown not in ids):
                 self.bad.add(segment)
 
     def forget(self) -> None:
@@ -227,8 +235,8 @@ def codec(path: str, threads: int) -> Codec:
 
 def encode(docs: DataFrame, model: str | None = None, threads: int = 2, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, parity`` of every row: little-endian uint32 ids, and whether the
-    reference library agrees and the ids decode to the normal text.
+    """``doc_id, ids, parity`` of every row: little-endian uint32 ids, and whether for each of the
+    text's segments the reference library agrees and the ids decode to its normal text.
 
     A null text is empty and has no ids; repeated rows each get their row.
     """
@@ -266,7 +274,7 @@ def decode(encoded: DataFrame, model: str | None = None, threads: int = 2) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [array("I", v or b"").tolist() for v in batch.column(at).to_pylist()]
-            found = codec(path, threads).whole.decode_batch(ids, skip_special_tokens=False)
+            found = codec(path, threads).decode(ids)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())],
                                              names=[*batch.schema.names, "text"])
 

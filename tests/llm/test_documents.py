@@ -69,18 +69,47 @@ def test_automaton_keeps_a_format():
     import random
 
     rng = random.Random(1)
-    hexes = [secrets.shape("".join(rng.choice("0123456789abcdef") for _ in range(40))) for _ in range(500)]
+    hexes = Counter(secrets.shape("a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))) for _ in range(500))
     learnt = secrets.learn(hexes)
     assert len(learnt.arcs) == 41  # every place is a state of its own: only the last may end
     assert learnt.log_likelihood("x" * 40) > -1e-6 > learnt.log_likelihood("x" * 16)
-    keys = [secrets.shape("SK" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(18))) for _ in range(500)]
-    numbers = [secrets.shape("".join(rng.choice("0123456789") for _ in range(16))) for _ in range(500)]
+    keys = Counter(secrets.shape("S1" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(18))) for _ in range(500))
+    numbers = Counter(secrets.shape("".join(rng.choice("0123456789") for _ in range(16))) for _ in range(500))
     known = secrets.learn(keys)
     formats = secrets.Formats(secrets.SecretParams(), {"access": known}, {"access": min(
         known.log_likelihood(s) / (len(s) + 1) for s in keys)}, secrets.learn(numbers))
     assert formats.accepts("SKA1B2C3D4E5F6G7H8I9") and not formats.accepts("1234567812345678")
 
 
+def test_likelihoods_are_those_of_the_merged_tree():
+    """Counts of a brute-force walk: what went through each state of the automaton, sample by sample."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    samples = Counter("".join(rng.choice("ab") * rng.choice([2, 4]) + rng.choice("-.") for _ in range(rng.randint(1, 4)))
+                      for _ in range(400))
+    learnt = secrets.learn(samples)
+    assert learnt == secrets.learn(dict(samples)) and sum(samples.values()) == 400
+    through, ended, used = Counter(), Counter(), Counter()
+    for sample, n in samples.items():
+        state = 0
+        for symbol in sample:
+            through[state] += n
+            used[state, symbol] += n
+            state = learnt.arcs[state][symbol][0]
+        through[state] += n
+        ended[state] += n
+    for sample in [*samples, "aa", "zz", ""]:
+        state, total = 0, 0.0
+        for symbol in sample:
+            p = used[state, symbol] / through[state] if used[state, symbol] else learnt.unseen
+            total += math.log(p)
+            state = learnt.arcs[state][symbol][0] if used[state, symbol] else None
+        stop = ended[state] / through[state] if state is not None else 0
+        assert abs(total + math.log(max(stop, learnt.unseen)) - learnt.log_likelihood(sample)) < 1e-9
+
+
 def test_new_formats_are_added_and_redacted(spark):
     import random
 
@@ -98,6 +127,38 @@ def test_new_formats_are_added_and_redacted(spark):
     assert all("AKIA" not in out[i]["text"] for i in range(300))
 
 
+def test_formats_learnt_from_assignments_are_found_elsewhere(spark):
+    """Recall and false spans: keys that are labelled beside their names, and others in running text."""
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda: "k_" + "".join(rng.choice(letters) for _ in range(24))
+    host = lambda: f"mail{rng.randint(0, 9)}.example.com"
+    rows = [(i, f"{prose(i, 20)}\npassword: {key()}\n{prose(i, 8)} see {host()} and {rng.randint(10 ** 15, 10 ** 16 - 1)}"
+             f" or src/main/module{i}.py") for i in range(200)]
+    loose = [(1000 + i, f"{prose(i, 15)} log in with {key()} {prose(i, 4)} {host()}") for i in range(40)]
+    spans = {r["doc_id"]: r["s"] for r in secrets.scan(table(spark, rows + loose)).select(
+        "doc_id", secrets.joined("spans").alias("s")).collect()}
+    assert sum("format:" in spans[i] for i, _ in loose) >= 38  # a key may lack one of the three classes
+    assert not any("format:" in spans[i] for i, _ in rows)  # hosts, numbers and paths stay
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import random
+    import time
+
+    rng = random.Random(6)
+    words = []
+    for i in range(60_000):
+        words += ["%040x" % rng.getrandbits(160), "mail%d.example.com" % (i % 10)]
+    began = time.time()
+    base, tokens = secrets.base_spans(" ".join(words))
+    assert len(base) == len(tokens) == 60_000 and time.time() - began < 10
+    found = [("a", 0, 5, ""), ("b", 2, 30, ""), ("c", 8, 9, "")]
+    assert secrets.apart([("t", 9, 12, ""), ("t", 30, 40, ""), ("t", 25, 31, "")], found) == [("t", 30, 40, "")]
+
+
 def test_fingerprints_of_edited_and_next_texts(spark):
     rows = [(i, prose(i, 60)) for i in range(40)] + [(40, None), (41, ""), (None, "a b c"), (3, prose(3, 60))]
     got = fingerprints.edited_likeness(table(spark, rows).repartition(5)).collect()
