@@ -6,10 +6,11 @@ SHA-256, none of which DuckDB has; the tests hold them against brute force.
 
 from __future__ import annotations
 
+from hybridlake.llm.centroid_clusters import ClusterParams
 from hybridlake.llm.line_templates import TemplateParams
 from hybridlake.llm.quality_rules import RepetitionRules
 
-_R, _T = RepetitionRules(), TemplateParams()
+_R, _T, _C = RepetitionRules(), TemplateParams(), ClusterParams()
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 
@@ -80,4 +81,32 @@ SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lin
         list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(dropped, i)), lambda i: ls[i + 1]), chr(10)) END
     AS kept_text FROM rows JOIN texts USING (t) LEFT JOIN lost USING (t)"""
 
-SQL: dict[str, str] = {"op4_quality_rules": OP4, "op7_line_dedup": OP7}
+
+
+def _rounds() -> str:
+    """Lloyd's rounds one after another: ``a<i>`` assigns with the centroids ``c<i>``, which make ``c<i + 1>``."""
+    steps = []
+    for i in range(_C.rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v, c, d FROM (SELECT k.*, m.c,
+    list_sum(list_transform(range(1, {_C.dim + 1}), lambda j: (k.v[j] - m.v[j]) * (k.v[j] - m.v[j]))) AS d FROM kept k CROSS JOIN c{i} m)
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < _C.rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT m.c, COALESCE(n.v, m.v) AS v FROM c{i} m LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+        SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range({_C.dim})) AS j FROM a{i})
+        GROUP BY c, j) GROUP BY c) n USING (c))""")
+    return ",\n".join(steps)
+
+
+OP11 = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({_C.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {_C.dim} AND len(list_filter(embedding, lambda x: isfinite(x))) = {_C.dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{_C.seed}:' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v FROM kept
+    QUALIFY c < {_C.clusters}),
+{_rounds()}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+    CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(m.v, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{_C.rounds} a JOIN c{_C.rounds} m USING (c)"""
+
+SQL: dict[str, str] = {"op4_quality_rules": OP4, "op7_line_dedup": OP7, "op11_centroid_clusters": OP11}

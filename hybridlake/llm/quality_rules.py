@@ -1,8 +1,9 @@
 """Quality rules on repetition (operator 4): a suffix array over each text's words.
 
-The longest-common-prefix intervals of the array are the text's repeated
-passages. The union of the spans of those of ``repeat_words`` words or more
-gives the covered fraction, the deepest interval the longest repeat; a text is
+The longest-common-prefix intervals of the array, found by a stack scan, are
+the text's repeated passages; a place's longest one is its deepest interval's.
+The union of the spans of those of ``repeat_words`` words or more gives the
+covered fraction, the longest common prefix the longest repeat; a text is
 dropped when either passes its limit. Counts of words, symbols, repeated lines
 and repeated 3-word windows come from the same pass.
 """
@@ -54,7 +55,7 @@ def measure(block: list[bytes], rules: RepetitionRules) -> Iterator[tuple]:
     end = np.cumsum(size)
     ends = np.repeat(end, size)
     places, lcp = suffix_array(word_codes([w for ws in words for w in ws]), ends)
-    depth = deepest(lcp)
+    depth = deepest(lcp, min(rules.window_words, rules.repeat_words))
     total = len(ends)
 
     def in_repeats(least: int):
@@ -64,7 +65,7 @@ def measure(block: list[bytes], rules: RepetitionRules) -> Iterator[tuple]:
 
     longest = np.zeros(len(block), np.int64)
     if total:
-        np.maximum.at(longest, np.repeat(np.arange(len(block)), size)[places], depth)
+        np.maximum.at(longest, np.repeat(np.arange(len(block)), size)[places], lcp)
     windows, repeated = in_repeats(rules.window_words), in_repeats(rules.repeat_words)
     for text, *counts in zip(block, size.tolist(), windows.tolist(), repeated.tolist(), longest.tolist()):
         lines = [x for x in text.split(b"\n") if x.strip()]
@@ -130,7 +131,7 @@ def repeats(docs: DataFrame, least: int = RepetitionRules.repeat_words, id_col:
             places, lcp = suffix_array(codes, np.full(len(codes), len(codes), np.int64))
             before = np.append(codes, -1)[places - 1]  # the word to the left; none before the first
             before[places == 0] = -1
-            for length, first, end in intervals(lcp, least) if len(codes) else ():
+            for length, first, end, _ in intervals(lcp, least):
                 left = before[first:end]
                 if left[0] == -1 or (left != left[0]).any():
                     yield doc, length, sorted(places[first:end].tolist())

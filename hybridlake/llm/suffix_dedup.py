@@ -154,7 +154,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int) -> Itera
     left_rank[sorted(range(len(lefts)), key=lambda i: lefts[i])] = np.arange(len(lefts))
     lcp = _common(right[by_right], right_len[by_right])
     # the gram itself is common to all: depths count from one, so that its interval is found too
-    for depth, first, end in intervals(np.append(lcp + 1, 0)[:len(lcp)] * (np.arange(len(lcp)) > 0), 1):
+    for depth, first, end, _ in intervals(np.append(lcp + 1, 0)[:len(lcp)] * (np.arange(len(lcp)) > 0), 1):
         depth -= 1
         members = by_right[first:end]
         cut = lcp[first:end] == depth  # a new child begins
@@ -164,7 +164,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], need: int) -> Itera
         members, child = members[order], child[order]
         shared = _common(left[members], left_len[members])
         least = need - depth
-        for left_depth, a, b in intervals((shared + 1) * (np.arange(len(shared)) > 0), least + 1):
+        for left_depth, a, b, _ in intervals((shared + 1) * (np.arange(len(shared)) > 0), least + 1):
             if (child[a:b] != child[a]).any():
                 yield left_depth - 1, depth, members[a:b].tolist()
 

@@ -57,24 +57,70 @@ def suffix_array(codes, ends):
     return places, lcp
 
 
-def deepest(lcp):
-    """For each suffix, the depth of the deepest LCP interval that holds it."""
+def intervals(lcp, least: int) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
+    """(depth, first, end, own) of every LCP interval of depth ``least`` or more, inner ones first, by a stack scan.
+
+    ``own`` are the ranges of ranks that no deeper interval of the interval
+    holds: each rank belongs to one interval's own, its deepest. Ranks that
+    share less with their neighbours aren't visited.
+    """
     import numpy as np
 
-    return np.maximum(lcp, np.append(lcp[1:], 0)) if len(lcp) else lcp
+    live = np.flatnonzero(lcp >= least)
+    stack: list[list] = []  # [depth, first, rank up to which own is settled, own]
 
+    def close(end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
+        depth, first, at, own = stack.pop()
+        if at < end:
+            own.append((at, end))
+        return depth, first, end, own
 
-def intervals(lcp, least: int) -> Iterator[tuple[int, int, int]]:
-    """(depth, first, end) of every LCP interval of depth ``least`` or more, by a stack scan."""
-    stack: list[tuple[int, int]] = []  # (depth, first)
-    for r, depth in enumerate([*lcp[1:].tolist(), 0], 1):
-        first = r - 1
+    def inside(first: int, end: int) -> None:
+        """The interval on top holds the inner one [first, end)."""
+        if stack[-1][2] < first:
+            stack[-1][3].append((stack[-1][2], first))
+        stack[-1][2] = end
+
+    before = -1
+    for r, depth in zip(live.tolist(), lcp[live].tolist()):
+        first, inner = r - 1, None
+        if r != before + 1:
+            while stack:
+                found = close(before + 1)
+                if stack:
+                    inside(*found[1:3])
+                yield found
         while stack and stack[-1][0] > depth:
-            found, first = stack.pop()
-            if found >= least:
-                yield found, first, r
-        if depth and (not stack or stack[-1][0] < depth):
-            stack.append((depth, first))
+            found = close(r)
+            first, inner = found[1], found[1:3]
+            if stack and stack[-1][0] >= depth:
+                inside(*inner)
+                inner = None
+            yield found
+        if not stack or stack[-1][0] < depth:
+            stack.append([depth, first, first, []])
+            if inner:
+                inside(*inner)
+        before = r
+    while stack:
+        found = close(before + 1)
+        if stack:
+            inside(*found[1:3])
+        yield found
+
+
+def deepest(lcp, least: int):
+    """For each rank, the depth of its deepest LCP interval of depth ``least`` or more, 0 in none."""
+    import numpy as np
+
+    found = [(a, b, depth) for depth, _, _, own in intervals(lcp, least) for a, b in own]
+    depths = np.zeros(len(lcp), np.int64)
+    if found:
+        a, b, depth = np.array(found, np.int64).T
+        length = b - a
+        at = np.repeat(a - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        depths[at] = np.repeat(depth, length)
+    return depths
 
 
 def covered(places, lengths, n: int):
