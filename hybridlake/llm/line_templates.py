@@ -22,6 +22,7 @@ template. Rows of documents meet the decisions in the last join alone.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from hybridlake.llm.common import keyed, stored, text_key
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: White space other than single blanks.
-ODD_SPACE = r"[\x09-\x0D]|\x20\x20"
+#: White space that lines between two single blanks may hold; the line break can't occur.
+ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
 WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 FIELD = "<*>"
 
@@ -59,8 +60,9 @@ def template_lines(rows: DataFrame, params: TemplateParams) -> DataFrame:
     """``doc_id, key, line, leaf, template, verbatim, masked`` of every line of ``min_tokens`` tokens or more;
     ``masked`` holds the tokens between single blanks, ``verbatim`` is null for lines that aren't long."""
     lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.withColumn("content", F.btrim("content", F.lit(" \t\n\x0b\x0c\r")))
-    words = F.when(F.col("content").rlike(ODD_SPACE), F.regexp_replace("content", SPACE, " ")).otherwise(F.col("content"))
+    content = F.col("content")
+    odd = reduce(Column.__or__, [F.contains(content, F.lit(c)) for c in ODD_SPACE], content.startswith(" ") | content.endswith(" "))
+    words = F.when(odd, F.trim(F.regexp_replace(content, SPACE, " "))).otherwise(content)
     lines = lines.withColumn("words", words).withColumn("n", _tokens("words")).where(F.col("n") >= params.min_tokens)
     masked = F.when(F.col("words").rlike("[0-9]"), F.regexp_replace("words", WITH_DIGIT, FIELD)).otherwise(F.col("words"))
     return lines.withColumn("masked", masked).select(
@@ -79,51 +81,53 @@ def recurring(uses: DataFrame, by: str, texts: int) -> DataFrame:
 def general_templates(rows: DataFrame, counted: DataFrame, uses: DataFrame, params: TemplateParams) -> DataFrame:
     """``template, keeper`` of the templates that recur together with others of their leaf.
 
-    A token, or a group of templates, that one template brings to ``min_texts``
-    texts needs no more counting; texts are told apart only among templates
-    that fewer texts hold, which have few uses each.
+    Tokens are compared by the hash of place and token. What one template
+    brings to ``min_texts`` texts needs no more counting, and what cannot reach
+    them none either; texts are told apart only among templates that fewer
+    texts hold, which have few uses each.
     """
-    least = params.min_texts
+    enough = params.min_texts
     wide = counted.groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("templates")).where(
-        (F.col("n") >= least) & (F.col("templates") > 1)).select("leaf")
+        (F.col("n") >= enough) & (F.col("templates") > 1)).select("leaf")
     open_ = stored(counted.join(wide, "leaf", "left_semi"), "open-templates")
     shown = template_lines(rows, params).select("template", "masked").join(open_.select("template"), "template", "left_semi")
-    shown = shown.dropDuplicates(["template"]).join(open_, "template")
-    shown = stored(shown.select("leaf", "template", "texts", "keeper", F.split("masked", " ").alias("tokens")), "open-lines")
-    few = stored(uses.join(open_.where(F.col("texts") < least).select("template"), "template", "left_semi").select(
+    shown = shown.groupBy("template").agg(F.first("masked").alias("masked")).join(open_, "template")
+    shown = shown.withColumn("tokens", F.split("masked", " ")).select(
+        "leaf", "template", "texts", "keeper", F.size("tokens").alias("n"),
+        F.size(F.filter("tokens", lambda t: t != FIELD)).alias("constant"),
+        F.transform("tokens", lambda t, i: F.struct(F.xxhash64(i, t).alias("code"), (t != FIELD).alias("fixed"))).alias("tokens"))
+    shown = stored(shown, "open-lines")
+    few = stored(uses.join(open_.where(F.col("texts") < enough).select("template"), "template", "left_semi").select(
         "template", "key"), "open-uses")
-    fields = shown.select("leaf", "template", "texts", "keeper", F.size("tokens").alias("n"),
-                          F.posexplode("tokens").alias("place", "token"))
-    fields = fields.withColumn("code", F.xxhash64("place", "token"))
 
-    def in_texts(members: DataFrame, *by: str) -> DataFrame:
-        """``by`` of the groups of ``members(by, template, texts)`` that ``min_texts`` texts hold."""
-        many = members.where(F.col("texts") >= least).select(*by)
-        rare = members.where(F.col("texts") < least).select(*by, "template").join(few, "template")
-        rare = rare.select(*by, "key").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= least)
-        return many.unionByName(rare.select(*by)).distinct()
+    def in_texts(members: DataFrame, by: str) -> DataFrame:
+        """``by, least`` of the groups of ``members(by, template, texts, keeper)`` that ``min_texts`` texts hold."""
+        sums = members.groupBy(by).agg(F.sum("texts").alias("t"), F.max("texts").alias("most"), F.min("keeper").alias("least"))
+        sums = sums.where(F.col("t") >= enough)
+        rare = members.select(by, "template").join(sums.where(F.col("most") < enough).select(by), by, "left_semi")
+        rare = rare.join(few, "template").select(by, "key").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("k"))
+        return sums.join(rare, by, "left").where((F.col("most") >= enough) | (F.col("k") >= enough)).select(by, "least")
 
     def spread(members: DataFrame, by: str) -> DataFrame:
         """``template, keeper`` of the members of recurring groups."""
-        common = in_texts(members, by).join(members.groupBy(by).agg(F.min("keeper").alias("least")), by)
-        return members.select(by, "template").join(common, by).select("template", F.col("least").alias("keeper"))
-
-    # all tokens but one: a combination of codes that takes one of them back
-    whole = fields.groupBy("template").agg(F.bit_xor("code").alias("whole"),
-                                           F.count(F.when(F.col("token") != FIELD, 1)).alias("constant"))
-    others = fields.join(whole, "template").where(
-        F.col("constant") - F.when(F.col("token") != FIELD, 1).otherwise(0) >= params.constant * F.col("n"))
-    others = others.select("template", "texts", "keeper", F.xxhash64(
-        "leaf", "place", F.col("whole").bitwiseXOR(F.col("code"))).alias("rest"))
+        return members.select(by, "template").join(in_texts(members, by), by).select("template", F.col("least").alias("keeper"))
+
+    # all tokens but one: a combination of hashes that takes one of them back
+    whole = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(t["code"]))
+    rests = F.transform("tokens", lambda t, i: F.when(
+        F.col("constant") - t["fixed"].cast("int") >= params.constant * F.col("n"),
+        F.xxhash64(F.col("leaf"), i, F.col("whole").bitwiseXOR(t["code"]))))
+    others = shown.withColumn("whole", whole).select("template", "texts", "keeper", F.explode(rests).alias("rest")).where(
+        "rest IS NOT NULL")
     one_place = spread(others, "rest")
 
-    fixed = in_texts(fields.where(F.col("token") != FIELD), "leaf", "place", "token").withColumn("fixed", F.lit(True))
-    seen = fields.join(fixed, ["leaf", "place", "token"], "left")
-    shapes = seen.groupBy("leaf", "template").agg(
-        F.first("texts").alias("texts"), F.first("keeper").alias("keeper"), F.first("n").alias("n"),
-        F.count("fixed").alias("constant"), F.bit_xor(F.when(F.col("fixed"), F.col("code")).otherwise(0)).alias("shape"))
-    shapes = shapes.where(F.col("constant") >= params.constant * F.col("n")).select(
-        "template", "texts", "keeper", F.xxhash64("leaf", "constant", "shape").alias("shape"))
+    spots = shown.select("leaf", "template", "texts", "keeper", F.explode("tokens").alias("t")).where("t.fixed")
+    spots = spots.select("template", "texts", "keeper", "t.code", F.xxhash64("leaf", "t.code").alias("spot"))
+    seen = spots.select("template", "code", "spot").join(in_texts(spots, "spot").select("spot"), "spot", "left_semi")
+    shapes = seen.groupBy("template").agg(F.count(F.lit(1)).alias("fixed"), F.bit_xor("code").alias("shape"))
+    shapes = shapes.join(shown.select("leaf", "template", "texts", "keeper", "n"), "template").where(
+        F.col("fixed") >= params.constant * F.col("n"))
+    shapes = shapes.select("template", "texts", "keeper", F.xxhash64("leaf", "fixed", "shape").alias("shape"))
     return one_place.unionByName(spread(shapes, "shape"))
 
 
@@ -131,21 +135,20 @@ def dropped_lines(rows: DataFrame, params: TemplateParams) -> DataFrame:
     """``key, dropped`` of ``rows(doc_id, key, text)``: numbers of the lines that a text loses, where it loses any."""
     lines = template_lines(rows, params)
     constant = F.size(F.filter(F.split("masked", " "), lambda t: t != FIELD)) >= params.constant * _tokens("masked")
-    uses = stored(lines.withColumn("steady", ~F.contains("masked", F.lit(FIELD)) | constant).groupBy("leaf", "template", "verbatim", "key").agg(
-        F.min("doc_id").alias("first"), F.first("steady").alias("steady"), F.collect_set("line").alias("lines")), "template-uses")
-    each = uses.groupBy("leaf", "template", "key").agg(F.min("first").alias("first"), F.first("steady").alias("steady"))
-    counted = stored(each.groupBy("leaf", "template").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("first").alias("keeper"), F.first("steady").alias("steady")), "template-counts")
-    steady = counted.where("steady").drop("steady")
-    found = steady.where(F.col("texts") >= params.min_texts).select("template", "keeper")
-    found = found.unionByName(general_templates(rows, steady, uses.select("template", "key").distinct(), params))
+    steady = ~F.contains("masked", F.lit(FIELD)) | constant
+    uses = stored(lines.withColumn("steady", steady).groupBy("leaf", "template", "steady", "verbatim", "key", "line").agg(
+        F.min("doc_id").alias("first")), "template-uses")
+    each = uses.where("steady").groupBy("leaf", "template", "key").agg(F.min("first").alias("first"))
+    counted = stored(each.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("keeper")),
+                     "template-counts")
+    found = counted.where(F.col("texts") >= params.min_texts).select("template", "keeper")
+    found = found.unionByName(general_templates(rows, counted, uses.select("template", "key").distinct(), params))
     found = stored(found.groupBy("template").agg(F.min("keeper").alias("keeper")), "boilerplate")
     long = stored(recurring(uses.where("verbatim IS NOT NULL").select("verbatim", "key", "first"), "verbatim",
                             params.long_texts), "long-lines")
-    lost = [uses.join(table, by).where(~F.col("first").eqNullSafe(F.col("keeper"))).select("key", "lines")
+    lost = [uses.join(table, by).where(~F.col("first").eqNullSafe(F.col("keeper"))).select("key", "line")
             for table, by in ((found, "template"), (long, "verbatim"))]
-    return lost[0].unionByName(lost[1]).groupBy("key").agg(
-        F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
+    return lost[0].unionByName(lost[1]).groupBy("key").agg(F.collect_set("line").alias("dropped"))
 
 
 def drop_boilerplate(docs: DataFrame, params: TemplateParams = TemplateParams(), id_col: str = "doc_id",
