@@ -18,7 +18,6 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from string import punctuation
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,18 +31,16 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces ranked together in one window group.
 CELL_ROWS = 4096
-#: Words of which a Python worker remembers the ids, in each of two generations: about 15 MB each.
-MEMO_WORDS = 60_000
-#: Longer words are encoded each time.
-MEMO_CHARS = 64
-
-#: Byte-level pre-tokenisation always breaks before a blank or newline beside
-#: other text. A run of them keeps together, but for its last.
-SEGMENT = re.compile(r"[ \n]+(?=[ \n]|\Z)|[ \n]?[^ \n]+")
-#: Other white space would join such runs; texts with it are encoded whole.
-OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Letters that no version of the character tables disputes.
-LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Pre-tokens of which a Python worker remembers the ids, in each of two generations: about 40 MB each.
+MEMO_PIECES = 200_000
+#: Longer ones are encoded each time.
+MEMO_CHARS = 32
+
+#: Blanks, line breaks and characters whose class no version of the character tables disputes.
+PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+#: What the tokenizer's own pattern makes of them.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[0-9]+"
+                   "| ?[^ \nA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[ \n]+(?![^ \n])|[ \n]+")
 
 _PLAN = T.StructType([
     T.StructField("length", T.LongType()), T.StructField("first_rank", T.LongType()),
@@ -57,58 +54,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Memo(dict):
-    """Ids by word, in two generations: words still in use outlive a full memo.
-
-    A word of letters is one pre-token; ASCII punctuation after it is another.
-    """
+class Pieces(dict):
+    """Ids by pre-token, in two generations: what is still in use outlives a full memo."""
 
-    def __init__(self, before: str, tokenizer):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.before, self.tokenizer, self.tokenize = before, tokenizer, tokenizer.model.tokenize
+        self.tokenize = tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in set(shown)]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.blank = self.letter[32] if before else ""
-        self.marks = self
+        self.blank = self.letter[32]
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        letters = word.rstrip(punctuation)
-        if letters and letters.isascii() and letters.isalpha():
-            pre_token = letters
-        elif LETTERS.fullmatch(letters):
-            pre_token = "".join([self.letter[b] for b in letters.encode()])
-        else:
-            pre_token = ""
-        if pre_token and len(letters) < len(word):
-            return self[letters] + self.marks[word[len(letters):]]
-        ids = self.old.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
         if ids is None:
-            if pre_token:
-                ids = array("I", [t.id for t in self.tokenize(self.blank + pre_token)]).tobytes()
-            elif word[:1] == "\n":
-                ids = self.whole("\n") + (self.marks[word[1:]] if word[1:] else b"")
+            if piece.isascii() and "\n" not in piece:
+                marked = piece.replace(" ", self.blank)
             else:
-                ids = self.whole(self.before + word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+                marked = "".join([self.letter[b] for b in piece.encode()])
+            ids = array("I", [t.id for t in self.tokenize(marked)]).tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
                 self.old = dict(self)
                 self.clear()
-            self[word] = ids
+            self[piece] = ids
         return ids
 
 
 class Encoder:
-    """Texts to little-endian uint32 token ids, with a memo of words.
+    """Texts to little-endian uint32 token ids, with a memo of pre-tokens.
 
-    Pre-tokens of the byte-level vocabulary never span a blank or newline
-    beside other text, so the ids of a text are those of its words, one after
-    another. The library makes the ids of each word that the memo lacks, and
-    those of texts that hold an added token.
+    A text of plain characters is cut as the tokenizer's pattern cuts it, and
+    its model makes the ids of each pre-token that the memo lacks. The library
+    encodes other texts whole, and those that hold an added token.
     """
 
     def __init__(self, path: str):
@@ -117,29 +96,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # an added token, such as <|endoftext|>, is cut out before any word is
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare, self.spaced = Memo("", self.tokenizer), Memo(" ", self.tokenizer)
-        self.spaced.marks = self.bare
-        self._whole = self.bare.whole
+        self.pieces = Pieces(self.tokenizer)
+        probe = " One's  3rd, \n\u00c0\u0153 x-- \n"
+        self.direct = self.by_pieces(probe) == self.whole(probe)  # else the library encodes all there is
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _segment(self, segment: str) -> bytes:
-        if segment[-1] in " \n":
-            return self._whole(segment)
-        if segment[0] == " ":
-            return self.spaced[segment[1:]]
-        return self.spaced[segment] if segment[0] == "\n" else self.bare[segment]
+    def by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        for token in self.added:
-            if token in text:
-                return self._whole(text)
-        if OTHER_SPACE.search(text):
-            return self._whole(text)
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return b"".join(map(self._segment, SEGMENT.findall(text)))
-        first, *words = text.replace("\n", " \n").split(" ")  # one blank or newline between words
-        return self.bare[first] + b"".join(map(self.spaced.__getitem__, words))
+        if not (self.direct and PLAIN.fullmatch(text)) or any(t in text for t in self.added):
+            return self.whole(text)
+        return self.by_pieces(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
