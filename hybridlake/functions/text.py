@@ -22,8 +22,13 @@ LONE_NEWLINE = r"(?<!\n)\n(?!\n)"
 NEWLINE_RUN = r"\n+"
 BLANK_RUN = r"[ \t]+"
 EDGE_WHITESPACE = r"^[\t-\r\x1c-\x20\x85\p{Z}]+|(?<![\t-\r\x1c-\x20\x85\p{Z}])[\t-\r\x1c-\x20\x85\p{Z}]++\z"
-# Our analyzer: lower case, split on runs of anything but letters and digits.
-TERM_SEPARATOR = r"[^\p{L}\p{N}]+"
+# Our analyzer: lower case, then words by the published word-boundary rules: marks
+# stay with their letter, ``_`` joins, an apostrophe, stop, colon or middle dot
+# between letters and a stop, comma, semicolon or apostrophe between digits is part
+# of the word, and ideographs and hiragana are words of their own.
+SINGLE = r"[\p{IsHan}\p{IsHiragana}]"
+TERM = (r"_*[\p{L}\p{N}][\p{L}\p{M}\p{N}_]*+(?:(?:(?<=[\p{L}\p{M}])['\u2019.:\u00b7](?=\p{L})"
+        r"|(?<=\p{N})[.,;'\u2019](?=\p{N}))[\p{L}\p{M}\p{N}_]++)*")
 
 
 def _col(c: str | Column) -> Column:
@@ -71,8 +76,10 @@ def chunk_windows(toks: str | Column, params: ChunkParams = ChunkParams()) -> Co
 
 
 def analyze(text: str | Column) -> Column:
-    """Terms of a text: lower case, split on non letters/digits, drop empties."""
-    return F.array_remove(F.split(F.lower(_col(text)), TERM_SEPARATOR, -1), "")
+    """Terms of a text, in order: lower-case words (``TERM``)."""
+    t = F.lower(_col(text))
+    apart = F.when(t.rlike(SINGLE), F.regexp_replace(t, rf"({SINGLE}\p{{M}}*)", " $1 ")).otherwise(t)
+    return F.regexp_extract_all(apart, F.lit(TERM), F.lit(0))
 
 
 def record_name(path: str | Column) -> Column:

@@ -81,18 +81,25 @@ def hash_embedding(terms: str | Column, dim: int) -> Column:
     return _encode(F.col(terms) if isinstance(terms, str) else terms)
 
 
-def model_embedding(text: str | Column, encoder_factory: Callable[[], object], dim: int) -> Column:
+def model_embedding(text: str | Column, encoder_factory: Callable[[], object], dim: int, batch_texts: int = 64) -> Column:
     """Embed with a caller-supplied model: ``encoder_factory()`` must return an
     object with ``encode(list[str]) -> array (n, dim)``; it is built once per
-    Python worker and reused for every batch."""
+    Python worker. It is given ``batch_texts`` texts of about one length at a
+    time, so that a model that pads its batches pads little."""
 
     @F.pandas_udf(VECTOR_TYPE)
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder_factory()
         for s in batches:
-            out = np.asarray(model.encode(s.fillna("").tolist()), dtype=np.float32)
-            if out.ndim != 2 or out.shape[1] != dim:
-                raise ValueError(f"encoder returned shape {out.shape}, expected (*, {dim})")
+            texts = s.fillna("").tolist()
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            out = np.zeros((len(texts), dim), np.float32)
+            for at in range(0, len(order), batch_texts):
+                own = order[at:at + batch_texts]
+                found = np.asarray(model.encode([texts[i] for i in own]), dtype=np.float32)
+                if found.shape != (len(own), dim):
+                    raise ValueError(f"encoder returned shape {found.shape}, expected ({len(own)}, {dim})")
+                out[own] = found
             yield pd.Series(list(out))
 
     return _encode(F.col(text) if isinstance(text, str) else text)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hybridlake.operators.ann import IVFIndex, ivf_search
 from hybridlake.operators.index import SearchIndex
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
@@ -55,11 +56,19 @@ def fuse(keyword: DataFrame, vector: DataFrame, params: SearchParams, id_col: st
     return top_k(both.withColumn("score", combined), params.top_k, tiebreak=id_col)
 
 
+def vector_leg(index: SearchIndex, queries: DataFrame, params: SearchParams, ivf: IVFIndex | None = None,
+               qvec_col: str = "query_vector") -> DataFrame:
+    """The vector hits: exact over the records, or through ``ivf``, an index over the records' vectors."""
+    if ivf is None:
+        return vector_search(index.records, queries, params, dim=index.dim, id_col=index.id_col, qvec_col=qvec_col)
+    if (ivf.dim, ivf.id_col) != (index.dim, index.id_col):
+        raise ValueError("the vector index is not one of these records")
+    return ivf_search(ivf, queries, params, qvec_col=qvec_col)
+
+
 def hybrid_search(index: SearchIndex, queries: DataFrame, params: SearchParams = SearchParams(),
-                  text_col: str = "query_text", qvec_col: str = "query_vector") -> DataFrame:
+                  text_col: str = "query_text", qvec_col: str = "query_vector", ivf: IVFIndex | None = None) -> DataFrame:
     """``queries(qid, query_text, query_vector)`` -> ``qid, <id>, keyword_score,
-    vector_score, score, rank`` (top_k per query)."""
+    vector_score, score, rank`` (top_k per query); with ``ivf`` the vector leg is approximate."""
     kw = keyword_search(index, queries, params, text_col)
-    vec = vector_search(index.records, queries, params, dim=index.dim, id_col=index.id_col,
-                        qvec_col=qvec_col)
-    return fuse(kw, vec, params, index.id_col)
+    return fuse(kw, vector_leg(index, queries, params, ivf, qvec_col), params, index.id_col)

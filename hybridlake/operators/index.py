@@ -5,18 +5,29 @@
 is done once per build; with ``materialize_to`` the tables are written as
 Parquet in the shared lineage folder and read back, so searches never
 re-tokenise the corpus and lineage stays short.
+
+Written postings come in blocks, one row for up to ``BLOCK_POSTINGS`` postings
+of a term in the order of their BM25 contribution, with the greatest term
+frequency and the least length in the block. These bound what any posting of
+the block adds to a score, whatever the corpus statistics have become since.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hybridlake.functions.text import analyze, with_passage_prefix
-from hybridlake.functions.vectors import hash_embedding, term_counts
-from hybridlake.params import EmbedParams
+from hybridlake.functions.vectors import hash_embedding, model_embedding, term_counts
+from hybridlake.params import BM25Params, EmbedParams
 
 
 @dataclass(frozen=True)
@@ -29,13 +40,19 @@ class SearchIndex:
     id_col: str = "chunk_id"
     term_buckets: int | None = None   # set when postings are laid out by term bucket
     id_buckets: int | None = None     # set when records are laid out by id bucket
+    blocks: DataFrame | None = None   # term, n, max_tf, min_dl, ids, tfs, dls; what postings is read from
+    root: str | None = None           # folder of the written tables
+    embed: EmbedParams | None = None  # what the records were embedded with, kept for queries
 
 
 def embed_records(records: DataFrame, params: EmbedParams, text_col: str = "text",
                   out_col: str = "embedding") -> DataFrame:
     """Attach ``terms`` (the analysed text, kept for keyword scoring) and the
-    built-in hashed embedding (of the prefixed text when the flag is on)."""
+    encoder's vector (of the prefixed text when the flag is on)."""
     with_terms = records.withColumn("terms", analyze(text_col))
+    if params.encoder is not None:
+        vector = model_embedding(with_passage_prefix(text_col, params.passage_prefix), params.encoder, params.dim)
+        return with_terms.withColumn(out_col, vector)
     src = analyze(with_passage_prefix(text_col, True)) if params.passage_prefix else F.col("terms")
     return with_terms.withColumn(out_col, hash_embedding(src, params.dim))
 
@@ -44,7 +61,8 @@ def embed_queries(queries: DataFrame, params: EmbedParams, text_col: str = "quer
     """Attach ``query_vector``: the encoder applied to the (optionally prefixed)
     query text; the keyword leg keeps the unprefixed text."""
     src = with_passage_prefix(text_col, params.passage_prefix)
-    return queries.withColumn("query_vector", hash_embedding(analyze(src), params.dim))
+    vector = hash_embedding(analyze(src), params.dim) if params.encoder is None else model_embedding(src, params.encoder, params.dim)
+    return queries.withColumn("query_vector", vector)
 
 
 def build_postings(records: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -99,38 +117,144 @@ def build_corpus_stats(records: DataFrame, text_col: str = "text") -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(dl).cast("double").alias("avgdl"))
 
 
+#: Postings of one block.
+BLOCK_POSTINGS = 128
+
+
+def impact(tf: Column | str, dl: Column | str, avgdl: float, bm25: BM25Params = BM25Params()) -> Column:
+    """What a posting adds to a score, but for its term's weight."""
+    tf, dl = (F.col(c) if isinstance(c, str) else c for c in (tf, dl))
+    return tf / (tf + F.lit(bm25.k1) * (F.lit(1.0 - bm25.b) + F.lit(bm25.b) * dl / F.lit(avgdl or 1.0)))
+
+
+def build_blocks(postings: DataFrame, id_col: str, avgdl: float) -> DataFrame:
+    """Blocks of ``postings(term_bucket, term, id, tf, dl)``.
+
+    REBALANCE lets AQE split a hot bucket (a very common term) over several
+    tasks and merge small ones; each task then cuts its sorted postings, so no
+    term is gathered anywhere.
+    """
+    id_type = postings.schema[id_col].dataType
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([
+        postings.schema["term_bucket"], postings.schema["term"], T.StructField("n", T.IntegerType()),
+        T.StructField("max_tf", T.IntegerType()), T.StructField("min_dl", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(id_type)), T.StructField("tfs", ints), T.StructField("dls", ints)])
+    dealt = postings.select("term_bucket", "term", id_col, "tf", "dl").hint("rebalance", "term_bucket")
+    dealt = dealt.sortWithinPartitions("term_bucket", "term", impact("tf", "dl", avgdl).desc(), id_col)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            n = rb.num_rows
+            if not n:
+                continue
+            term = rb.column(1)
+            new = np.ones(n, bool)
+            new[1:] = pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            starts = np.flatnonzero((np.arange(n) - first) % BLOCK_POSTINGS == 0)
+            offsets = pa.array(np.append(starts, n), pa.int32())
+            tf, dl = (rb.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0).take(at), term.take(at), pa.array(np.diff(np.append(starts, n)), pa.int32()),
+                 pa.array(np.maximum.reduceat(tf, starts), pa.int32()), pa.array(np.minimum.reduceat(dl, starts), pa.int32()),
+                 *(pa.ListArray.from_arrays(offsets, rb.column(i)) for i in (2, 3, 4))], names=schema.names)
+
+    return dealt.mapInArrow(fn, schema)
+
+
+def postings_of(blocks: DataFrame, id_col: str) -> DataFrame:
+    """``term, id, tf, dl, term_bucket`` of every posting."""
+    each = blocks.select("term", "term_bucket", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    return each.select("term", F.col("p.ids").alias(id_col), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), "term_bucket")
+
+
+def sum_of_stats(bucket_stats: DataFrame) -> DataFrame:
+    """``n_docs, avgdl`` from each id bucket's ``n, total``."""
+    n, total = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))
+    return bucket_stats.agg(n.alias("n_docs"), F.when(n > 0, total / n).otherwise(0.0).cast("double").alias("avgdl"))
+
+
+def write_records(records: DataFrame, path: str, id_col: str, id_buckets: int) -> DataFrame:
+    """Laid out by id bucket: rebalanced, so no bucket is a hot task; sorted by id inside for hit lookups."""
+    laid = records.withColumn("id_bucket", term_bucket(id_col, id_buckets))
+    (laid.hint("rebalance", "id_bucket").sortWithinPartitions("id_bucket", id_col)
+     .write.mode("overwrite").partitionBy("id_bucket").parquet(path))
+    return records.sparkSession.read.schema(laid.schema).parquet(path)
+
+
+def write_postings(postings: DataFrame, root: str, id_col: str, avgdl: float) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` and ``term_stats`` below ``root``, by term bucket."""
+    spark = postings.sparkSession
+    blocks = build_blocks(postings, id_col, avgdl)
+    blocks.write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/blocks")
+    blocks = spark.read.schema(blocks.schema).parquet(f"{root}/blocks")
+    stats = blocks.groupBy("term", "term_bucket").agg(F.sum("n").alias("df"))
+    stats.hint("rebalance", "term_bucket").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/term_stats")
+    return blocks, spark.read.schema(stats.schema).parquet(f"{root}/term_stats")
+
+
+def bucket_stats(records: DataFrame) -> DataFrame:
+    """``id_bucket, n, total`` (records, terms) of written records: at most MAX_BUCKETS rows."""
+    return records.groupBy("id_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).cast("long").alias("total"))
+
+
 def build_index(records: DataFrame, *, dim: int, id_col: str = "chunk_id", text_col: str = "text",
-                materialize_to: str | None = None) -> SearchIndex:
+                materialize_to: str | None = None, embed: EmbedParams | None = None) -> SearchIndex:
     if "terms" not in records.columns:
         records = records.withColumn("terms", analyze(text_col))
     if materialize_to is None:
         postings = build_postings(records, id_col, text_col)
         return SearchIndex(records, postings, build_term_stats(postings),
-                           build_corpus_stats(records, text_col), dim, id_col)
+                           build_corpus_stats(records, text_col), dim, id_col, embed=embed)
     spark = records.sparkSession
     root = materialize_to.rstrip("/")
-    # One pass over the documents: clean, chunk, analyse, embed, write; laid out
-    # by id bucket (rebalanced, so no bucket is a hot task; sorted by id inside)
-    # for hit lookups.
+    # One pass over the documents: clean, chunk, analyse, embed, write.
     id_buckets = id_bucket_count(records)
-    (records.withColumn("id_bucket", term_bucket(id_col, id_buckets)).hint("rebalance", "id_bucket")
-     .sortWithinPartitions("id_bucket", id_col).write.mode("overwrite").partitionBy("id_bucket").parquet(f"{root}/records"))
-    r = spark.read.parquet(f"{root}/records")
-    n_docs = r.count()
+    r = write_records(records, f"{root}/records", id_col, id_buckets)
+    stats = bucket_stats(r)
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{root}/bucket_stats")
+    n_docs, avgdl = sum_of_stats(spark.read.schema(stats.schema).parquet(f"{root}/bucket_stats")).first()
     buckets = bucket_count(n_docs)
     postings = build_postings(r, id_col, text_col).withColumn("term_bucket", term_bucket("term", buckets))
-    # REBALANCE lets AQE split a hot bucket (a very common term) over several
-    # tasks and merge small ones, so the directory-per-bucket write has neither
-    # skew nor a flood of tiny files. Sorted by term inside each file.
-    (postings.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/postings"))
-    p = spark.read.parquet(f"{root}/postings")
-    (build_term_stats(p).withColumn("term_bucket", term_bucket("term", buckets)).hint("rebalance", "term_bucket")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/term_stats"))
-    # sum(tf) over all postings = sum(dl) over all chunks; the record count
-    # comes from Parquet footers, so the corpus is not tokenised again.
-    total = p.agg(F.sum("tf")).first()[0] or 0
-    spark.createDataFrame([(n_docs, float(total) / n_docs if n_docs else 0.0)],
-                          "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{root}/corpus_stats")
-    return SearchIndex(r, p, spark.read.parquet(f"{root}/term_stats"),
-                       spark.read.parquet(f"{root}/corpus_stats"), dim, id_col, buckets, id_buckets)
+    blocks, term_stats = write_postings(postings, root, id_col, avgdl)
+    schemas = {name: df.schema.json() for name, df in (("records", r), ("blocks", blocks), ("term_stats", term_stats),
+                                                       ("bucket_stats", stats))}
+    encoder, prefix = (embed.encoder_name, embed.passage_prefix) if embed else (None, None)
+    spark.createDataFrame([(dim, id_col, buckets, id_buckets, encoder, prefix, schemas)], _META).coalesce(1).write.mode(
+        "overwrite").parquet(f"{root}/meta")
+    return open_index(spark, root, embed)
+
+
+_META = ("dim int, id_col string, term_buckets int, id_buckets int, encoder string, passage_prefix boolean, "
+         "schemas map<string,string>")
+
+
+def open_index(spark: SparkSession, root: str, embed: EmbedParams | None = None) -> SearchIndex:
+    """The written index below ``root`` as it is now. ``embed`` must be what its records were embedded with."""
+    m = spark.read.schema(_META).parquet(f"{root}/meta").first()
+    if embed is not None and m["encoder"] is not None and (embed.dim, embed.encoder_name, embed.passage_prefix) != (
+            m["dim"], m["encoder"], m["passage_prefix"]):
+        raise ValueError(f"the index was embedded by {m['encoder']!r} (dim {m['dim']}, prefix {m['passage_prefix']}), "
+                         f"not by {embed.encoder_name!r} (dim {embed.dim}, prefix {embed.passage_prefix})")
+
+    def table(name: str) -> DataFrame:
+        return spark.read.schema(T.StructType.fromJson(json.loads(m["schemas"][name]))).parquet(f"{root}/{name}")
+
+    blocks = table("blocks")
+    return SearchIndex(table("records"), postings_of(blocks, m["id_col"]), table("term_stats").select("term", "df", "term_bucket"),
+                       sum_of_stats(table("bucket_stats")), m["dim"], m["id_col"], m["term_buckets"], m["id_buckets"],
+                       blocks, root, embed)
+
+
+def encoder_of(index: SearchIndex, embed: EmbedParams | None) -> EmbedParams:
+    """What embeds queries for ``index``: its own encoder; another one is refused."""
+    if index.embed is None:
+        if embed is None:
+            raise ValueError("the index doesn't say how its records were embedded: give the encoder")
+        return embed
+    if embed is not None and (embed.dim, embed.encoder_name, embed.passage_prefix) != (
+            index.embed.dim, index.embed.encoder_name, index.embed.passage_prefix):
+        raise ValueError(f"queries embedded by {embed.encoder_name!r} can't search records embedded by {index.embed.encoder_name!r}")
+    return index.embed

@@ -3,25 +3,27 @@
 score(q, d) = sum_t qtf(t) * ln(1 + (N - df + 0.5) / (df + 0.5))
                       * tf / (tf + k1 * (1 - b + b * dl / avgdl))
 
-Plan: the query terms (small, size-checked) are broadcast and joined to
-``term_stats`` and then to ``postings`` without moving either index table;
-partial sums are combined per (qid, chunk) and only k rows per query survive
-each partition before the final top-k.
+Three plans give the same hits. Over written postings a few queries are
+answered by block-max pruning (``block_max_candidates``): only candidates that
+can reach a query's top k are scored, from their records. Without blocks the
+query terms (small, size-checked) are broadcast and joined to ``term_stats``
+and ``postings``. Large batches scan the records (``keyword_search_batch``).
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze
-from hybridlake.operators.index import SearchIndex, term_bucket
+from hybridlake.operators.index import SearchIndex, build_postings, impact, term_bucket
 from hybridlake.operators.knn import _local_top_k
 from hybridlake.operators.topk import RunningTopK, settled, split_passes, top_k
 from hybridlake.params import SearchParams
+from hybridlake.session import lineage_dir
 
 # Budget per (query, term) row of the broadcast side.
 QUERY_TERM_BYTES = 96
@@ -47,27 +49,123 @@ def bm25_scores(index: SearchIndex, qterms: DataFrame, params: SearchParams) ->
     return parts.groupBy("qid", index.id_col).agg(F.sum("s").alias("score"))
 
 
+#: Postings of all query terms up to which the join's one pass beats the steps of pruning.
+JOIN_MAX_PAIRS = 2_000_000
+#: Terms of a query, and for each of them blocks, that give the first bound of its k-th score.
+PROBE_TERMS = 8
+#: Scores are compared after rounding to 9 decimals; bounds leave room for that.
+SLACK = 1e-6
+
+
+@dataclass(frozen=True)
+class Pruned:
+    """What block-max pruning leaves of a query batch."""
+
+    weights: DataFrame      # qid, term, w
+    candidates: DataFrame   # qid, id: every hit of the top k is among them
+
+
+def _written(df: DataFrame) -> DataFrame:
+    lineage_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def block_max_candidates(index: SearchIndex, qterms: DataFrame, params: SearchParams) -> Pruned:
+    """The (query, record) pairs that may be among a query's top k.
+
+    A term's *reach* in a query is its weight times the greatest contribution
+    of its blocks. (1) The best block of each query's farthest-reaching terms
+    gives partial scores; the k-th greatest is a bound that the top k must
+    reach. (2) Terms whose reaches together stay below the bound can't make a
+    hit by themselves; of the others, only blocks that reach the bound with all
+    other terms of the query are read. (3) Pairs that stay below it with all
+    that is left go. Every bound holds for any corpus statistics.
+    """
+    id_col = index.id_col
+    n, avgdl = index.corpus_stats.select(F.col("n_docs").cast("double"), "avgdl").first()
+    idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = _written(F.broadcast(qterms).join(index.term_stats, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")))
+    terms = F.broadcast(weights.select("term").distinct())
+    heads = index.blocks.select("term", "max_tf", "min_dl").join(terms, "term", "left_semi")
+    greatest = heads.groupBy("term").agg(F.max(impact("max_tf", "min_dl", avgdl, params.bm25)).alias("top"))
+    of_query = Window.partitionBy("qid")
+    reach = weights.join(F.broadcast(greatest), "term").withColumn("reach", F.col("w") * F.col("top"))
+    reach = reach.withColumn("all", F.sum("reach").over(of_query)).withColumn(
+        "place", F.row_number().over(of_query.orderBy(F.col("reach").desc(), "term"))).withColumn(
+        "below", F.sum("reach").over(of_query.orderBy(F.col("reach").asc(), F.col("term").desc())))
+    reach = _written(reach)
+
+    def postings_in(blocks: DataFrame, *keep: str) -> DataFrame:
+        """``qid, *keep, id, s`` of every posting of blocks that are joined to (query, term) rows."""
+        each = blocks.select("qid", "w", *keep, F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return each.select("qid", *keep, F.col("p.ids").alias(id_col),
+                           (F.col("w") * impact("p.tfs", "p.dls", avgdl, params.bm25)).alias("s"))
+
+    probe = reach.where(F.col("place") <= PROBE_TERMS).select("qid", "term", "w")
+    probed = F.broadcast(probe.select("term").distinct())
+    whole = F.struct("ids", "tfs", "dls")
+    best = index.blocks.join(probed, "term", "left_semi").groupBy("term").agg(
+        F.max_by(whole, impact("max_tf", "min_dl", avgdl, params.bm25)).alias("b")).select("term", "b.*")
+    first = postings_in(F.broadcast(probe).join(best, "term")).groupBy("qid", id_col).agg(F.sum("s").alias("s"))
+    kth = F.row_number().over(of_query.orderBy(F.col("s").desc()))
+    bound = first.withColumn("r", kth).where(F.col("r") == params.top_k).select("qid", (F.col("s") - SLACK).alias("bound"))
+    needed = reach.join(F.broadcast(bound), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    needed = needed.where(F.col("below") >= F.col("bound"))  # the others can't reach it, all together
+    # what the terms left out may add to a pair, and what other terms may add to a block
+    left_out = F.col("all") - F.sum("reach").over(of_query)
+    needed = _written(needed.select("qid", "term", "w", "bound", left_out.alias("rest"), (F.col("all") - F.col("reach")).alias("others")))
+    reaching = F.broadcast(needed).join(index.blocks, "term").where(
+        F.col("w") * impact("max_tf", "min_dl", avgdl, params.bm25) + F.col("others") >= F.col("bound"))
+    scored = postings_in(reaching, "rest", "bound").groupBy("qid", id_col).agg(F.sum("s").alias("s"), F.first("rest").alias("rest"), F.first("bound").alias("bound"))
+    candidates = scored.where(F.col("s") + F.col("rest") >= F.col("bound")).select("qid", id_col)
+    return Pruned(weights, _written(candidates))
+
+
+def block_max_search(index: SearchIndex, qterms: DataFrame, params: SearchParams) -> DataFrame:
+    """Scores of the candidates, from their records' terms."""
+    id_col = index.id_col
+    pruned = block_max_candidates(index, qterms, params)
+    avgdl = index.corpus_stats.select("avgdl").first()[0]
+    small = pruned.candidates.count() * QUERY_TERM_BYTES <= params.max_broadcast_bytes
+    pairs = F.broadcast(pruned.candidates) if small else pruned.candidates
+    wanted = pruned.candidates.select(id_col).distinct()
+    records = index.records
+    if index.id_buckets:
+        buckets = [r[0] for r in wanted.select(term_bucket(id_col, index.id_buckets)).distinct().collect()]
+        records = records.where(F.col("id_bucket").isin(buckets))
+    held = records.select(id_col, "terms").join(F.broadcast(wanted) if small else wanted, id_col, "left_semi")
+    held = build_postings(held, id_col).join(F.broadcast(pruned.weights.select("term").distinct()), "term", "left_semi")
+    scored = held.join(pairs, id_col).join(F.broadcast(pruned.weights), ["qid", "term"])
+    return scored.groupBy("qid", id_col).agg(F.sum(F.col("w") * impact("tf", "dl", avgdl, params.bm25)).alias("score"))
+
+
 def keyword_search(index: SearchIndex, queries: DataFrame, params: SearchParams = SearchParams(),
                    text_col: str = "query_text", method: str = "auto") -> DataFrame:
     """Top-k BM25 hits: ``qid, <id>, score, rank``. No shared term, no hit.
 
-    ``method``: ``"join"`` (broadcast query terms joined to the postings: reads
-    only the postings of the query terms; best for a few queries), ``"scan"``
+    ``method``: ``"blocks"`` (block-max pruning over written postings),
+    ``"join"`` (query terms joined to the postings; both read only the term
+    buckets of the query terms, best for a few queries), ``"scan"``
     (partition-local scoring over the records' terms: best for large batches),
-    or ``"auto"`` (by the number of query-term rows).
+    or ``"auto"`` (by the number of query-term rows and of their postings).
     """
     qterms = query_terms(queries, text_col)
     n_rows = qterms.count()
-    if method == "scan" or (method == "auto" and n_rows > JOIN_MAX_QUERY_TERMS
-                            and "terms" in index.records.columns):
+    if method == "scan" or (method == "auto" and n_rows > JOIN_MAX_QUERY_TERMS and "terms" in index.records.columns):
         return keyword_search_batch(index, queries, params, text_col, qterms, n_rows)
+    if method == "blocks" and index.blocks is None:
+        raise ValueError("the index has no posting blocks: write it first (build_index, materialize_to)")
     if index.term_buckets:
         # A few queries: read only the term buckets they touch (partition pruning).
         buckets = [r[0] for r in qterms.select(term_bucket("term", index.term_buckets)).distinct().collect()]
-        index = replace(index, postings=index.postings.filter(F.col("term_bucket").isin(buckets)),
-                        term_stats=index.term_stats.filter(F.col("term_bucket").isin(buckets)))
+        keep = lambda df: df if df is None else df.filter(F.col("term_bucket").isin(buckets))
+        index = replace(index, postings=keep(index.postings), term_stats=keep(index.term_stats), blocks=keep(index.blocks))
+    if method == "auto":
+        pairs = F.broadcast(qterms).join(index.term_stats, "term").agg(F.sum("df")).first()[0] or 0
+        method = "blocks" if index.blocks is not None and pairs > JOIN_MAX_PAIRS else "join"
     passes = split_passes(qterms, n_rows, QUERY_TERM_BYTES, params.max_broadcast_bytes)
-    scored = reduce(DataFrame.unionByName, [bm25_scores(index, p, params) for p in passes])
+    score = block_max_search if method == "blocks" else bm25_scores
+    scored = reduce(DataFrame.unionByName, [score(index, p, params) for p in passes])
     return top_k(scored, params.top_k, tiebreak=index.id_col)
 
 

@@ -1,4 +1,4 @@
-"""Vector leg: exact (and cell-restricted) k-nearest-neighbour search.
+"""Vector leg: exact k-nearest-neighbour search.
 
 Exact search costs Q x N distance evaluations whatever the engine; what we
 control is what moves. The query batch (size-checked, split into passes above
@@ -27,7 +27,7 @@ from hybridlake.operators.topk import SCORE_DECIMALS, RunningTopK, settled, spli
 from hybridlake.params import SearchParams
 
 
-def _matrix(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows with a valid vector, float64 matrix of those rows)."""
     if isinstance(vecs, pa.ChunkedArray):
         vecs = vecs.combine_chunks()
@@ -66,51 +66,51 @@ def _local_top_k(s: np.ndarray, id_rank: np.ndarray, k: int) -> tuple[np.ndarray
     return qi[keep], bi[keep]
 
 
-def _search_fn(bq, id_col: str, vec_col: str, cell_col: str | None, dim: int, k: int,
-               space: str, block: int):
+class Candidates:
+    """The rows of a batch that have a vector of the dimension: their ids, places, vectors, and which of them
+    are valid. NaN, infinite or NULL elements, and a zero vector by cosine, are never a hit."""
+
+    def __init__(self, ids: pa.Array, vecs: pa.Array, dim: int, space: str):
+        ok, v = matrix(vecs, dim)
+        self.places = np.flatnonzero(ok)
+        self.ids = ids if ok.all() else ids.filter(pa.array(ok))
+        self.valid = np.isfinite(v).all(axis=1)
+        self.v = np.where(self.valid[:, None], v, 0.0)
+        if space == "cosine":
+            norm = np.sqrt((self.v * self.v).sum(axis=1))
+            self.valid &= norm > 0
+            self.v = self.v / np.where(self.valid, norm, 1.0)[:, None]
+        self.norm2 = (self.v * self.v).sum(axis=1)
+
+
+def local_hits(best: RunningTopK, held: Candidates, q: np.ndarray, rows: np.ndarray, space: str, k: int, block: int) -> None:
+    """Score the queries ``q[rows]`` against the batch, a block of them at a time; each one's k best go to ``best``."""
+    if not len(held.v) or not len(rows):
+        return
+    names = held.ids.to_numpy(zero_copy_only=False)
+    id_rank = np.empty(len(names), dtype=np.int64)
+    id_rank[np.argsort(names, kind="stable")] = np.arange(len(names))
+    out_q, out_i, out_s = [], [], []
+    for at in range(0, len(rows), block):
+        own = rows[at:at + block]
+        qb = q[own]
+        s = _scores(qb, (qb * qb).sum(axis=1), held.v, held.norm2, space)
+        s[:, ~held.valid] = -np.inf
+        qi, bi = _local_top_k(s, id_rank, k)
+        out_q.append(own[qi])
+        out_i.append(bi)
+        out_s.append(s[qi, bi])
+    bi = np.concatenate(out_i)
+    if len(bi):
+        best.add(np.concatenate(out_q), held.ids.take(pa.array(bi)), np.concatenate(out_s))
+
+
+def _search_fn(bq, id_col: str, dim: int, k: int, space: str, block: int):
     def fn(batches):
-        qids, q, probes = bq.value
-        qn2 = (q * q).sum(axis=1)
-        best = RunningTopK(k)
+        qids, q = bq.value
+        best, rows = RunningTopK(k), np.arange(len(q))
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ok, v = _matrix(rb.column(vec_col), dim)
-            ids = rb.column(id_col).filter(pa.array(ok)) if not ok.all() else rb.column(id_col)
-            if len(v) == 0:
-                continue
-            valid = np.isfinite(v).all(axis=1)  # NaN, infinite or NULL elements: never a hit
-            v = np.where(valid[:, None], v, 0.0)
-            if space == "cosine":
-                nv = np.sqrt((v * v).sum(axis=1))
-                valid &= nv > 0
-                v = v / np.where(valid, nv, 1.0)[:, None]
-            vn2 = (v * v).sum(axis=1)
-            cells = None
-            if cell_col is not None:
-                c = rb.column(cell_col)
-                c = c.filter(pa.array(ok)) if not ok.all() else c
-                cells = pc.fill_null(c, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids_np = ids.to_numpy(zero_copy_only=False)
-            id_rank = np.empty(len(ids_np), dtype=np.int64)
-            id_rank[np.argsort(ids_np, kind="stable")] = np.arange(len(ids_np))
-            out_q, out_i, out_s = [], [], []
-            for q0 in range(0, len(q), block):
-                qb = q[q0:q0 + block]
-                s = _scores(qb, qn2[q0:q0 + block], v, vn2, space)
-                s[:, ~valid] = -np.inf
-                if cells is not None:
-                    probed = np.zeros((len(qb), len(v)), dtype=bool)
-                    inside = cells >= 0
-                    probed[:, inside] = probes[q0:q0 + block][:, cells[inside]]
-                    s[~probed] = -np.inf
-                qi, bi = _local_top_k(s, id_rank, k)
-                out_q.append(q0 + qi)
-                out_i.append(bi)
-                out_s.append(s[qi, bi])
-            bi = np.concatenate(out_i)
-            if len(bi):
-                best.add(np.concatenate(out_q), ids.take(pa.array(bi)), np.concatenate(out_s))
+            local_hits(best, Candidates(rb.column(0), rb.column(1), dim, space), q, rows, space, k, block)
         yield from best.batches(qids, id_col)
     return fn
 
@@ -123,7 +123,7 @@ def collect_queries(queries: DataFrame, dim: int, vec_col: str = "query_vector",
     qids = tbl.column("qid").combine_chunks()
     if tbl.num_rows == 0:
         return qids, np.zeros((0, dim))
-    ok, q = _matrix(tbl.column(vec_col), dim)
+    ok, q = matrix(tbl.column(vec_col), dim)
     keep = np.isfinite(q).all(axis=1)
     if space == "cosine":
         nq = np.sqrt((np.where(keep[:, None], q, 0.0) ** 2).sum(axis=1))
@@ -134,40 +134,23 @@ def collect_queries(queries: DataFrame, dim: int, vec_col: str = "query_vector",
 
 def vector_search(corpus: DataFrame, queries: DataFrame, params: SearchParams = SearchParams(), *,
                   dim: int, id_col: str = "chunk_id", vec_col: str = "embedding",
-                  qvec_col: str = "query_vector", cell_col: str | None = None,
-                  probes_for=None) -> DataFrame:
-    """Top-k neighbours: ``qid, <id>, score, rank``.
-
-    ``cell_col`` + ``probes_for(q) -> bool matrix (nq, n_cells)`` restrict each
-    query to the vectors of its probed cells (IVF); without them the search is
-    exact.
-    """
+                  qvec_col: str = "query_vector") -> DataFrame:
+    """Top-k neighbours, exactly: ``qid, <id>, score, rank``."""
     spark = corpus.sparkSession
     n_rows = queries.count()
     row_bytes = dim * 8 + 64
-    cols = [id_col, vec_col] + ([cell_col] if cell_col else [])
-    slim = corpus.select(*cols)
-    id_field = slim.schema[id_col]
-    out_schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField(id_col, id_field.dataType),
-                             StructField("score", DoubleType())])
+    slim = corpus.select(id_col, vec_col)
+    out_schema = StructType([StructField("qid", queries.schema["qid"].dataType),
+                             StructField(id_col, slim.schema[id_col].dataType), StructField("score", DoubleType())])
     results = []
     passes = split_passes(queries, n_rows, row_bytes, params.max_broadcast_bytes)
     for part in passes:
         qids, q = collect_queries(part, dim, qvec_col, params.space)
         if len(qids) == 0:
             continue
-        probes = probes_for(q) if probes_for is not None else None
-        scan = slim
-        if probes is not None:
-            # Read only the probed cells: with vectors laid out by cell this is
-            # partition pruning, otherwise a pushed-down filter.
-            cells = np.flatnonzero(probes.any(axis=0)).tolist()
-            if len(cells) < probes.shape[1]:
-                scan = slim.filter(F.col(cell_col).isin(cells))
-        bq = spark.sparkContext.broadcast((qids, q, probes))
-        fn = _search_fn(bq, id_col, vec_col, cell_col, dim, params.top_k, params.space,
-                        params.query_block)
-        results.append(settled(scan.mapInArrow(fn, out_schema), bq, len(passes), params.top_k, id_col))
+        bq = spark.sparkContext.broadcast((qids, q))
+        fn = _search_fn(bq, id_col, dim, params.top_k, params.space, params.query_block)
+        results.append(settled(slim.mapInArrow(fn, out_schema), bq, len(passes), params.top_k, id_col))
     if not results:
         return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(None).cast("bigint"))
     return top_k(reduce(DataFrame.unionByName, results), params.top_k, tiebreak=id_col)

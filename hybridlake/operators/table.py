@@ -75,11 +75,13 @@ def upsert(current: DataFrame, batch: DataFrame, batch_id: int, id_col: str = "c
     """Replace-by-id: the batch's rows replace whole records; inside the batch the
     row with the greatest ``seq_col`` wins; a row never replaces a newer
     version (so replaying a batch is a no-op). Rows have no order of their own:
-    without ``seq_col`` an id that the batch holds twice is an error.
+    without ``seq_col`` an id that the batch holds twice is an error. Rows
+    without an id are left out.
 
     Only the ids the batch touches are resolved by an aggregate; the rest of
     the table passes through an anti join against the batch's ids.
     """
+    batch = batch.where(F.col(id_col).isNotNull())
     seq = F.col(seq_col) if seq_col else F.lit(0)
     if not seq_col and not batch.groupBy(id_col).count().where("count > 1").isEmpty():
         raise ValueError(f"the batch has several rows of one {id_col}: name the column that orders them (seq_col)")

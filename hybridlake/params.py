@@ -6,6 +6,7 @@ that a whole job is described by a handful of immutable values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
@@ -25,7 +26,7 @@ MAX_HISTORY_MESSAGES = 1000
 PASSAGE_PREFIX = "passage: "
 PDF_SUFFIX = ".pdf"
 CONTEXT_INTRO = "Use the following context to answer the question.\nContext:\n"
-NO_CONTEXT_LINE = "Answer questions to the best of your knowledge.\n"
+NO_CONTEXT_LINE = "No passage was found for this request; reply from general knowledge.\n"
 HISTORY_HEADER = "Conversation History:\n"
 USER_ROLE = "user"
 USER_LABEL = "User"
@@ -64,14 +65,21 @@ class ChunkParams:
 
 @dataclass(frozen=True)
 class EmbedParams:
-    """Embedding contract: declared dimension and the asymmetric prefix flag."""
+    """Embedding contract: declared dimension, the asymmetric prefix flag, and
+    the encoder. ``encoder()`` makes an object with ``encode(list[str]) ->
+    (n, dim)`` and is told apart by ``encoder_name``; None is the built-in
+    hashing of terms."""
 
     dim: int = DEFAULT_EMBEDDING_DIM
     passage_prefix: bool = False
+    encoder: Callable[[], object] | None = None
+    encoder_name: str = "term-hashing"
 
     def __post_init__(self) -> None:
         if self.dim <= 0:
             raise ValueError(f"dim must be positive, got {self.dim}")
+        if self.encoder is not None and self.encoder_name == "term-hashing":
+            raise ValueError("name the encoder")
 
 
 @dataclass(frozen=True)
@@ -98,6 +106,9 @@ class SearchParams:
     bm25: BM25Params = field(default_factory=BM25Params)
     max_broadcast_bytes: int = 64 * 1024 * 1024
     query_block: int = 1024
+    #: Of a routed search: vectors and queries of a cell that one task holds.
+    cell_rows: int = 50_000
+    cell_queries: int = 20_000
 
     def __post_init__(self) -> None:
         if self.top_k < 1:
@@ -126,17 +137,18 @@ class PromptParams:
 
 @dataclass(frozen=True)
 class IVFParams:
-    """``train_fraction`` < 1 fits the centroids on a random share of the
-    vectors (every vector is still assigned a cell and searched)."""
+    """``n_cells`` None: about the square root of the number of vectors. The
+    centroids are broadcast, so their bytes are bounded; they are fitted on
+    about ``max_train_rows`` vectors at most (every vector is assigned a cell
+    and searched)."""
 
-    n_cells: int = 16
+    n_cells: int | None = None
     nprobe: int = 8
     max_iter: int = 20
     seed: int = 7
-    train_fraction: float = 1.0
+    max_train_rows: int = 2_000_000
+    max_center_bytes: int = 256 * 1024 * 1024
 
     def __post_init__(self) -> None:
-        if not 1 <= self.nprobe <= self.n_cells:
+        if self.nprobe < 1 or (self.n_cells is not None and self.nprobe > self.n_cells):
             raise ValueError("nprobe must be in 1..n_cells")
-        if not 0 < self.train_fraction <= 1:
-            raise ValueError("train_fraction must be in (0, 1]")

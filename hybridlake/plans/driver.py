@@ -6,41 +6,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridlake.functions.text import analyze, clean_text, preview
 from hybridlake.functions.vectors import hash_embedding
-from hybridlake.operators.ann import build_ivf, ivf_search
+from hybridlake.operators.ann import calibrate, ivf_search
 from hybridlake.operators.chunking import chunk_records, chunk_text
 from hybridlake.operators.fusion import hybrid_search, min_max
 from hybridlake.operators.hits import attach_records, search_hits, split_requests
 from hybridlake.operators.index import SearchIndex, embed_records
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
-from hybridlake.operators.maintenance import update_index
+from hybridlake.operators.listing import list_page, write_listing
+from hybridlake.operators.maintenance import apply_update, index_one, update_index
+from hybridlake.operators.page_records import ingest_pages
+from hybridlake.operators.pq import PQParams, build_pq, pq_search
 from hybridlake.operators.prompts import (assemble_answers, attach_context, chat_prompt, context_blocks,
                                           history_windows, tutorial_prompt)
-from hybridlake.operators.rag import rag_prompts
+from hybridlake.operators.rag import chat_requests, rag_prompts, rag_requests
 from hybridlake.operators.requests import search_requests
 from hybridlake.operators.table import (delete_by_ids, delete_by_name, delete_report, ingest_report,
                                         list_records, sample_record, upsert, validate_records)
 from hybridlake.operators.topk import OUTPUT_DECIMALS
-from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, EmbedParams, IVFParams, PromptParams,
-                               SearchParams)
-from hybridlake.plans.corpus import DRIVER_DIM, DRIVER_EMBED, corpus_chunks, driver_index, driver_queries
+from hybridlake.params import (QUERY_TOP_K, SEARCH_TOP_K, TEMPERATURE, ChunkParams, EmbedParams, PromptParams, SearchParams)
+from hybridlake.plans.corpus import (DRIVER_DIM, DRIVER_EMBED, IVF, corpus_chunks, driver_index, driver_ivf, driver_queries,
+                                     own_index)
 from hybridlake.session import scratch_path
 from hybridlake.sources.pages import assemble_pages
 from hybridlake.sources.tables import (benchmark_queries, conversation_pages, corpus_documents, messages,
                                        read_table, text_table)
-from hybridlake.streaming.ingest import current_view, run_ingest
+from hybridlake.streaming.answers import answer_stream
+from hybridlake.streaming.ingest import current_view, ingest_into_index, run_ingest
 
 Q = Callable[[SparkSession, str], DataFrame]
 SEARCH = SearchParams()                      # top_k 5, l2, min-max, weights 0.3 / 0.7
 HISTORY_N = 3                                # driver conversations have <= 8 turns
-IVF = IVFParams(n_cells=16, nprobe=8)
 LIST_LIMIT, LIST_OFFSET = 100, 10
 DELETE_NAME = "src3"
+ONE_ID = "one-record"
+PAGE_CHUNKS = ChunkParams(chunk_size=40, overlap=10)   # driver pages are short
 
 
 def _r(c: str) -> F.Column:
@@ -74,6 +79,15 @@ def q_page_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return assemble_pages(conversation_pages(spark, sf))
 
 
+def q_ingest_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Paged documents to an index: records with the page of their first token, as the search finds them."""
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    done = ingest_pages(conversation_pages(spark, sf), DRIVER_EMBED, scratch_path(spark, "page-index"), PAGE_CHUNKS, created_at=stamp)
+    return done.index.records.select(
+        "chunk_id", "document_name", "page_number", "chunk_index", "text", F.col("metadata")["n_pages"].alias("n_pages"),
+        F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), F.size("embedding").alias("embedding_dimension"))
+
+
 def q_page_concat_plain(spark: SparkSession, sf: str) -> DataFrame:
     return assemble_pages(conversation_pages(spark, sf), use_fallback=False, clean=False)
 
@@ -128,19 +142,49 @@ def q_knn_dirty_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("qid", "vec_id", _r("score"), "rank")
 
 
-def _ivf(spark: SparkSession, sf: str, nprobe: int) -> DataFrame:
-    ivf = build_ivf(_given_vectors(spark, sf), IVF, dim=DRIVER_DIM, id_col="vec_id",
-                    materialize_to=scratch_path(spark, "ivf"))
-    hits = ivf_search(ivf, driver_queries(spark, sf), SEARCH, nprobe=nprobe)
+def _ivf(spark: SparkSession, sf: str, trained: bool = False, **how) -> DataFrame:
+    hits = ivf_search(driver_ivf(spark, sf, trained=trained), driver_queries(spark, sf), SEARCH, **how)
     return hits.select("qid", "vec_id", _r("score"), "rank")
 
 
 def q_knn_ivf_all_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return _ivf(spark, sf, IVF.n_cells)
+    """Trained centroids, every cell probed: the exact search."""
+    return _ivf(spark, sf, trained=True, nprobe=IVF.n_cells)
 
 
 def q_knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    return _ivf(spark, sf, IVF.nprobe)
+    """Half of the cells of given centroids."""
+    return _ivf(spark, sf)
+
+
+def q_knn_ivf_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search for a batch that no broadcast would hold: queries and vectors meet by cell."""
+    return _ivf(spark, sf, plan="routed")
+
+
+def q_knn_ivf_trained(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells fitted by k-means; as many probed as 0.9 of the exact neighbours need."""
+    ivf = calibrate(driver_ivf(spark, sf, trained=True), recall=0.9)
+    hits = ivf_search(ivf, driver_queries(spark, sf), SEARCH)
+    return hits.select("qid", "vec_id", _r("score"), "rank")
+
+
+def q_keyword_search_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan for large batches."""
+    hits = keyword_search(driver_index(spark, sf), benchmark_queries(spark, sf), SEARCH, method="scan")
+    return hits.select("qid", "chunk_id", _r("score"), "rank")
+
+
+def q_keyword_search_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan for a few queries, whatever their number."""
+    hits = keyword_search(driver_index(spark, sf), benchmark_queries(spark, sf), SEARCH, method="blocks")
+    return hits.select("qid", "chunk_id", _r("score"), "rank")
+
+
+def q_knn_pq(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of 16 bytes find candidates, exact distances rank them."""
+    pq = build_pq(_given_vectors(spark, sf), PQParams(), dim=DRIVER_DIM, id_col="vec_id", materialize_to=scratch_path(spark, "pq"))
+    return pq_search(pq, driver_queries(spark, sf), SEARCH).select("qid", "vec_id", _r("score"), "rank")
 
 
 def q_minmax_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,6 +201,12 @@ def q_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
                                      _r("score"), "rank")
 
 
+def q_hybrid_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """The vector leg probes half of the cells of the records' vectors."""
+    h = hybrid_search(driver_index(spark, sf), driver_queries(spark, sf), SEARCH, ivf=driver_ivf(spark, sf, "records"))
+    return h.select("qid", "chunk_id", _r("keyword_score"), _r("vector_score"), _r("score"), "rank")
+
+
 def q_hybrid_raw(spark: SparkSession, sf: str) -> DataFrame:
     h = _hybrid(spark, sf, SearchParams(normalization="none"))
     return h.select("qid", "chunk_id", _r("keyword_score"), _r("vector_score"), _r("score"), "rank")
@@ -263,6 +313,13 @@ def q_list_documents(spark: SparkSession, sf: str) -> DataFrame:
     return list_records(driver_index(spark, sf).records, LIST_LIMIT, LIST_OFFSET, cols=("text",))
 
 
+def q_list_documents_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """A page behind half of the records, from the listing's directory."""
+    records = driver_index(spark, sf).records
+    root = write_listing(records, scratch_path(spark, "listing"), cols=("text",), range_rows=500)
+    return list_page(spark, root, LIST_LIMIT, records.count() // 2)
+
+
 def q_document_count(spark: SparkSession, sf: str) -> DataFrame:
     return driver_index(spark, sf).records.agg(F.count(F.lit(1)).alias("n"))
 
@@ -362,6 +419,27 @@ def q_answer_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return assemble_answers(frags)
 
 
+def q_answer_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as fragments that arrive in two drops, every fragment of the first one twice."""
+    root = scratch_path(spark, "answers")
+    turn = Window.partitionBy("conv_id")
+    frags = messages(spark, sf).select(
+        F.col("conv_id").alias("answer_id"), (F.row_number().over(turn.orderBy("turn")) - 1).alias("seq"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("content"),
+        (F.row_number().over(turn.orderBy(F.col("turn").desc())) == 1).alias("last"))
+    frags = frags.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    early = F.pmod(F.xxhash64("answer_id", "seq"), F.lit(2)) == 0
+    for drop in (frags.where(early), frags.where(early).withColumn("content", F.lit("repeated")).unionByName(frags.where(~early))):
+        drop.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(frags.schema).parquet(f"{root}/in")
+        q = (answer_stream(stream).writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    return spark.read.schema("answer_id long, answer string, complete boolean").parquet(f"{root}/out")
+
+
 # -- streaming ----------------------------------------------------------------
 
 def q_streaming_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,13 +496,67 @@ def q_search_after_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _search_updated(spark, sf, update_index(driver_index(spark, sf), current_view(spark, store)))
 
 
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of every revised document, in no order; the second is the one that counts."""
+    note = F.concat(F.lit(" version "), F.col("version").cast("string"))
+    revised = _revised_documents(spark, sf).withColumn("version", F.explode(F.array(F.lit(2), F.lit(1))))
+    return revised.withColumn("text", F.concat("text", note))
+
+
+def q_update_in_batch_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """One update brings two versions of records, and some without an id or a whole vector."""
+    records = embed_records(chunk_records(_versions(spark, sf), keep=("version",)), DRIVER_EMBED)
+    bad = records.where("version = 2").withColumn("chunk_id", F.lit(None).cast("string")).unionByName(
+        records.where("version = 2").withColumn("embedding", F.slice("embedding", 1, 2)))
+    index, _ = apply_update(own_index(spark, sf), records.unionByName(bad), seq_col="version")
+    return _search_updated(spark, sf, index)
+
+
+def q_search_after_two_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """Revised documents arrive, then another version of them; each drop is written into the index."""
+    root = scratch_path(spark, "stream")
+    versions, index = _versions(spark, sf), own_index(spark, sf)
+    for version in (1, 2):
+        drop = versions.where(F.col("version") == version).drop("version")
+        drop.write.parquet(f"{root}/in/drop={version}")
+        index = ingest_into_index(index, f"{root}/in/drop=*", drop.schema, f"{root}/checkpoint",
+                                  lambda df: embed_records(chunk_records(df, keep=("_seq",)), DRIVER_EMBED))
+    return _search_updated(spark, sf, index)
+
+
+def q_search_after_deletes(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of a source's documents are deleted from the written index."""
+    index = own_index(spark, sf)
+    gone = index.records.where(F.col("document_name").startswith(f"{DELETE_NAME}/")).select("chunk_id")
+    return _search_updated(spark, sf, apply_update(index, deleted=gone)[0])
+
+
+def q_index_one_search(spark: SparkSession, sf: str) -> DataFrame:
+    """One record is put in, with the text of the first benchmark item; the next search sees it."""
+    text = benchmark_queries(spark, sf).orderBy("qid").first()["query_text"]
+    index = index_one(own_index(spark, sf), {"chunk_id": ONE_ID, "document_name": "one", "chunk_index": 0, "text": text})
+    return _search_updated(spark, sf, index)
+
+
+def q_rag_requests_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat requests with their own top_k, temperature and switch: some retrieve, some don't, some are out of bounds."""
+    req = chat_requests(messages(spark, sf), PromptParams(max_history=HISTORY_N))
+    req = req.withColumns({"top_k": F.when(F.col("conv_id") % 5 != 0, F.col("conv_id") % 12).cast("int"),
+                           "temperature": F.when(F.col("conv_id") % 7 != 0, (F.col("conv_id") % 25) / 10.0),
+                           "use_rag": F.when(F.col("turn") % 4 != 1, F.col("turn") % 4 < 3)})
+    prompts, rejected = rag_requests(driver_index(spark, sf), req)
+    columns = ("conv_id", "turn", F.col("top_k").cast("int").alias("top_k"), _r("temperature"))
+    return prompts.select(*columns, "prompt", F.lit("").alias("reason")).unionByName(
+        rejected.select(*columns, F.lit("").alias("prompt"), "reason"))
+
+
 def q_streaming_in_batch_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """One file, and so one micro-batch, holds two versions of every document, the later one behind."""
+    """Every file of a micro-batch holds two versions of its documents, the later one behind."""
     root = scratch_path(spark, "stream")
     src, store, ckpt = f"{root}/in", f"{root}/store", f"{root}/checkpoint"
     docs = read_table(spark, sf, "documents").select("doc_id", "source")
-    both = docs.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).coalesce(1)
-    both = both.sortWithinPartitions("version", "doc_id")
+    both = docs.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    both = both.repartitionByRange("doc_id").sortWithinPartitions("version", "doc_id")  # an id's versions are in one file
     both.write.parquet(src)
     run_ingest(spark, src, both.schema, store, ckpt, lambda df: df)
     return current_view(spark, store, id_col="doc_id").select("doc_id", "source", "version")
@@ -437,6 +569,7 @@ QUERIES: dict[str, Q] = {
     "analyze_terms": q_analyze_terms,
     "page_assembly": q_page_assembly,
     "page_concat_plain": q_page_concat_plain,
+    "ingest_pages": q_ingest_pages,
     "postings": q_postings,
     "term_stats": q_term_stats,
     "corpus_stats": q_corpus_stats,
@@ -445,6 +578,12 @@ QUERIES: dict[str, Q] = {
     "knn_cosine": q_knn_cosine,
     "knn_ivf_all_cells": q_knn_ivf_all_cells,
     "knn_ivf": q_knn_ivf,
+    "knn_ivf_routed": q_knn_ivf_routed,
+    "knn_pq": q_knn_pq,
+    "knn_ivf_trained": q_knn_ivf_trained,
+    "keyword_search_scan": q_keyword_search_scan,
+    "keyword_search_blocks": q_keyword_search_blocks,
+    "hybrid_ivf": q_hybrid_ivf,
     "minmax_scores": q_minmax_scores,
     "hybrid_search": q_hybrid_search,
     "hybrid_raw": q_hybrid_raw,
@@ -459,6 +598,7 @@ QUERIES: dict[str, Q] = {
     "delete_by_name": q_delete_by_name,
     "delete_report": q_delete_report,
     "list_documents": q_list_documents,
+    "list_documents_deep": q_list_documents_deep,
     "document_count": q_document_count,
     "sample_document": q_sample_document,
     "hash_embedding": q_hash_embedding,
@@ -471,11 +611,17 @@ QUERIES: dict[str, Q] = {
     "text_preview": q_text_preview,
     "rag_prompts": q_rag_prompts,
     "answer_assembly": q_answer_assembly,
+    "answer_stream": q_answer_stream,
     "streaming_ingest": q_streaming_ingest,
     "streaming_in_batch_duplicates": q_streaming_in_batch_duplicates,
     "search_after_upsert": q_search_after_upsert,
     "search_after_delete": q_search_after_delete,
     "search_after_stream": q_search_after_stream,
+    "search_after_two_streams": q_search_after_two_streams,
+    "search_after_deletes": q_search_after_deletes,
+    "update_in_batch_duplicates": q_update_in_batch_duplicates,
+    "index_one_search": q_index_one_search,
+    "rag_requests_mixed": q_rag_requests_mixed,
     "knn_dirty_vectors": q_knn_dirty_vectors,
     "prefixed_embedding": q_prefixed_embedding,
 }

@@ -9,7 +9,8 @@ they are an independent check of the Spark plans, not a copy of them.
 from __future__ import annotations
 
 from hybridlake import params as P
-from hybridlake.plans.driver import DELETE_NAME, HISTORY_N, LIST_LIMIT, LIST_OFFSET
+from hybridlake.plans.corpus import IVF
+from hybridlake.plans.driver import DELETE_NAME, HISTORY_N, LIST_LIMIT, LIST_OFFSET, ONE_ID, PAGE_CHUNKS
 
 DIM = 64
 K = P.SEARCH_TOP_K[2]
@@ -31,8 +32,24 @@ def clean(x: str) -> str:
     return f"regexp_replace({s}, '^{ws}+|{ws}+\\z', '', 'g')"
 
 
+# Marks inside a word, each with a character that stands for it while words are taken.
+_MIDS = {"'": "\ue000", "\u2019": "\ue001", ".": "\ue002", ":": "\ue003", "\u00b7": "\ue004", ",": "\ue005", ";": "\ue006"}
+
+
 def terms(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    """Words: letters, digits, marks and ``_``, with the marks of ``_MIDS`` where they stand between two letters
+    (all but comma and semicolon) or two digits (all but colon and middle dot). Twice, as neighbours overlap."""
+    s = rf"regexp_replace(lower({x}), '([\p{{Han}}\p{{Hiragana}}]\p{{M}}*)', ' \1 ', 'g')"
+    for mid, place in _MIDS.items():
+        for before, after, others in ((r"[\p{L}\p{M}]", r"\p{L}", ",;"), (r"\p{N}", r"\p{N}", ":\u00b7")):
+            if mid not in others:
+                for _ in range(2):
+                    s = f"regexp_replace({s}, {lit(f'({before})[{mid}]({after})')}, '\\1{place}\\2', 'g')"
+    found = rf"regexp_extract_all({s}, '_*[\p{{L}}\p{{N}}][\p{{L}}\p{{M}}\p{{N}}_\x{{E000}}-\x{{E006}}]*')"
+    back = "t"
+    for mid, place in _MIDS.items():
+        back = f"replace({back}, '{place}', {lit(mid)})"
+    return f"list_transform({found}, lambda t: {back})"
 
 
 DOCS = ("docs AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, text "
@@ -90,6 +107,32 @@ def knn_ctes(qsrc: str, qv: str, csrc: str, cv: str, cid: str, space: str, k: in
     FROM {name}_all QUALIFY rank <= {k})"""
 
 
+def ivf_ctes(qsrc: str, qv: str, csrc: str, cv: str, cid: str, k: int, name: str) -> str:
+    """Top-k by L2 of the records in each query's ``nprobe`` nearest cells.
+
+    The centroids are the ``n_cells`` records whose ids have the smallest md5; a
+    record's cell is its nearest centroid. ``{name}_all``, ``{name}_qn`` and
+    ``{name}_vn`` are those of ``knn_ctes``.
+    """
+    return knn_ctes(qsrc, qv, csrc, cv, cid, "l2", k, f"{name}x") + f""",
+{name}_ct AS (SELECT {cid} AS center, row_number() OVER (ORDER BY md5(CAST({cid} AS VARCHAR)), {cid}) - 1 AS cell FROM {csrc}
+    QUALIFY cell < {IVF.n_cells}),
+{name}_cn AS (SELECT cell, center, vn2 AS cn2 FROM {name}_ct JOIN {name}x_vn v ON v.{cid} = center),
+{name}_cd AS (SELECT c.{cid}, cell, SUM(c.v * m.v) AS dot FROM {cv} c JOIN {cv} m USING (b) JOIN {name}_ct ON center = m.{cid}
+    GROUP BY c.{cid}, cell),
+{name}_cells AS (SELECT a.{cid}, n.cell FROM {name}x_vn a CROSS JOIN {name}_cn n
+    LEFT JOIN {name}_cd d ON d.{cid} = a.{cid} AND d.cell = n.cell
+    QUALIFY row_number() OVER (PARTITION BY a.{cid} ORDER BY round(vn2 + cn2 - 2.0 * COALESCE(dot, 0.0), 9), n.cell) = 1),
+{name}_qd AS (SELECT q.qid, cell, SUM(q.v * m.v) AS dot FROM {qv} q JOIN {cv} m USING (b) JOIN {name}_ct ON center = m.{cid}
+    GROUP BY q.qid, cell),
+{name}_probes AS (SELECT a.qid, n.cell FROM {name}x_qn a CROSS JOIN {name}_cn n
+    LEFT JOIN {name}_qd d ON d.qid = a.qid AND d.cell = n.cell
+    QUALIFY row_number() OVER (PARTITION BY a.qid ORDER BY round(qn2 + cn2 - 2.0 * COALESCE(dot, 0.0), 9), n.cell) <= {IVF.nprobe}),
+{name} AS (SELECT a.qid, a.{cid}, score, row_number() OVER (PARTITION BY a.qid ORDER BY round(score, 9) DESC, a.{cid}) AS rank
+    FROM {name}x_all a JOIN {name}_cells c ON c.{cid} = a.{cid} JOIN {name}_probes p ON p.qid = a.qid AND p.cell = c.cell
+    QUALIFY rank <= {k})"""
+
+
 def bm25_ctes(qsrc: str, k: int, name: str = "kw") -> str:
     """BM25 (k1 1.2, b 0.75) of ``qsrc(qid, text)`` over ``chunks`` plus top-k."""
     return f"""
@@ -118,14 +161,15 @@ def minmax(src: str, name: str) -> str:
     FROM {name}_r WINDOW w AS (PARTITION BY qid))"""
 
 
-def hybrid_ctes(qsrc: str, k: int, normalized: bool = True) -> str:
+def hybrid_ctes(qsrc: str, k: int, normalized: bool = True, ivf: bool = False) -> str:
     """Keyword and L2 vector legs over ``chunks`` for ``qsrc(qid, text)``, fused."""
     kcol, vcol = ("norm", "norm") if normalized else ("score", "score")
     return ",".join([
         bm25_ctes(qsrc, k, "kw"),
         hash_vectors(qsrc, "qid", "text", "qv"),
         hash_vectors("chunks", "chunk_id", "text", "cv"),
-        knn_ctes(qsrc, "qv", "chunks", "cv", "chunk_id", "l2", k, "vl"),
+        ivf_ctes(qsrc, "qv", "chunks", "cv", "chunk_id", k, "vl") if ivf
+        else knn_ctes(qsrc, "qv", "chunks", "cv", "chunk_id", "l2", k, "vl"),
         minmax("kw", "kwn"),
         minmax("vl", "vln"),
         f"""
@@ -196,6 +240,8 @@ SELECT doc_id, CAST(st // {STEP} AS INTEGER) AS chunk_index,
     + f"SELECT qid, chunk_id, {_r('score')}, {_r('norm')}, rank FROM kwn",
     "hybrid_search": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K))
     + f"SELECT qid, chunk_id, {_r('keyword_score')}, {_r('vector_score')}, {_r('score')}, rank FROM fused",
+    "hybrid_ivf": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K, ivf=True))
+    + f"SELECT qid, chunk_id, {_r('keyword_score')}, {_r('vector_score')}, {_r('score')}, rank FROM fused",
     "hybrid_raw": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K, normalized=False))
     + f"SELECT qid, chunk_id, {_r('keyword_score')}, {_r('vector_score')}, {_r('score')}, rank FROM fused",
     "search_hits": with_(CHUNKS, BENCH_Q, hybrid_ctes("bq", K), HIT_TEXT)
@@ -233,6 +279,8 @@ FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'missing_id' WHEN d.text IS NULL TH
     WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "delete_by_name": f"SELECT doc_id, source AS document_name FROM documents WHERE source IS DISTINCT FROM {lit(DELETE_NAME)}",
     "list_documents": with_(CHUNKS) + f"SELECT chunk_id, text FROM chunks ORDER BY chunk_id LIMIT {LIST_LIMIT} OFFSET {LIST_OFFSET}",
+    "list_documents_deep": with_(CHUNKS) + f"""SELECT chunk_id, text FROM (SELECT chunk_id, text, row_number() OVER (ORDER BY chunk_id)
+    - 1 AS place, count(*) OVER () AS n FROM chunks) WHERE place >= n // 2 AND place < n // 2 + {LIST_LIMIT}""",
     "document_count": with_(CHUNKS) + "SELECT count(*) AS n FROM chunks",
     "sample_document": with_(CHUNKS) + "SELECT chunk_id, document_name, chunk_index, text FROM chunks ORDER BY chunk_id LIMIT 1",
     "hash_embedding": with_(CHUNKS, hash_vectors("chunks", "chunk_id", "text", "cv").lstrip())
@@ -288,7 +336,13 @@ _UPDATED = with_(
 _DELETED = with_(DOCS, chunk_ctes("docs", "c0").lstrip(),
                  f"chunks AS (SELECT * FROM c0 WHERE NOT starts_with(document_name, {lit(DELETE_NAME + '/')}))",
                  BENCH_Q, hybrid_ctes("bq", K))
-for _key, _state in (("search_after_upsert", _UPDATED), ("search_after_stream", _UPDATED), ("search_after_delete", _DELETED)):
+# the second version of every revised document is the one that counts
+_SECOND = _UPDATED.replace("'.pdf' AS path, text FROM rev)", "'.pdf' AS path, text || ' version 2' AS text FROM rev)")
+_ONE = with_(DOCS, chunk_ctes("docs", "c0").lstrip(), f"""chunks AS (SELECT * FROM c0 UNION ALL
+    SELECT NULL, {lit(ONE_ID)}, 'one', 0, (SELECT min_by(text, item_id) FROM benchmark))""", BENCH_Q, hybrid_ctes("bq", K))
+for _key, _state in (("search_after_upsert", _UPDATED), ("search_after_stream", _UPDATED), ("search_after_delete", _DELETED),
+                     ("search_after_deletes", _DELETED), ("search_after_two_streams", _SECOND),
+                     ("update_in_batch_duplicates", _SECOND), ("index_one_search", _ONE)):
     SQL[_key] = _state + (f"SELECT qid, chunk_id, {_r('keyword_score')}, {_r('vector_score')}, {_r('score')}, rank FROM fused")
 
 # Exact search through the IVF index with every cell probed equals exact kNN.
@@ -299,6 +353,53 @@ for _key, _space in (("knn_l2", "l2"), ("knn_cosine", "cosine"), ("knn_ivf_all_c
                        knn_ctes("bq", "qv", "embeddings", "ev", "vec_id", _space, K, "nn").lstrip())
                  + f"SELECT qid, vec_id, {_r('score')}, rank FROM nn")
 
+# A page begins at the number of tokens of all that comes before it.
+_TWICE = lambda x: clean(clean(x))
+_PAGE_TEXT = "CASE WHEN text = '' THEN '' WHEN role = 'system' THEN array_to_string([text, NULL], '') ELSE text END"
+SQL["ingest_pages"] = f"""WITH pt AS (SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS document_name, turn, {_PAGE_TEXT} AS t
+    FROM conversations),
+pre AS (SELECT document_name, turn, COALESCE(string_agg(t, '' ORDER BY turn) OVER (PARTITION BY document_name ORDER BY turn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM pt),
+begins AS (SELECT document_name, turn, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS first
+    FROM (SELECT document_name, turn, {_TWICE('before')} AS c FROM pre)),
+whole AS (SELECT document_name, count(*) AS n_pages, string_split({_TWICE("string_agg(t, '' ORDER BY turn)")}, ' ') AS toks FROM pt
+    GROUP BY document_name),
+pos AS (SELECT document_name, n_pages, toks, unnest(range(0, len(toks), {PAGE_CHUNKS.step})) AS s FROM whole)
+SELECT p.document_name || '_' || CAST(s // {PAGE_CHUNKS.step} AS VARCHAR) AS chunk_id, p.document_name,
+    CAST(CASE WHEN toks = [''] THEN NULL ELSE (SELECT max(turn) FROM begins b WHERE b.document_name = p.document_name
+        AND b.first <= s) END AS INTEGER) AS page_number,
+    CAST(s // {PAGE_CHUNKS.step} AS INTEGER) AS chunk_index,
+    array_to_string(list_slice(toks, s + 1, s + {PAGE_CHUNKS.chunk_size}), ' ') AS text, CAST(n_pages AS VARCHAR) AS n_pages,
+    '2024-01-01' AS created_on, CAST({DIM} AS INTEGER) AS embedding_dimension FROM pos p"""
+
+SQL["answer_stream"] = SQL["answer_assembly"].replace("AS answer\n", "AS answer, TRUE AS complete\n")
+
+for _key in ("knn_ivf", "knn_ivf_routed"):
+    SQL[_key] = (with_(BENCH_Q, hash_vectors("bq", "qid", "text", "qv").lstrip(), _GIVEN,
+                       ivf_ctes("bq", "qv", "embeddings", "ev", "vec_id", K, "nn").lstrip())
+                 + f"SELECT qid, vec_id, {_r('score')}, rank FROM nn")
+for _key in ("keyword_search_scan", "keyword_search_blocks"):
+    SQL[_key] = SQL["keyword_search"]
+
+# Chat requests with their own top_k, temperature and switch.
+_ASKED = f"""asked AS (SELECT qid, conv_id, turn, text, history,
+    CASE WHEN conv_id % 5 <> 0 THEN conv_id % 12 ELSE {P.QUERY_TOP_K[2]} END AS top_k,
+    CASE WHEN conv_id % 7 <> 0 THEN (conv_id % 25) / 10.0 ELSE {P.TEMPERATURE[2]} END AS temperature,
+    CASE WHEN turn % 4 <> 1 THEN turn % 4 < 3 ELSE TRUE END AS use_rag FROM uq),
+checked AS (SELECT *, CASE WHEN NOT top_k BETWEEN {P.QUERY_TOP_K[0]} AND {P.QUERY_TOP_K[1]} THEN 'top_k_out_of_range'
+    WHEN NOT temperature BETWEEN {P.TEMPERATURE[0]} AND {P.TEMPERATURE[1]} THEN 'temperature_out_of_range' ELSE '' END AS reason
+    FROM asked),
+sq AS (SELECT * FROM checked WHERE reason = '' AND use_rag)"""
+_MIXED = hybrid_ctes("sq", P.QUERY_TOP_K[1])
+for _leg in ("kw", "vl"):
+    _MIXED = _MIXED.replace(f"AS rs FROM {_leg})", f"AS rs FROM (SELECT l.* FROM {_leg} l JOIN sq USING (qid) WHERE rank <= top_k))")
+SQL["rag_requests_mixed"] = with_(
+    CHUNKS, HISTORY, USER_Q, _ASKED, _MIXED, HIT_TEXT,
+    "own_hits AS (SELECT h.* FROM hit_text h JOIN sq USING (qid) WHERE rank <= top_k)", f"ctx AS ({context_agg('own_hits', 0)})") + f"""
+    SELECT u.conv_id, u.turn, CAST(top_k AS INTEGER) AS top_k, round(CAST(temperature AS DOUBLE), 6) AS temperature,
+    CASE WHEN reason = '' THEN {chat_prompt_sql('c.context', 'u.text')} ELSE '' END AS prompt, reason
+    FROM checked u LEFT JOIN ctx c USING (qid)"""
+
 _key = "knn_dirty_vectors"
 SQL[_key] = (with_(BENCH_Q, hash_vectors("bq", "qid", "text", "qv").lstrip(), _CLEAN,
                    _GIVEN.replace("FROM embeddings", "FROM clean"),

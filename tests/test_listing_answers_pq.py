@@ -1,0 +1,86 @@
+"""Deep listing offsets, streamed answers, compressed vectors."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hybridlake.operators.knn import vector_search
+from hybridlake.operators.listing import list_page, write_listing
+from hybridlake.operators.pq import PQParams, build_pq, pq_search
+from hybridlake.operators.table import list_records
+from hybridlake.params import SearchParams
+from hybridlake.session import scratch_path
+from hybridlake.streaming.answers import answer_stream
+
+
+def test_a_deep_page_reads_its_range_only(spark):
+    rows = [(f"id{i:05d}", f"t{i}", {"a": "b"}) for i in range(3000)] + [("id00007", "again", {}), (None, "x", {})]
+    records = spark.createDataFrame(rows, "chunk_id string, text string, metadata map<string,string>").repartition(6)
+    root = write_listing(records, scratch_path(spark, "t-listing"), range_rows=200)
+    named = records.where("chunk_id IS NOT NULL")
+    for limit, offset in ((100, 0), (100, 10), (5, 2600), (300, 1950), (10, 2996), (10, 5000), (0, 5)):
+        found = [r.chunk_id for r in list_page(spark, root, limit, offset).collect()]
+        assert found == [r.chunk_id for r in list_records(named, limit, offset).collect()], (limit, offset)
+    page = list_page(spark, root, 5, 2600)
+    page.collect()
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    held = re.search(r"PartitionFilters: \[([^\]]*range[^\]]*)\]", plan).group(1)
+    assert re.search(r"range#?\d* (= \d+|IN \(\d+\))", held), held
+    with pytest.raises(ValueError):
+        list_page(spark, root, 1, -1)
+    empty = write_listing(records.limit(0), scratch_path(spark, "t-listing"))
+    assert list_page(spark, empty).count() == 0
+
+
+FRAGMENT = "answer_id long, seq int, content string, last boolean, at timestamp"
+
+
+def test_answers_from_fragments_in_any_order(spark):
+    root = scratch_path(spark, "t-answers")
+
+    def arrive(n, rows):
+        frags = [(a, s, c, e, f"2024-01-01 00:{m:02d}:00") for a, s, c, e, m in rows]
+        df = spark.createDataFrame(frags, FRAGMENT.replace("timestamp", "string")).withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"{root}/in/drop={n}")
+        stream = spark.readStream.schema(FRAGMENT).parquet(f"{root}/in/drop=*")
+        q = (answer_stream(stream, "5 minutes").writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.exception() is None
+        return {r.answer_id: (r.answer, r.complete) for r in spark.read.schema(
+            "answer_id long, answer string, complete boolean").parquet(f"{root}/out").collect()}
+
+    first = arrive(0, [(1, 1, "b", False, 0), (1, 0, "a", None, 0), (2, 0, "x", False, 0), (2, 2, "z", True, 0), (3, 0, "lost", False, 0),
+                       (None, 0, "?", True, 0), (4, 0, None, True, 0)])
+    assert first == {4: ("", True)}
+    second = arrive(1, [(1, 1, "B", False, 1), (1, 2, "c", True, 1), (2, 1, "y", False, 1), (4, 0, "again", True, 1)])
+    assert second == {4: ("", True), 1: ("abc", True), 2: ("xyz", True)}  # the first of a number counts
+    arrive(2, [(9, 0, "later", False, 30)])
+    last = arrive(3, [(9, 1, "!", True, 31), (3, 1, "too late", True, 0), (1, 0, "repeated", False, 1)])
+    assert last == {**second, 3: ("lost", False), 9: ("later!", True)}
+
+
+def test_codes_find_the_neighbours(spark):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(30, 16))
+    v = (middles[rng.integers(0, 30, 1500)] + rng.normal(scale=.3, size=(1500, 16))).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, [float("nan")] * 16), (9001, [1.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", (x + .05).tolist()) for i, x in enumerate(v[:60])] + [("bad", [float("inf")] * 16)],
+                                    "qid string, query_vector array<float>")
+    pq = build_pq(corpus, PQParams(parts=4, centroids=32, candidates=5), dim=16, id_col="vec_id", materialize_to=scratch_path(spark, "t-pq"))
+    assert pq.codes.count() == 1500 and all(len(r.code) == 4 for r in pq.codes.take(5))
+    params = SearchParams(top_k=10)
+    exact = {(r.qid, r.vec_id): r.score for r in vector_search(corpus, queries, params, dim=16, id_col="vec_id").collect()}
+    for p in (params, SearchParams(top_k=10, max_broadcast_bytes=30_000)):  # one pass, and several
+        found = {(r.qid, r.vec_id): r.score for r in pq_search(pq, queries, p).collect()}
+        assert len(found.keys() & exact.keys()) >= .9 * len(exact)
+        assert all(abs(found[k] - exact[k]) < 1e-9 for k in found.keys() & exact.keys())
+    whole = PQParams(parts=4, centroids=8, candidates=150)  # every vector is a candidate: exact
+    found = pq_search(build_pq(corpus, whole, dim=16, id_col="vec_id"), queries, params).collect()
+    assert {(r.qid, r.vec_id) for r in found} == exact.keys()
+    assert pq_search(pq, queries.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        build_pq(corpus, PQParams(parts=5), dim=16, id_col="vec_id")
