@@ -36,7 +36,7 @@ def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(text).alias("key"))
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` once below the shared checkpoint folder; what reads it back, and where it is.
 
     Cuts the lineage: a lost executor costs a re-read of files, not a rerun of
@@ -44,13 +44,13 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``stored_at`` without the place: the table stays until the folder is cleaned."""
-    return stored_at(df, name)[0]
+    return stored_at(df, name, compression)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

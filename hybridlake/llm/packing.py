@@ -214,7 +214,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own; histogram, ranks and slots come from that table's narrow columns.
     """
     spark = pieces.sparkSession
-    table = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    # ids of four bytes are wide and alike
+    table = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces", "zstd")
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # <= capacity rows
     plan = spark.createDataFrame(best_fit_plan(counts, capacity), _PLAN).withColumnRenamed("length", "_length")
     cells = spark.createDataFrame([(n, math.ceil(c / CELL_ROWS)) for n, c in counts.items()],

@@ -84,7 +84,7 @@ def test_pieces_and_sequences(spark, odd):
 
 def test_digests_are_of_the_placed_ids(spark, odd, monkeypatch):
     tables, put = [], packing.stored
-    monkeypatch.setattr(packing, "stored", lambda df, name: tables.append(put(df, name)) or tables[-1])
+    monkeypatch.setattr(packing, "stored", lambda df, *how: tables.append(put(df, *how)) or tables[-1])
     found = packing.pack_digests(odd).collect()
     assert len(tables) == 1 and "ids" in tables[0].columns  # the query's own path writes the ids
     expected = Counter((r["doc_id"], r["piece"], r["length"], zlib.crc32(bytes(r["ids"]))) for r in tables[0].collect())
