@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from hybridlake.functions.text import analyze, with_passage_prefix
 from hybridlake.functions.vectors import hash_embedding, model_embedding, term_counts
 from hybridlake.params import BM25Params, EmbedParams
+from hybridlake.session import remove_path
 
 
 @dataclass(frozen=True)
@@ -248,6 +249,11 @@ def open_index(spark: SparkSession, root: str, embed: EmbedParams | None = None)
                        blocks, root, embed)
 
 
+def drop_index(spark: SparkSession, root: str) -> bool:
+    """Delete a written index if it is there; whether it was."""
+    return remove_path(spark, root)
+
+
 def encoder_of(index: SearchIndex, embed: EmbedParams | None) -> EmbedParams:
     """What embeds queries for ``index``: its own encoder; another one is refused."""
     if index.embed is None:

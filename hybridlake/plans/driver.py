@@ -15,7 +15,7 @@ from hybridlake.operators.ann import calibrate, ivf_search
 from hybridlake.operators.chunking import chunk_records, chunk_text
 from hybridlake.operators.fusion import hybrid_search, min_max
 from hybridlake.operators.hits import attach_records, search_hits, split_requests
-from hybridlake.operators.index import SearchIndex, embed_records
+from hybridlake.operators.index import SearchIndex, drop_index, embed_records
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.knn import vector_search
 from hybridlake.operators.listing import list_page, write_listing
@@ -538,6 +538,14 @@ def q_index_one_search(spark: SparkSession, sf: str) -> DataFrame:
     return _search_updated(spark, sf, index)
 
 
+def q_index_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """A written index is counted, deleted, and deleted once more."""
+    index = own_index(spark, sf)
+    n = index.records.count()
+    dropped = [int(drop_index(spark, index.root)) for _ in range(2)]
+    return spark.createDataFrame([("records", n), ("dropped", dropped[0]), ("dropped again", dropped[1])], "step string, n long")
+
+
 def q_rag_requests_mixed(spark: SparkSession, sf: str) -> DataFrame:
     """Chat requests with their own top_k, temperature and switch: some retrieve, some don't, some are out of bounds."""
     req = chat_requests(messages(spark, sf), PromptParams(max_history=HISTORY_N))
@@ -621,6 +629,7 @@ QUERIES: dict[str, Q] = {
     "search_after_deletes": q_search_after_deletes,
     "update_in_batch_duplicates": q_update_in_batch_duplicates,
     "index_one_search": q_index_one_search,
+    "index_lifecycle": q_index_lifecycle,
     "rag_requests_mixed": q_rag_requests_mixed,
     "knn_dirty_vectors": q_knn_dirty_vectors,
     "prefixed_embedding": q_prefixed_embedding,

@@ -372,6 +372,8 @@ SELECT p.document_name || '_' || CAST(s // {PAGE_CHUNKS.step} AS VARCHAR) AS chu
     array_to_string(list_slice(toks, s + 1, s + {PAGE_CHUNKS.chunk_size}), ' ') AS text, CAST(n_pages AS VARCHAR) AS n_pages,
     '2024-01-01' AS created_on, CAST({DIM} AS INTEGER) AS embedding_dimension FROM pos p"""
 
+SQL["index_lifecycle"] = with_(CHUNKS) + """SELECT 'records' AS step, count(*) AS n FROM chunks
+    UNION ALL SELECT 'dropped', 1 UNION ALL SELECT 'dropped again', 0"""
 SQL["answer_stream"] = SQL["answer_assembly"].replace("AS answer\n", "AS answer, TRUE AS complete\n")
 
 for _key in ("knn_ivf", "knn_ivf_routed"):

@@ -57,7 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{lineage_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more; a missing one is no error."""
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a written table that nothing reads any more; whether there was one."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
