@@ -23,12 +23,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hybridlake.llm.common import in_batches, keyed, texts
 
 MARK = "▁"
-#: Segments whose ids a Python worker remembers, in each of two generations: about 10 MB each.
-MEMO_SEGMENTS = 40_000
+#: Segments whose ids a Python worker remembers, in each of two generations: about 25 MB each.
+MEMO_SEGMENTS = 100_000
+#: Hashes of segments that it has held against the reference library, and found alike: about 30 MB.
+CHECKED_SEGMENTS = 400_000
 #: Longer segments are encoded each time.
 MEMO_CHARS = 64
 #: Text whose segments are looked up together, and segments encoded in one batch.
-BLOCK_CHARS = 250_000
+BLOCK_CHARS = 1_000_000
 BATCH_SEGMENTS = 4_000
 
 # Fixed values of the model format: field numbers, piece kinds, model kinds.
@@ -168,6 +170,7 @@ class Codec:
         self.runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.checked: set[int] = set()
         self.bad: set[str] = set()
 
     def normal(self, text: str) -> str:
@@ -184,22 +187,29 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def learn(self, segments: list[str]) -> None:
-        """Ids of segments, by the rebuilt pipeline; ``bad`` are those that the reference library
-        encodes otherwise, or that the pipeline doesn't decode to their text."""
+        """Ids of segments, by the rebuilt pipeline; those not seen before are checked."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        for segment, ids in zip(segments, encoded):
+            self.memo[segment] = array("I", ids).tobytes()
+        fresh = [i for i, s in enumerate(segments) if hash(s) not in self.checked]
+        if fresh:
+            self.check([segments[i] for i in fresh], [encoded[i] for i in fresh])
+
+    def check(self, segments: list[str], encoded: list[list[int]]) -> None:
+        """``bad`` are segments that the reference library encodes otherwise, or that the pipeline
+        doesn't decode to their text."""
         front = 1 if self.model.dummy_prefix else 0
         surface = [s[front:].replace(MARK, " ") if s[0] == MARK else s for s in segments]
         expected = self.reference.encode(surface, num_threads=self.threads)
+        if len(self.checked) > CHECKED_SEGMENTS:
+            self.checked = set()
         for segment, ids, other, text, back in zip(segments, encoded, expected, surface, self.decode(encoded)):
-            self.memo[segment] = array("I", ids).tobytes()
             if not text:  # a blank at the end; as a text of its own it would be empty
                 other = [self.reference.piece_to_id(MARK)]
             if ids != other or (back != text and self.model.unknown not in ids):
                 self.bad.add(segment)
-
-    def forget(self) -> None:
-        """A worker that waits for its next task holds no memo."""
-        self.memo, self.old, self.bad = {}, {}, set()
+            else:
+                self.checked.add(hash(segment))
 
     def encode_block(self, block: list[str]) -> Iterator[tuple[bytes, bool]]:
         parts = [self.segments(self.normal(text)) for text in block]
@@ -227,7 +237,7 @@ _CODECS: dict[tuple[str, int], Codec] = {}
 
 
 def codec(path: str, threads: int) -> Codec:
-    """One codec per Python worker: the model is read once, the memo lasts a task."""
+    """One codec per Python worker: the model is read once, and its memos, of bounded size, last as long."""
     if (path, threads) not in _CODECS:
         _CODECS[path, threads] = Codec(path, threads)
     return _CODECS[path, threads]
@@ -260,7 +270,6 @@ def encode(docs: DataFrame, model: str | None = None, threads: int = 2, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from in_batches(rows(batch), arrow, 2_000)
-        codec(path, threads).forget()
 
     return source.mapInArrow(run, schema)
 
