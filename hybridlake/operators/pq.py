@@ -28,7 +28,7 @@ from hybridlake.params import SearchParams
 
 @dataclass(frozen=True)
 class PQParams:
-    parts: int = 16
+    parts: int = 8
     centroids: int = 64
     #: Candidates of a query that are ranked exactly, a multiple of top_k.
     candidates: int = 20

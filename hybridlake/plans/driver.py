@@ -182,7 +182,7 @@ def q_keyword_search_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_knn_pq(spark: SparkSession, sf: str) -> DataFrame:
-    """Codes of 16 bytes find candidates, exact distances rank them."""
+    """Codes of 8 bytes find candidates, exact distances rank them."""
     pq = build_pq(_given_vectors(spark, sf), PQParams(), dim=DRIVER_DIM, id_col="vec_id", materialize_to=scratch_path(spark, "pq"))
     return pq_search(pq, driver_queries(spark, sf), SEARCH).select("qid", "vec_id", _r("score"), "rank")
 
