@@ -164,7 +164,9 @@ def drop_boilerplate(docs: DataFrame, params: TemplateParams = TemplateParams(),
     # texts travel as their lines, which are then looked up by number
     row = [(F.split(text_col, "\n") if c == text_col else F.col(c)).alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*row).alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    joined = rows.join(lost.select(F.col("key").alias("lost_key"), "dropped"), F.col("key") == F.col("lost_key"), "left")
+    # never broadcast: what texts lose grows with them, and the plan should be one at every size
+    lost = lost.select(F.col("key").alias("lost_key"), "dropped").hint("merge")
+    joined = rows.join(lost, F.col("key") == F.col("lost_key"), "left")
     lines = F.col("row")[text_col]
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "dropped")
     kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
