@@ -53,6 +53,8 @@ def bm25_scores(index: SearchIndex, qterms: DataFrame, params: SearchParams) ->
 JOIN_MAX_PAIRS = 2_000_000
 #: Terms of a query, and for each of them blocks, that give the first bound of its k-th score.
 PROBE_TERMS = 8
+#: Pairs of a query, for each hit wanted, that are scored in full for that bound.
+LIKELY = 4
 #: Scores are compared after rounding to 9 decimals; bounds leave room for that.
 SLACK = 1e-6
 
@@ -75,8 +77,8 @@ def block_max_candidates(index: SearchIndex, qterms: DataFrame, params: SearchPa
 
     A term's *reach* in a query is its weight times the greatest contribution
     of its blocks. (1) The best block of each query's farthest-reaching terms
-    gives partial scores; the k-th greatest is a bound that the top k must
-    reach. (2) Terms whose reaches together stay below the bound can't make a
+    gives partial scores; the best of them are scored in full, and the k-th
+    greatest is a bound that the top k must reach. (2) Terms whose reaches together stay below the bound can't make a
     hit by themselves; of the others, only blocks that reach the bound with all
     other terms of the query are read. (3) Pairs that stay below it with all
     that is left go. Every bound holds for any corpus statistics.
@@ -107,8 +109,10 @@ def block_max_candidates(index: SearchIndex, qterms: DataFrame, params: SearchPa
     best = index.blocks.join(probed, "term", "left_semi").groupBy("term").agg(
         F.max_by(whole, impact("max_tf", "min_dl", avgdl, params.bm25)).alias("b")).select("term", "b.*")
     first = postings_in(F.broadcast(probe).join(best, "term")).groupBy("qid", id_col).agg(F.sum("s").alias("s"))
-    kth = F.row_number().over(of_query.orderBy(F.col("s").desc()))
-    bound = first.withColumn("r", kth).where(F.col("r") == params.top_k).select("qid", (F.col("s") - SLACK).alias("bound"))
+    kth = lambda score: F.row_number().over(of_query.orderBy(F.col(score).desc()))
+    likely = _written(first.withColumn("r", kth("s")).where(F.col("r") <= LIKELY * params.top_k).select("qid", id_col))
+    full = score_pairs(index, likely, weights, avgdl, params)
+    bound = full.withColumn("r", kth("score")).where(F.col("r") == params.top_k).select("qid", (F.col("score") - SLACK).alias("bound"))
     needed = reach.join(F.broadcast(bound), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     needed = needed.where(F.col("below") >= F.col("bound"))  # the others can't reach it, all together
     # what the terms left out may add to a pair, and what other terms may add to a block
@@ -121,24 +125,28 @@ def block_max_candidates(index: SearchIndex, qterms: DataFrame, params: SearchPa
     return Pruned(weights, _written(candidates))
 
 
-def block_max_search(index: SearchIndex, qterms: DataFrame, params: SearchParams) -> DataFrame:
-    """Scores of the candidates, from their records' terms."""
+def score_pairs(index: SearchIndex, pairs: DataFrame, weights: DataFrame, avgdl: float, params: SearchParams) -> DataFrame:
+    """``qid, id, score`` of (query, record) pairs that are written already, from the records' terms."""
     id_col = index.id_col
-    pruned = block_max_candidates(index, qterms, params)
-    avgdl = index.corpus_stats.select("avgdl").first()[0]
-    small = pruned.candidates.count() * QUERY_TERM_BYTES <= params.max_broadcast_bytes
-    pairs = F.broadcast(pruned.candidates) if small else pruned.candidates
-    wanted = pruned.candidates.select(id_col).distinct()
+    small = pairs.count() * QUERY_TERM_BYTES <= params.max_broadcast_bytes
+    wanted = pairs.select(id_col).distinct()
     records = index.records
     if index.id_buckets:
         buckets = [r[0] for r in wanted.select(term_bucket(id_col, index.id_buckets)).distinct().collect()]
         records = records.where(F.col("id_bucket").isin(buckets))
     held = records.select(id_col, "terms").join(F.broadcast(wanted) if small else wanted, id_col, "left_semi")
-    held = build_postings(held, id_col).join(F.broadcast(pruned.weights.select("term").distinct()), "term", "left_semi")
-    scored = held.join(pairs, id_col).join(F.broadcast(pruned.weights), ["qid", "term"])
+    held = build_postings(held, id_col).join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+    scored = held.join(F.broadcast(pairs) if small else pairs, id_col).join(F.broadcast(weights), ["qid", "term"])
     return scored.groupBy("qid", id_col).agg(F.sum(F.col("w") * impact("tf", "dl", avgdl, params.bm25)).alias("score"))
 
 
+def block_max_search(index: SearchIndex, qterms: DataFrame, params: SearchParams) -> DataFrame:
+    """Scores of the candidates."""
+    pruned = block_max_candidates(index, qterms, params)
+    avgdl = index.corpus_stats.select("avgdl").first()[0]
+    return score_pairs(index, pruned.candidates, pruned.weights, avgdl, params)
+
+
 def keyword_search(index: SearchIndex, queries: DataFrame, params: SearchParams = SearchParams(),
                    text_col: str = "query_text", method: str = "auto") -> DataFrame:
     """Top-k BM25 hits: ``qid, <id>, score, rank``. No shared term, no hit.
