@@ -12,7 +12,7 @@ from hybridlake.functions import vectors
 from hybridlake.operators import index as index_module
 from hybridlake.operators import keyword, knn
 from hybridlake.operators.index import build_index, build_postings, embed_records, gather_postings
-from hybridlake.operators.maintenance import update_index
+from hybridlake.operators.maintenance import apply_update, update_index
 from hybridlake.operators.topk import RunningTopK
 from hybridlake.params import EmbedParams
 from hybridlake.session import scratch_path
@@ -128,3 +128,15 @@ def test_a_view_reads_the_batch_once(spark):
     assert {"c00001", "c00099"} <= {r.chunk_id for r in hits} and view.corpus_stats.first()["n_docs"] == 63
     assert {r.term: r.df for r in view.term_stats.where("term in ('new', 'words')").collect()} == {"new": 1, "words": 1}
     assert computed.value == 2
+
+
+def test_an_update_is_put_in_place_without_another_shuffle(spark, monkeypatch):
+    index = build_index(corpus(spark, 200), dim=8, embed=EmbedParams(dim=8), materialize_to=scratch_path(spark, "t-place"))
+    dealt = []
+    monkeypatch.setattr(type(index.records), "hint", lambda self, *a, f=type(index.records).hint: dealt.append(a) or f(self, *a))
+    updated, _ = apply_update(index, deleted=index.records.where("chunk_id < 'c00100'").select("chunk_id"))
+    assert sum(a[0] == "rebalance" for a in dealt) == 3  # records, blocks and term statistics, once each
+    assert updated.records.count() == 102 and updated.corpus_stats.first()["n_docs"] == 102
+    terms = {r.chunk_id: list(r.terms or ()) for r in updated.records.select("chunk_id", "terms").collect()}
+    held = sorted((r.term, i) for r in updated.blocks.collect() for i in r.ids)
+    assert held == sorted((t, i) for i, ts in terms.items() for t in set(ts))
