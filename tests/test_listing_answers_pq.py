@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hybridlake.operators import listing
 from hybridlake.operators.knn import vector_search
 from hybridlake.operators.listing import list_page, write_listing
 from hybridlake.operators.pq import PQParams, build_pq, pq_search
@@ -34,6 +35,17 @@ def test_a_deep_page_reads_its_range_only(spark):
     assert list_page(spark, empty).count() == 0
 
 
+def test_short_stretches_share_a_folder(spark, monkeypatch):
+    monkeypatch.setattr(listing, "FOLDER_ROWS", 500)
+    records = spark.createDataFrame([(f"id{i:05d}", f"t{i}") for i in range(2000)], "chunk_id string, text string").repartition(6)
+    root = write_listing(records, scratch_path(spark, "t-listing"), cols=("text",), range_rows=10)
+    held = spark.read.parquet(f"{root}/directory")
+    assert held.select("range").distinct().count() <= 4 and held.count() >= 200 and held.agg(F.max("n")).first()[0] == 10
+    for limit, offset in ((7, 0), (25, 1234), (900, 400), (2000, 0), (10, 1995), (10, 2000)):
+        found = [(r.chunk_id, r.text) for r in list_page(spark, root, limit, offset).collect()]
+        assert found == [(f"id{i:05d}", f"t{i}") for i in range(2000)][offset:offset + limit]
+
+
 FRAGMENT = "answer_id long, seq int, content string, last boolean, at timestamp"
 
 
