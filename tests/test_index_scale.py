@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from hybridlake.functions import vectors
 from hybridlake.operators import index as index_module
 from hybridlake.operators import keyword, knn
-from hybridlake.operators.index import build_index, build_postings, embed_records, gather_postings
+from hybridlake.operators.index import (_packed, _unpacked, build_index, build_postings, embed_records, gather_postings,
+                                        input_bytes)
 from hybridlake.operators.maintenance import apply_update, update_index
 from hybridlake.operators.topk import RunningTopK
 from hybridlake.params import EmbedParams
@@ -50,6 +51,25 @@ def test_gathered_postings_are_the_postings_in_few_rows(spark, monkeypatch):
         assert max(len(r.ids) for r in rows) <= most and (most < 512 or len(rows) < len(wanted) / 5)
 
 
+def test_packed_postings_are_the_same_in_fewer_bytes(spark):
+    ids = pa.array(["a", "", "é/\n\0x", "src/1_0", "b" * 300, "c"]).slice(1)
+    tf, dl = np.array([1, 2, 70_000, 4, 5]), np.array([9, 8, 7, 300, 65_535])
+    wide = pa.RecordBatch.from_arrays(_packed(ids, tf, dl, np.array([0, 2, 5], np.int32)), names=["a", "b", "c"])
+    slim = pa.RecordBatch.from_arrays(_packed(ids.slice(3), tf[3:], dl[3:], np.array([0, 1, 2], np.int32)), names=["a", "b", "c"])
+    both = pa.Table.from_batches([wide, slim]).combine_chunks().to_batches()[0]
+    for rows, at, n in ((wide, [0, 1, 2, 3, 4], [2, 3]), (slim, [3, 4], [1, 1]), (both, [0, 1, 2, 3, 4, 3, 4], [2, 3, 1, 1]),
+                        (both.slice(1), [2, 3, 4, 3, 4], [3, 1, 1]), (both.slice(2), [3, 4], [1, 1])):
+        held, found, tfs, dls = _unpacked(*rows.columns)
+        assert (list(held), found.to_pylist(), list(tfs), list(dls)) == (n, ids.take(pa.array(at)).to_pylist(), list(tf[at]), list(dl[at]))
+    records = embed_records(corpus(spark, 400, 2), EmbedParams(dim=8))
+    sizes = []
+    for packed in (False, True):
+        path = scratch_path(spark, "t-packed")
+        gather_postings(records, pack=packed).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+        sizes.append(input_bytes(spark.read.parquet(path)))
+    assert sizes[1] < 0.8 * sizes[0], sizes
+
+
 def test_files_of_the_posting_blocks_follow_buckets_not_their_square(spark, conf, monkeypatch):
     monkeypatch.setattr(index_module, "CHUNKS_PER_BUCKET", 25)
     for key, value in {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "48k",
