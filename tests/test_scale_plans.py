@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hybridlake.operators.ann import build_ivf, ivf_search
 from hybridlake.operators.hits import attach_records
 from hybridlake.operators.fusion import hybrid_search
+from hybridlake.operators.index import write_records
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.prompts import history_windows
 from hybridlake.operators.table import upsert
@@ -66,3 +67,16 @@ def test_history_windows_partition_by_turn_blocks(spark):
     msgs = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text")
     plan = _plan(history_windows(msgs, 3))
     assert re.search(r"hashpartitioning\(conv_id#?\d*L?, _blk", plan)
+
+
+def test_hit_lookup_shuffles_hit_records_only(spark):
+    rows = [(f"c{i:05d}", f"text {i} " * 20) for i in range(3000)]
+    records = write_records(spark.createDataFrame(rows, "chunk_id string, text string"), scratch_path(spark, "t-lookup"), "chunk_id", 8)
+    hits = spark.createDataFrame([(q, f"c{q * 31:05d}", 1) for q in range(40)] + [(40, "absent", 1), (41, "c00031", 2)],
+                                 "qid long, chunk_id string, rank int")
+    found = attach_records(hits, records, ("text",), max_rows=42, id_buckets=8)
+    got = {(r.qid, r.chunk_id, r.text) for r in found.collect()}
+    text = dict(rows)
+    assert got == {(r.qid, r.chunk_id, text.get(r.chunk_id)) for r in hits.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan, plan
