@@ -10,9 +10,11 @@ credential automaton explains, and explains better than the background does, is
 a span of kind ``format``.
 
 Shapes are counted in Spark, over every token of every text and in their whole
-length. What reaches the driver are shapes with their counts, those that make
-up ``min_share`` of the tokens at least, and so at most 1 / ``min_share`` of a
-kind whatever the corpus holds.
+length. The states are merged on the driver from the shapes that make up
+``min_share`` of the tokens at least, and so at most 1 / ``min_share`` of a
+kind whatever the corpus holds. All other shapes then run through these states
+in Spark, and every one counts in the automaton's arcs, ends and likelihoods:
+of them only sums by state and symbol reach the driver.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 
 @dataclass(frozen=True)
 class SecretParams:
-    #: Share of the distinct credentials of a kind, or of all other tokens, that a shape makes up at least to be learnt.
+    #: Share of the distinct credentials of a kind, or of all other tokens, that a shape makes up at least to have a say
+    #: in which states there are; rarer ones count in what these states do.
     min_share: float = 1e-4
     #: Confidence of the Hoeffding test of two states.
     alpha: float = 0.05
@@ -103,7 +106,52 @@ class Automaton:
         return total + math.log(max(self.unseen, self.stop[state] if state is not None else 0.0))
 
 
+@dataclass
+class Tally:
+    """What went through each state: ``used[state][symbol]`` = [next state, count]; ``ends[state]`` = count."""
+
+    used: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])
+    ends: list[int] = field(default_factory=lambda: [0])
+
+    def automaton(self) -> Automaton:
+        seen = [sum(n for _, n in arcs.values()) + end for arcs, end in zip(self.used, self.ends)]
+        return Automaton([{c: (t, n / max(1, m)) for c, (t, n) in arcs.items()} for arcs, m in zip(self.used, seen)],
+                         [end / max(1, m) for end, m in zip(self.ends, seen)])
+
+    def targets(self) -> dict[str, int]:
+        """Where each symbol leads most often: its arc from states that have none of their own."""
+        flow: dict[str, dict[int, int]] = {}
+        for arcs in self.used:
+            for symbol, (to, n) in arcs.items():
+                flow.setdefault(symbol, {})[to] = flow.get(symbol, {}).get(to, 0) + n
+        return {symbol: max(to, key=lambda t: (to[t], -t)) for symbol, to in flow.items()}
+
+    def walk(self, sample: str, targets: Mapping[str, int]) -> Iterator[tuple[int, str | None]]:
+        """(state, symbol) of each step, and (state, None) at the end; a symbol that leads nowhere stays in its state."""
+        state = 0
+        for symbol in sample:
+            yield state, symbol
+            own = self.used[state].get(symbol)
+            state = own[0] if own else targets.get(symbol, state)
+        yield state, None
+
+    def with_steps(self, steps: Mapping[tuple[int, str | None], int]) -> Tally:
+        """This tally and counted steps of ``walk``."""
+        targets = self.targets()
+        used, ends = [{c: list(arc) for c, arc in arcs.items()} for arcs in self.used], list(self.ends)
+        for (state, symbol), n in sorted(steps.items(), key=str):
+            if symbol is None:
+                ends[state] += n
+            else:
+                used[state].setdefault(symbol, [targets.get(symbol, state), 0])[1] += n
+        return Tally(used, ends)
+
+
 def learn(samples: Mapping[str, int], alpha: float = SecretParams.alpha) -> Automaton:
+    return tally(samples, alpha).automaton()
+
+
+def tally(samples: Mapping[str, int], alpha: float = SecretParams.alpha) -> Tally:
     """State merging over the prefix tree of samples and their counts: the most frequent
     unmerged state joins the first compatible red state, or turns red itself."""
     seen, ends, arcs, used = [0], [0], [{}], [{}]
@@ -167,9 +215,8 @@ def learn(samples: Mapping[str, int], alpha: float = SecretParams.alpha) -> Auto
             fold(like, state)
     name = {s: i for i, s in enumerate(red)}
     if not seen[0]:
-        return Automaton([{}], [0.0])
-    return Automaton([{c: (name[arcs[s][c]], n / seen[s]) for c, n in used[s].items()} for s in red],
-                     [ends[s] / seen[s] for s in red])
+        return Tally()
+    return Tally([{c: [name[arcs[s][c]], n] for c, n in used[s].items()} for s in red], [ends[s] for s in red])
 
 
 @dataclass
@@ -248,11 +295,73 @@ def scan_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return source.mapInArrow(run, schema)
 
 
-def common_shapes(shapes: DataFrame, min_share: float) -> dict[str, int]:
-    """Counts of ``shapes(shape, n)`` that make up ``min_share`` of all: at most 1 / ``min_share`` of them."""
-    counted = stored(shapes.groupBy("shape").agg(F.sum("n").alias("n")), "token-shapes")
+def learn_shapes(shapes: DataFrame, name: str, params: SecretParams) -> tuple[Automaton, float] | None:
+    """The automaton of ``shapes(shape, n)``, every one counted, and the likelihood of a symbol at their
+    ``quantile``; None without shapes.
+
+    The states come from the shapes that make up ``min_share`` of all; the rest
+    adds its steps through them.
+    """
+    counted = stored(shapes.groupBy("shape").agg(F.sum("n").alias("n")), name)
     total = counted.agg(F.sum("n")).first()[0] or 0
-    return {r["shape"]: r["n"] for r in counted.where(F.col("n") >= min_share * total).collect()}
+    if not total:
+        return None
+    common = F.col("n") >= params.min_share * total
+    known = {r["shape"]: r["n"] for r in counted.where(common).collect()}
+    learnt = tally(known, params.alpha)
+    rest = total - sum(known.values())
+    if rest:
+        learnt = learnt.with_steps(steps_of(counted.where(~common), learnt))
+    automaton, rank = learnt.automaton(), params.quantile * total
+    if rest:
+        return automaton, quantile_of(stored(likelihoods(counted, automaton), f"{name}-likelihoods"), rank)
+    at = 0
+    for value, n in sorted((automaton.log_likelihood(s) / (len(s) + 1), n) for s, n in known.items()):
+        at += n
+        if at > rank:
+            break
+    return automaton, value
+
+
+def steps_of(counted: DataFrame, learnt: Tally) -> dict[tuple[int, str | None], int]:
+    """How often the shapes of ``counted(shape, n)`` take each step through the states: a row for a state and symbol."""
+    targets = learnt.targets()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps: dict[tuple[int, str | None], int] = {}
+        for batch in batches:
+            for sample, n in zip(batch["shape"], batch["n"]):
+                for step in learnt.walk(sample, targets):
+                    steps[step] = steps.get(step, 0) + int(n)
+        yield pd.DataFrame([(*step, n) for step, n in steps.items()], columns=["state", "symbol", "n"]).astype(
+            {"state": "int32", "symbol": "object", "n": "int64"})
+
+    found = counted.mapInPandas(run, "state int, symbol string, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n"))
+    return {(r["state"], r["symbol"]): r["n"] for r in found.collect()}
+
+
+def likelihoods(counted: DataFrame, automaton: Automaton) -> DataFrame:
+    """``value, n``: the likelihood of a symbol of each shape."""
+    each = F.pandas_udf(lambda shapes: shapes.map(lambda s: automaton.log_likelihood(s) / (len(s) + 1)), T.DoubleType())
+    return counted.select(each("shape").alias("value"), "n")
+
+
+def quantile_of(values: DataFrame, rank: float, bins: int = 1000) -> float:
+    """The least of ``values(value, n)`` up to which more than ``rank`` are counted, exactly: bins are narrowed to it."""
+    below = 0
+    low, high = values.agg(F.min("value"), F.max("value")).first()
+    while low < high:
+        place = F.least(F.lit(bins - 1), F.floor((F.col("value") - low) / F.lit((high - low) / bins)))
+        held = values.where(F.col("value").between(low, high)).groupBy(place.alias("bin")).agg(
+            F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).orderBy("bin").collect()
+        for r in held:
+            if below + r["n"] > rank or r is held[-1]:
+                break
+            below += r["n"]
+        if (r["low"], r["high"]) == (low, high):  # as close as numbers come
+            break
+        low, high = r["low"], r["high"]
+    return low
 
 
 def infer(scanned: DataFrame, params: SecretParams = SecretParams()) -> Formats:
@@ -263,18 +372,11 @@ def infer(scanned: DataFrame, params: SecretParams = SecretParams()) -> Formats:
                   "credential-shapes")
     automata, least = {}, {}
     for kind in KINDS[:3]:
-        known = common_shapes(base.where(F.col("kind") == kind).select("shape", "n"), params.min_share)
-        if known:
-            automata[kind] = learn(known, params.alpha)
-            each = sorted((automata[kind].log_likelihood(s) / (len(s) + 1), n) for s, n in known.items())
-            rank, at = params.quantile * sum(known.values()), 0
-            for value, n in each:
-                at += n
-                if at > rank:
-                    least[kind] = value
-                    break
-    others = scanned.select(F.explode("shapes").alias("shape"), F.lit(1).alias("n"))
-    return Formats(params, automata, least, learn(common_shapes(others, params.min_share), params.alpha))
+        learnt = learn_shapes(base.where(F.col("kind") == kind).select("shape", "n"), "kind-shapes", params)
+        if learnt:
+            automata[kind], least[kind] = learnt
+    others = learn_shapes(scanned.select(F.explode("shapes").alias("shape"), F.lit(1).alias("n")), "token-shapes", params)
+    return Formats(params, automata, least, others[0] if others else Tally().automaton())
 
 
 def scan(docs: DataFrame, params: SecretParams = SecretParams(), id_col: str = "doc_id",

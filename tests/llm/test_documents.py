@@ -110,6 +110,38 @@ def test_likelihoods_are_those_of_the_merged_tree():
         assert abs(total + math.log(max(stop, learnt.unseen)) - learnt.log_likelihood(sample)) < 1e-9
 
 
+def test_rare_shapes_count_as_well(spark):
+    """What a share of 1 in 20 leaves out of the states is in the counts of a brute-force walk."""
+    import random
+
+    rng = random.Random(8)
+    samples = Counter({"xxxx-dd": 300, "xxxx-ddd": 200})
+    samples.update("".join(rng.choice("xd-U") for _ in range(rng.randint(1, 9))) for _ in range(150))
+    params = secrets.SecretParams(min_share=0.05, quantile=0.1)
+    learnt, least = secrets.learn_shapes(spark.createDataFrame(list(samples.items()), "shape string, n long").repartition(4), "t-shapes", params)
+    total = sum(samples.values())
+    first = secrets.tally({s: n for s, n in samples.items() if n >= 0.05 * total}, params.alpha)
+    targets, used, ended = first.targets(), Counter(), Counter()
+    for sample, n in samples.items():
+        for state, symbol in first.walk(sample, targets):
+            if symbol is None:
+                ended[state] += n
+            else:
+                used[state, symbol] += n
+    assert sum(ended.values()) == total
+    for state, arcs in enumerate(learnt.arcs):
+        through = ended[state] + sum(n for (s, _), n in used.items() if s == state)
+        assert {c: p for c, (_, p) in arcs.items()} == {c: n / through for (s, c), n in used.items() if s == state}
+        assert learnt.stop[state] == ended[state] / max(1, through)
+    assert all(learnt.log_likelihood(s) > len(s) * -12 for s in samples) and "U" in learnt.arcs[0]
+    each = sorted((learnt.log_likelihood(s) / (len(s) + 1), n) for s, n in samples.items())
+    upto = [sum(n for _, n in each[:i + 1]) for i in range(len(each))]
+    assert abs(least - next(v for (v, _), at in zip(each, upto) if at > 0.1 * total)) < 1e-12
+    only_rare = spark.createDataFrame([("x" * i, 1) for i in range(1, 40)], "shape string, n long")
+    assert "x" in secrets.learn_shapes(only_rare, "t-shapes", params)[0].arcs[0]
+    assert secrets.learn_shapes(only_rare.limit(0), "t-shapes", params) is None
+
+
 def test_new_formats_are_added_and_redacted(spark):
     import random
 
