@@ -23,10 +23,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hybridlake.llm.common import in_batches, keyed, texts
 
 MARK = "▁"
-#: Segments whose ids a Python worker remembers, in each of two generations: about 25 MB each.
-MEMO_SEGMENTS = 100_000
-#: Hashes of segments that it has held against the reference library, and found alike: about 30 MB.
-CHECKED_SEGMENTS = 400_000
+#: Segments whose ids a Python worker remembers, in each of two generations: about 40 MB each.
+MEMO_SEGMENTS = 160_000
+#: Hashes of segments that it has held against the reference library, and found alike: about 60 MB.
+CHECKED_SEGMENTS = 800_000
 #: Longer segments are encoded each time.
 MEMO_CHARS = 64
 #: Text whose segments are looked up together, and segments encoded in one batch.
@@ -37,6 +37,7 @@ BATCH_SEGMENTS = 4_000
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+BYTE_NAME = re.compile("<0x[0-9A-Fa-f]{2}>")
 
 
 def default_model() -> str:
@@ -163,6 +164,9 @@ class Codec:
             self.model = Model.parse(file.read())
         self.tokenizer = rebuild(self.model, segments=True)
         self.normalizer = normalizer(self.model)
+        #: What a piece stands for by itself; None for one that the pipeline decodes (bytes, unknown, control, own tokens).
+        self.surface = [text.replace(MARK, " ") if kind == NORMAL and not BYTE_NAME.fullmatch(text) else None
+                        for text, _, kind in self.model.pieces]
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
         self.plain = not (self.model.charsmap or self.model.fewer_blanks)
@@ -184,7 +188,19 @@ class Codec:
         return self.runs.findall(normal) if self.separable else [normal] if normal else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        """As the pipeline decodes; lists of plain pieces alone are their surfaces one behind the other."""
+        surface, front = self.surface.__getitem__, " " if self.model.dummy_prefix else ""
+        out, others = [], []
+        for own in ids:
+            try:
+                out.append("".join(map(surface, own)).removeprefix(front))
+            except (TypeError, IndexError):
+                others.append(len(out))
+                out.append("")
+        if others:
+            for i, text in zip(others, self.tokenizer.decode_batch([ids[i] for i in others], skip_special_tokens=False)):
+                out[i] = text
+        return out
 
     def learn(self, segments: list[str]) -> None:
         """Ids of segments, by the rebuilt pipeline; those not seen before are checked."""

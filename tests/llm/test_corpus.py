@@ -61,6 +61,20 @@ def test_unigram_scores_and_byte_fallback(tmp_path):
         assert parity
 
 
+def test_plain_pieces_are_decoded_as_the_pipeline_does():
+    import random
+
+    codec = sentencepieces.Codec(sentencepieces.default_model(), 1)
+    rng, n = random.Random(4), len(codec.model.pieces)
+    lists = [[rng.randrange(n) for _ in range(rng.randint(0, 12))] for _ in range(4000)] + [[i] for i in range(n)] + [[n + 7], [n - 1, n + 7]]
+    expected = codec.tokenizer.decode_batch(lists, skip_special_tokens=False)
+    assert codec.decode(lists) == expected
+    plain = [own for own in lists if all(i < n and codec.surface[i] is not None for i in own)]
+    assert len(plain) > 0.9 * len(lists)
+    codec.tokenizer = None  # plain pieces don't need it
+    assert codec.decode(plain) == [text for own, text in zip(lists, expected) if all(i < n and codec.surface[i] is not None for i in own)]
+
+
 def test_bpe_parity_and_round_trip():
     codec = sentencepieces.Codec(sentencepieces.default_model(), 2)
     block = random_texts(2, 2000) + [prose(i, 80) for i in range(20)]
