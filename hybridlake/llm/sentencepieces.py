@@ -8,6 +8,7 @@ encoded in multithreaded batches, and what is encoded is held against the
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from array import array
@@ -23,10 +24,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hybridlake.llm.common import in_batches, keyed, texts
 
 MARK = "▁"
-#: Segments whose ids a Python worker remembers, in each of two generations: about 40 MB each.
+#: Segments whose ids a Python worker remembers, in each of two generations: about 30 MB each.
 MEMO_SEGMENTS = 160_000
-#: Hashes of segments that it has held against the reference library, and found alike: about 60 MB.
-CHECKED_SEGMENTS = 800_000
+#: Slots for hashes of segments that it has held against the reference library, and found alike; a later one takes
+#: the place of an earlier one. A power of two: 16 MB, allotted once.
+CHECKED_SLOTS = 1 << 21
 #: Longer segments are encoded each time.
 MEMO_CHARS = 64
 #: Text whose segments are looked up together, and segments encoded in one batch.
@@ -155,11 +157,19 @@ def rebuild(model: Model, segments: bool = False):
 
 
 class Codec:
-    """Encodes normal segments in batches; a memo keeps those that come often. One pipeline encodes and decodes."""
+    """Encodes normal segments in batches; a memo keeps those that come often. One pipeline encodes and decodes.
+
+    A segment is known by its key: where each begins with a mark and no step changes
+    the text, the text behind that mark, else the segment itself. Keys without marks
+    take half the memory, most being ASCII.
+    """
 
     def __init__(self, path: str, threads: int):
+        import numpy as np
         import sentencepiece
 
+        # the library's own pool has a thread for each core of the machine, and takes its size once
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(path, "rb") as file:
             self.model = Model.parse(file.read())
         self.tokenizer = rebuild(self.model, segments=True)
@@ -171,11 +181,12 @@ class Codec:
         self.threads = threads
         self.plain = not (self.model.charsmap or self.model.fewer_blanks)
         self.separable = self.model.separable()
+        self.words = self.plain and self.separable and self.model.dummy_prefix
         self.runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.blanks = re.compile(" +[^ ]*")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.checked: set[int] = set()
-        self.bad: set[str] = set()
+        self.checked = np.full(CHECKED_SLOTS, -1, np.int64)  # no string has this hash
 
     def normal(self, text: str) -> str:
         if not text:
@@ -187,6 +198,20 @@ class Codec:
     def segments(self, normal: str) -> list[str]:
         return self.runs.findall(normal) if self.separable else [normal] if normal else []
 
+    def keys(self, text: str) -> list[str]:
+        """The keys of a text's segments, in order."""
+        if not self.words:
+            return self.segments(self.normal(text))
+        if not text:
+            return []
+        text = text.replace(MARK, " ")
+        if text[0] != " " and "  " not in text:
+            return text.split(" ")
+        return [run[1:] for run in self.blanks.findall(" " + text)]
+
+    def segment(self, key: str) -> str:
+        return MARK + key.replace(" ", MARK) if self.words else key
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         """As the pipeline decodes; lists of plain pieces alone are their surfaces one behind the other."""
         surface, front = self.surface.__getitem__, " " if self.model.dummy_prefix else ""
@@ -202,51 +227,54 @@ class Codec:
                 out[i] = text
         return out
 
-    def learn(self, segments: list[str]) -> None:
-        """Ids of segments, by the rebuilt pipeline; those not seen before are checked."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        for segment, ids in zip(segments, encoded):
-            self.memo[segment] = array("I", ids).tobytes()
-        fresh = [i for i, s in enumerate(segments) if hash(s) not in self.checked]
-        if fresh:
-            self.check([segments[i] for i in fresh], [encoded[i] for i in fresh])
-
-    def check(self, segments: list[str], encoded: list[list[int]]) -> None:
-        """``bad`` are segments that the reference library encodes otherwise, or that the pipeline
-        doesn't decode to their text."""
+    def learn(self, keys: list[str]) -> set[str]:
+        """Puts the ids of segments, by the rebuilt pipeline, into the memo; those not seen before are checked.
+        Returns the keys of bad ones."""
+        import numpy as np
+
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(list(map(self.segment, keys)), add_special_tokens=False)]
+        self.memo.update((key, array("I", ids).tobytes()) for key, ids in zip(keys, encoded))
+        hashes = np.fromiter(map(hash, keys), np.int64, len(keys))
+        slots = hashes & (len(self.checked) - 1)
+        fresh = np.flatnonzero(self.checked[slots] != hashes)
+        if not len(fresh):
+            return set()
+        at = fresh.tolist()
+        alike = self.check([keys[i] for i in at], [encoded[i] for i in at])
+        good = fresh[np.array(alike, bool)]
+        self.checked[slots[good]] = hashes[good]
+        return {keys[i] for i, ok in zip(at, alike) if not ok}
+
+    def check(self, keys: list[str], encoded: list[list[int]]) -> list[bool]:
+        """Whether the reference library encodes segments alike, and the pipeline decodes them to their text."""
         front = 1 if self.model.dummy_prefix else 0
-        surface = [s[front:].replace(MARK, " ") if s[0] == MARK else s for s in segments]
+        surface = keys if self.words else [s[front:].replace(MARK, " ") if s[0] == MARK else s for s in keys]
         expected = self.reference.encode(surface, num_threads=self.threads)
-        if len(self.checked) > CHECKED_SEGMENTS:
-            self.checked = set()
-        for segment, ids, other, text, back in zip(segments, encoded, expected, surface, self.decode(encoded)):
+        alike = []
+        for ids, other, text, back in zip(encoded, expected, surface, self.decode(encoded)):
             if not text:  # a blank at the end; as a text of its own it would be empty
                 other = [self.reference.piece_to_id(MARK)]
-            if ids != other or (back != text and self.model.unknown not in ids):
-                self.bad.add(segment)
-            else:
-                self.checked.add(hash(segment))
+            alike.append(ids == other and (back == text or self.model.unknown in ids))
+        return alike
 
     def encode_block(self, block: list[str]) -> Iterator[tuple[bytes, bool]]:
-        parts = [self.segments(self.normal(text)) for text in block]
+        parts = [self.keys(text) for text in block]
         used = set().union(*parts)
         if len(self.memo) > MEMO_SEGMENTS:  # what is still in use comes back from the old generation
-            self.old = {s: ids for s, ids in self.memo.items() if len(s) <= MEMO_CHARS}
-            self.memo = {}
-            self.bad &= self.old.keys()
-        new = []
-        for segment in used:
-            if segment not in self.memo:
-                ids = self.old.get(segment)
-                if ids is None:
-                    new.append(segment)
-                else:
-                    self.memo[segment] = ids
-        for at in range(0, len(new), BATCH_SEGMENTS):
-            self.learn(new[at:at + BATCH_SEGMENTS])
-        memo, bad = self.memo, self.bad
-        for segments in parts:
-            yield b"".join(map(memo.__getitem__, segments)), not (bad and any(s in bad for s in segments))
+            self.old, self.memo = self.memo, {}
+        new = used.difference(self.memo)
+        back = self.old.keys() & new
+        self.memo.update((key, self.old[key]) for key in back)
+        new = list(new.difference(back))
+        memo, bad = self.memo, set(new)
+        try:
+            bad = set().union(*(self.learn(new[at:at + BATCH_SEGMENTS]) for at in range(0, len(new), BATCH_SEGMENTS)))
+            for keys in parts:
+                yield b"".join(map(memo.__getitem__, keys)), not (bad and any(k in bad for k in keys))
+        finally:  # bad ones, and all of a block that wasn't checked to its end, are checked when they come again
+            for key in new:
+                if key in bad or len(key) > MEMO_CHARS:
+                    memo.pop(key, None)
 
 
 _CODECS: dict[tuple[str, int], Codec] = {}

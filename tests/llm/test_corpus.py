@@ -84,6 +84,46 @@ def test_bpe_parity_and_round_trip():
         assert back == text.replace("▁", " ")
 
 
+def test_keys_stand_for_the_segments(tmp_path):
+    for path in (sentencepieces.default_model(), unigram_model(tmp_path)):
+        codec = sentencepieces.Codec(path, 1)
+        for text in [*random_texts(6, 3000), "", " ", "  ", " a", "a ", "a  b", "▁", " ▁a▁ b "]:
+            assert [codec.segment(k) for k in codec.keys(text)] == codec.segments(codec.normal(text)), text
+
+
+def test_memos_are_small():
+    import tracemalloc
+
+    codec = sentencepieces.Codec(sentencepieces.default_model(), 1)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) + "," for _ in range(40_000)]
+    tracemalloc.start()
+    for at in range(0, len(words), 5_000):
+        for _ in codec.encode_block([" ".join(words[at:at + 5_000])]):
+            pass
+    used, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(codec.memo) >= 39_000 and used < 230 * len(codec.memo)
+
+
+def test_bad_segments_are_told_each_time():
+    codec = sentencepieces.Codec(sentencepieces.default_model(), 1)
+
+    class Other:
+        def encode(self, texts, num_threads, put=codec.reference.encode):
+            return [[1] if t in ("odd", "x" * 100) else ids for t, ids in zip(texts, put(texts, num_threads=num_threads))]
+
+        def piece_to_id(self, piece):
+            return 1
+
+    codec.reference = Other()
+    block = ["an odd word", "a plain word", "a blank at the end ", "x" * 100]
+    for _ in range(3):
+        assert [ok for _, ok in codec.encode_block(block)] == [False, True, False, False]
+    next(codec.encode_block(["so odd", "odd too"]))  # not read to its end
+    assert [ok for _, ok in codec.encode_block(["odd", "too"])] == [False, True]
+
+
 def test_encode_and_decode_tables(spark, odd, empty):
     coded = sentencepieces.encode(odd)
     rows = sentencepieces.decode(coded).collect()
