@@ -185,6 +185,22 @@ def test_repeats_around_a_gram():
         assert groups <= found
 
 
+def test_contexts_are_compared_once(monkeypatch):
+    """However deep the intervals lie in each other, bytes are compared for each context's two sides alone."""
+    rng, seen = random.Random(12), []
+    rights = ["a" * i + "b" * 30 for i in range(30)] * 4
+    lefts = ["".join(rng.choice("ab") for _ in range(30)) for _ in rights]
+    held = sorted({(a.encode(), b[:30].encode()) for a, b in zip(lefts, rights)})
+    lefts, rights = zip(*held)
+    monkeypatch.setattr(suffix_dedup, "_common", lambda rows, lengths, f=suffix_dedup._common: seen.append(len(rows)) or f(rows, lengths))
+    found = list(suffix_dedup.maximal_repeats(lefts, rights, 30))
+    assert len(found) > 20 and sum(seen) == 2 * len(held)
+    expected = {(a, b, frozenset(k for k in range(len(held)) if common(lefts[i], lefts[k]) >= a and common(rights[i], rights[k]) >= b))
+                for i in range(len(held)) for j in range(i) for a, b in [(common(lefts[i], lefts[j]), common(rights[i], rights[j]))]
+                if a + b >= 30}
+    assert expected <= {(a, b, frozenset(m)) for a, b, m in found}
+
+
 def corpus_rows():
     passage = prose(90, 120)
     rng = random.Random(4)
