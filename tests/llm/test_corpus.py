@@ -265,6 +265,38 @@ def test_removed_bytes_are_the_union_of_the_groups(spark, monkeypatch):
     assert all(len(set(t)) == 1 < len(t) for t in texts.values())  # different contexts of a gram are different groups
 
 
+def test_reach_is_written_beside_the_groups(spark, monkeypatch):
+    """Removal reads a row for each context, not the groups' members; large groups take several rows."""
+    passage = prose(95, 160)
+    rng = random.Random(8)
+    rows = [(i, prose(700 + i, 20) + passage[rng.randint(0, 200):len(passage) - rng.randint(0, 200)] + prose(800 + i, 20))
+            for i in range(30)]
+    tables = {}
+
+    def stored(df, name, put=suffix_dedup.stored):
+        return tables.setdefault(name, put(df, name))
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    monkeypatch.setattr(suffix_dedup, "OUT_MEMBERS", 10)  # a bucket's groups come in several batches
+    monkeypatch.setattr(suffix_dedup, "ROW_MEMBERS", 4)
+    found = suffix_dedup.remove_repeats(table(spark, rows))
+    read = found._jdf.queryExecution().executedPlan().toString()
+    assert "reached" in read and "members" not in read
+    assert Counter((r["doc_id"], tuple((s["start"], s["end"]) for s in r["removed"]), r["n_bytes"], hashlib.sha256(
+        bytes(r["kept"])).hexdigest()) for r in found.collect()) == expected_runs(rows, 400)
+    union, reached, sizes = {}, {}, Counter()
+    for r in tables["repeat-groups"].collect():
+        assert 0 < len(r["members"]) <= 4
+        sizes[r["gram"], r["group"]] += len(r["members"])
+        for context in r["members"]:
+            left, right = union.get((r["gram"], context), (0, 0))
+            union[r["gram"], context] = max(left, r["left"]), max(right, r["right"])
+        for x in r["reached"]:
+            assert (r["gram"], x["context"]) not in reached
+            reached[r["gram"], x["context"]] = x["left"], x["right"]
+    assert reached == union and max(sizes.values()) > 4
+
+
 # ---- operator 7
 
 def test_templates_with_variable_fields_go(spark):
