@@ -1,11 +1,13 @@
 """Updates that are written into an index: whole results, touched buckets only, replays."""
 
 import os
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from hybridlake.operators import maintenance
 from hybridlake.operators.index import build_index, embed_records, open_index
 from hybridlake.operators.keyword import keyword_search
 from hybridlake.operators.maintenance import apply_update, index_one, update_index
@@ -131,3 +133,64 @@ def test_upserts_leave_rows_without_an_id_out(spark):
     batch = spark.createDataFrame([(None, "x"), ("b", "2")], "chunk_id string, text string")
     once = upsert(table, batch, 1, seq_col="text")
     assert sorted(r.chunk_id for r in upsert(once, batch, 1, seq_col="text").collect()) == ["a", "b"]
+
+
+def many(spark, n, parts=4):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(f"c{i:04d}", " ".join(rng.choices(vocab, [1 / (i + 1) for i in range(300)], k=rng.randint(3, 40)))) for i in range(n)]
+    return rows + [("empty", "")]
+
+
+def test_rows_that_stay_are_not_dealt_out(spark, monkeypatch):
+    """Records and blocks in files of some size lie as they are; the batch's rows alone are dealt out, and whole
+    blocks are cut again of what stays of a term."""
+    monkeypatch.setattr(maintenance, "LIE_BYTES", 1)
+    rows = many(spark, 400)
+    index = built(spark, rows)
+    dealt = []
+    hint = type(index.records).hint
+    monkeypatch.setattr(type(index.records), "hint", lambda self, *a: dealt.append(self) or hint(self, *a))
+    gone = index.records.where("chunk_id >= 'c0100' and chunk_id < 'c0300'").select("chunk_id")
+    index, _ = apply_update(index, deleted=gone)
+    assert len(dealt) == 1 and dealt[0].columns == ["term", "term_bucket", "df"]  # statistics only
+    left = [r for r in rows if not "c0100" <= r[0] < "c0300"]
+    assert state(index) == state(built(spark, left))
+    dealt.clear()
+    batch = [("c0001", "w1 fresh words", "d", 1), ("c0001", "w1 w2 fresh again", "d", 2), ("new", "w1 w1 w3", "d", 1), ("c0350", "", "d", 1)]
+    index, _ = apply_update(index, records(spark, batch), seq_col="v")
+    assert len(dealt) == 3  # the batch's records and postings, and the statistics
+    final = dict(left) | {"c0001": "w1 w2 fresh again", "new": "w1 w1 w3", "c0350": ""}
+    expected = state(built(spark, list(final.items())))
+    assert state(index) == expected
+    blocks = index.blocks.where("term = 'w0'").select("n", "ids", "tfs", "dls", "max_tf", "min_dl").collect()
+    assert all(b.n == len(b.ids) <= 128 and b.max_tf == max(b.tfs) and b.min_dl == min(b.dls) for b in blocks)
+    again, _ = apply_update(index, records(spark, batch), seq_col="v")
+    assert state(again) == expected
+    queries = spark.createDataFrame([(1, "fresh w2"), (2, "w0 w1")], "qid long, query_text string")
+    rows_of = lambda df: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    hits = [rows_of(keyword_search(again, queries, SearchParams(top_k=5), method=m)) for m in ("blocks", "join", "scan")]
+    assert hits[0] == hits[1] == hits[2] and hits[0]
+
+
+def test_many_updates_leave_few_files(spark):
+    """Small files are dealt out together by the next update, so their number follows the buckets, not the updates."""
+    index = built(spark, BASE)
+    root = re.sub("^file:/*", "/", index.root)
+    for v in range(4):
+        index, _ = apply_update(index, records(spark, [(f"c{i}", f"word{i} shared version{v}", "d", v) for i in range(0, 40, 3)]))
+    assert all(len(files(root, name)) <= 16 for name in ("records", "blocks", "term_stats"))
+    assert not [d for d in os.listdir(root) if d.startswith("_update")]
+
+
+def test_a_batch_of_single_ids_is_written_once(spark, monkeypatch):
+    index = built(spark, BASE)
+    latest = []
+    monkeypatch.setattr(maintenance, "latest_by_id", lambda *a, f=maintenance.latest_by_id: latest.append(a) or f(*a))
+    rows = [("c1", "one", "d", 1), ("c2", "two", "d", 2), (None, "no id", "d", 1), (None, "no id either", "d", 2)]
+    changed, rejected = apply_update(index, records(spark, rows), seq_col="v")
+    assert not latest and sorted(r.text for r in rejected.collect()) == ["no id", "no id either"]
+    expected = state(built(spark, list((dict(BASE) | {"c1": "one", "c2": "two"}).items())))
+    assert state(changed) == expected
+    unchanged, rejected = apply_update(changed, records(spark, rows).where("v > 2"), seq_col="v")
+    assert state(unchanged) == expected and rejected.count() == 0
