@@ -194,3 +194,28 @@ def test_a_batch_of_single_ids_is_written_once(spark, monkeypatch):
     assert state(changed) == expected
     unchanged, rejected = apply_update(changed, records(spark, rows).where("v > 2"), seq_col="v")
     assert state(unchanged) == expected and rejected.count() == 0
+
+
+def test_an_update_that_stops_while_it_is_put_in_place_is_finished(spark, monkeypatch):
+    index = built(spark, BASE)
+    batch = [(f"c{i}", f"word{i} changed", "d", 1) for i in range(0, 40, 2)]
+    expected = state(built(spark, list((dict(BASE) | {i: t for i, t, _, _ in batch}).items())))
+
+    class Stopped(Exception):
+        pass
+
+    def half(spark, root, aside):
+        path, fs = maintenance._store(spark, root)
+        moves = [m for m in spark.read.parquet(f"{aside}/moves").collect() if not m.empty]
+        for table, folder, _ in moves[:len(moves) // 2]:
+            fs.delete(path(f"{root}/{table}/{folder}"), True)
+            fs.rename(path(f"{aside}/{table}/{folder}"), path(f"{root}/{table}/{folder}"))
+        fs.delete(path(f"{root}/{moves[-1].table}/{moves[-1].folder}"), True)
+        raise Stopped
+
+    with monkeypatch.context() as m:
+        m.setattr(maintenance, "_put_in_place", half)
+        with pytest.raises(Stopped):
+            apply_update(index, records(spark, batch))
+    again, _ = apply_update(open_index(spark, index.root, EMBED), records(spark, batch))
+    assert state(again) == expected
